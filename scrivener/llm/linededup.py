@@ -194,7 +194,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
 
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
     joined = _joined(docs, bitmaps, id_col, text_col, rest).select("whole", "text", "keep")
-    schema = joined.select("whole", F.lit(b"").alias("changed")).schema
+    schema = joined.select("whole", F.col("keep").alias("changed")).schema  # nullable: null where nothing is lost
     out = joined.mapInArrow(run, schema)
     field = lambda c: F.coalesce(F.col("changed").cast("string"), F.col("whole")[c]) if c == text_col else F.col("whole")[c]
     return out.select(*(field(c).alias(c) for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivener.llm import bpe, licenses, linededup, quality
+from scrivener.llm import bpe, licenses, linededup, minhash, quality
 from scrivener.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return os.environ.get("SCRIVENER_TOKENIZER", public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scans, op3_line_dedup, op7_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op7_bpe, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
