@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivener.llm import bpe, licenses, linededup, minhash, quality
+from scrivener.llm import bpe, decontam, licenses, linededup, minhash, quality, secrets, urls
 from scrivener.llm.common import table
 
 
@@ -31,17 +31,32 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_lines(docs, linededup.line_bitmaps(docs))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_secrets(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page is bad where the label of its id gives quality 0
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id page_id", "1 - quality bad")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), labels)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fit_crf(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaking documents only: a row for each document and the item it holds."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op7_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op5_secret_scans, op7_bpe, op8_url_filters, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
