@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivener.llm import bpe, decontam, licenses, linededup, minhash, quality, secrets, urls
+from scrivener.llm import bpe, decontam, licenses, linededup, minhash, quality, secrets, suffixes, urls
 from scrivener.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_secrets(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_passages(suffixes.dedup_passages(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op5_secret_scans, op7_bpe, op8_url_filters, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op5_secret_scans, op6_suffix_dedup, op7_bpe, op8_url_filters, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
