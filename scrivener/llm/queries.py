@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivener.llm import bpe, decontam, licenses, linededup, minhash, quality, secrets, suffixes, urls
+from scrivener.llm import bpe, decontam, licenses, linededup, lmscore, minhash, quality, secrets, suffixes, urls
 from scrivener.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_lines(docs, linededup.line_bitmaps(docs))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_secrets(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -60,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op5_secret_scans, op6_suffix_dedup, op7_bpe, op8_url_filters, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_minhash, op2_license_scans, op3_line_dedup, op4_lm_scoring, op5_secret_scans, op6_suffix_dedup, op7_bpe, op8_url_filters, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
