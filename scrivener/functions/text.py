@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: what the line cleaner strips: a closing bracket stays
@@ -33,7 +34,7 @@ def clean_for_model(c: Column) -> Column:
     return strip_chars(F.regexp_replace(F.regexp_replace(strip_chars(c, PUNCTUATION), r"[\t\r\n()]", " "), " +", " "), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
@@ -94,7 +95,7 @@ def split_line(c: Column, literal: bool = False) -> Column:
     return F.filter(F.transform(F.split(flat, ",", -1), lambda s: strip_chars(s, BLANKS)), lambda s: s != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _split_line_literal(s: pd.Series) -> pd.Series:
     import re
 

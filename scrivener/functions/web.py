@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Keywords that mark committee and speaker pages
 COMMITTEE = "organi[a-z]+|committee[a-z]*|prog[a-z]*|chair|about|people"
@@ -32,7 +33,7 @@ def same_domain(home: Column, link: Column) -> Column:
     return (a == "") | (a == authority(home))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """Link resolved against its page; null where either is."""
 
