@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivener.llm import bpe, decontam, licenses, linededup, lmscore, minhash, quality, secrets, suffixes, urls
+from scrivener.llm import bpe, decontam, licenses, linededup, lmscore, minhash, oracles, quality, secrets, suffixes, urls
 from scrivener.llm.common import table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
