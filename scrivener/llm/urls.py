@@ -73,7 +73,10 @@ def template_tree(shapes: DataFrame, depth: int, max_children: int = 20) -> Data
     than three pages a value on average).
     """
     tree = shapes.withColumn("template", F.array().cast("array<string>"))
-    for d in range(1, depth + 1):
+    deepest = shapes.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).first()[0]
+    for d in range(1, min(depth, deepest) + 1):
+        # each level reads the last one twice; a written table keeps the plan from doubling
+        tree = materialize(tree) if d > 1 else tree
         here = F.element_at("shape", d)
         value = F.when(F.size("shape") >= d, here)
         children = tree.where(F.size("shape") >= d).groupBy("host", "template", here.alias("value")).agg(F.sum("n").alias("n"))
