@@ -92,9 +92,9 @@ def judge_templates(counts: DataFrame, prior_weight: float = 4.0, max_bad: float
     own = counts.withColumn("parent", parent)
     branches = own.groupBy("host", "parent").agg(F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
     hosts = branches.groupBy("host").agg(F.sum("p_labelled").alias("h_labelled"), F.sum("p_bad").alias("h_bad"))
-    # a one-row side: the sums of the whole corpus
-    overall = hosts.agg(((F.sum("h_bad") + 1) / (F.sum("h_labelled") + 2)).alias("p0"))
-    judged = own.join(branches, ["host", "parent"]).join(hosts, "host").join(F.broadcast(overall))
+    # one number of the whole corpus: the smoothed rate of bad pages
+    p0 = F.lit(hosts.agg(((F.coalesce(F.sum("h_bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("h_labelled"), F.lit(0)) + 2)).alias("p0")).first().p0)
+    judged = own.join(branches, ["host", "parent"])
     rest = F.col("p_labelled") - F.col("labelled")
     pooled = F.col("p_bad") / F.col("p_labelled")
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
@@ -102,7 +102,7 @@ def judge_templates(counts: DataFrame, prior_weight: float = 4.0, max_bad: float
     # nothing labelled, no sibling, or no significant difference: the branch's figures
     merged = F.when((F.col("labelled") == 0) | (F.col("p_labelled") == 0), True).when(rest == 0, False).otherwise(gap <= z * error)
     bad, labelled = F.when(merged, F.col("p_bad")).otherwise(F.col("bad")), F.when(merged, F.col("p_labelled")).otherwise(F.col("labelled"))
-    rate = (bad + prior_weight * F.col("p0")) / (labelled + prior_weight)
+    rate = (bad + prior_weight * p0) / (labelled + prior_weight)
     return judged.select("host", "template", rate.alias("bad_rate"), (rate >= max_bad).alias("reject"))
 
 
