@@ -52,7 +52,7 @@ def line_keys(text: bytes, min_chars: int) -> tuple[dict[bytes, list[int]], int]
     return keys, len(lines)
 
 
-def _keyed(min_chars: int, min_docs: int):
+def _keyed(min_chars: int, min_docs: int, chunk_bytes: int):
     def flush(chunk: dict[bytes, list[tuple]]) -> pa.RecordBatch:
         rows = []
         for digest, found in chunk.items():
@@ -80,7 +80,7 @@ def _keyed(min_chars: int, min_docs: int):
                 for key, at in keys.items():
                     chunk.setdefault(xxhash.xxh3_128_digest(key), []).append((i, row, n, at))
                 size += len(text)
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield flush(chunk)
                     chunk, size = {}, 0
         yield flush(chunk)
@@ -143,7 +143,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``id`` is the id with ``NO_ID`` for null, ``row`` xxhash64 of the text,
     ``keep`` a zlib-compressed bitmap of kept lines, first line highest bit.
     """
-    keyed = materialize(_rows(docs, id_col, text_col).mapInArrow(_keyed(min_chars, min_docs), _KEYED))
+    keyed = materialize(_rows(docs, id_col, text_col).mapInArrow(_keyed(min_chars, min_docs, CHUNK_BYTES), _KEYED))
     parts = shuffle_parts(docs.sparkSession)
     ranged = keyed.where("h1 is not null").repartitionByRange(parts, "h1", "h2").sortWithinPartitions("h1", "h2", F.desc("id"), "row")
     lost = "id long, row long, n_lines int, at array<int>"
