@@ -46,7 +46,8 @@ def passages(seed):
 
 
 def test_overlaps_periods_and_copies(spark, make_docs, monkeypatch):
-    for seed, chunk in ((1, 1 << 20), (2, 3000)):
+    for seed, chunk, hot in ((1, 1 << 20, 4096), (2, 3000, 4096), (3, 3000, 1), (4, 1 << 20, 2)):
+        monkeypatch.setattr(suffixes, "HOT_CONTEXTS", hot)
         monkeypatch.setattr(suffixes, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(suffixes, "STEP_BYTES", chunk // 3)
         monkeypatch.setattr(suffixes, "HASH_BUCKET_BYTES", 5000)
