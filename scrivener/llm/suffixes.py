@@ -12,7 +12,9 @@ not fit one task, so equal strings are first brought together:
    earlier equal is settled: all of it goes.  An anchor without an equal hash
    anywhere is unique.  What is left are different contexts of equal anchors.
 2. *Contexts.*  Documents are co-located with their open anchors by a hash of the
-   id, and the contexts' bytes are sent to their hash bucket.
+   id, and the contexts' bytes are sent to their hash bucket; those of an anchor
+   with more than ``HOT_CONTEXTS`` contexts (an edge of a very common passage) by
+   the hashes of their single windows, so that no bucket holds them all.
 3. *Suffix arrays.*  In a bucket, the suffixes of all contexts that have ``MIN``
    bytes are sorted; the longest common prefixes of neighbours are scanned with a
    stack, which walks the common-prefix interval tree.  Whenever two children of
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +47,8 @@ from scrivener.llm.common import materialize, shuffle_parts
 MIN, K = 100, 44
 SPAN = MIN - K + 1  # K-grams of a window
 NO_ID = -(1 << 63)
-CHUNK_BYTES, STEP_BYTES = 24 << 20, 1 << 20
+CHUNK_BYTES, STEP_BYTES = 12 << 20, 1 << 20
+HOT_CONTEXTS = 4096  # different contexts of one anchor that still go to one bucket
 HASH_BUCKET_BYTES, DOC_BUCKET_BYTES = 2 << 20, 4 << 20  # text behind a bucket
 POS_BITS = np.uint64(28)
 ANCHORS, COVERED, OPEN, DOCUMENT, CONTEXTS = 0, 1, 2, 3, 4
@@ -121,7 +125,7 @@ def find_anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 # ---- packed arrays: columns of fixed byte widths, one zstd frame
 
-_WIDTHS = {"h": 8, "ctx": 5, "id": 8, "row": 2, "pos": 4, "lo": 1, "hi": 1, "start": 4, "size": 4}
+_WIDTHS = {"h": 8, "ctx": 5, "id": 8, "row": 2, "pos": 4, "lo": 1, "hi": 1, "hot": 1, "start": 4, "size": 4}
 
 
 def pack(columns: dict[str, np.ndarray], tail: bytes = b"") -> bytes:
@@ -207,7 +211,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 _ANCHOR = ("h", "ctx", "id", "row", "pos", "lo", "hi")
-_OPENED = ("h", "id", "row", "pos", "lo", "hi")
+_OPENED = ("h", "id", "row", "pos", "lo", "hi", "hot")
 _RANGE = ("id", "row", "start", "size")
 _CONTEXT = ("h", "id", "row", "start", "size")
 
@@ -225,7 +229,7 @@ def _ranges(a: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray
     return union_ranges({"id": a["id"][which], "row": a["row"][which], "start": (a["pos"] - a["lo"])[which], "size": (a["lo"] + a["hi"])[which]})
 
 
-def _anchor_rows(hash_buckets: int, doc_buckets: int, settle: bool):
+def _anchor_rows(hash_buckets: int, doc_buckets: int, settle: bool, chunk_bytes: int, step_bytes: int):
     """Step 1, by chunks of texts."""
 
     def flush(docs: list[tuple[int, int]], parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +266,10 @@ def _anchor_rows(hash_buckets: int, doc_buckets: int, settle: bool):
                 texts.append(text)
                 size += len(text)
                 step += len(text)
-                if step >= STEP_BYTES:
+                if step >= step_bytes:
                     work()
                     step = 0
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     work()
                     yield from flush(docs, parts)
                     docs, parts, size, step = [], [], 0, 0
@@ -289,7 +293,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list]
         yield *key, held
 
 
-def _bucket_rows(doc_buckets: int, settle: bool):
+def _bucket_rows(doc_buckets: int, settle: bool, hot_contexts: int):
     """Step 1, by hash buckets: settled ranges and open anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +307,8 @@ def _bucket_rows(doc_buckets: int, settle: bool):
             out = _by_doc(COVERED, _ranges(a, ~first), doc_buckets)
             a = {n: v[first] for n, v in a.items()}
             new = runs(a["h"])
-            several = np.diff(np.r_[np.flatnonzero(new), len(new)])[np.cumsum(new) - 1] > 1 if len(new) else new
+            contexts = np.diff(np.r_[np.flatnonzero(new), len(new)])[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
+            several, a["hot"] = contexts > 1, (contexts > hot_contexts).astype(np.int64)
             out += _by_doc(OPEN, {n: a[n][several] for n in _OPENED}, doc_buckets)
             yield _batch(out)
 
@@ -348,21 +353,35 @@ def _stream_documents(batches: Iterator[pa.RecordBatch], kind: int, names: tuple
             yield d, None, (i, row, blob)
 
 
-def _context_rows(hash_buckets: int):
-    """Step 2: bytes of the open contexts to their hash buckets."""
+def _context_rows(hash_buckets: int, doc_buckets: int):
+    """Step 2: bytes of the open contexts to their hash buckets.
 
-    def flush(found: list[tuple[dict[str, np.ndarray], list[bytes]]]) -> pa.RecordBatch:
-        c = {n: np.concatenate([f[n] for f, _ in found]) for n in _CONTEXT}
+    An anchor with very many contexts would fill its bucket; its windows go to
+    the buckets of their own hashes instead, each once a batch, the earliest.
+    """
+
+    def flush(found: list[tuple[dict[str, np.ndarray], list[bytes]]], hot: dict[bytes, tuple], later: list[tuple]) -> pa.RecordBatch:
+        c = {n: np.concatenate([f[n] for f, _ in found]) for n in _CONTEXT} if found else {n: np.empty(0, np.uint64 if n == "h" else np.int64) for n in _CONTEXT}
         pieces = [p for _, ps in found for p in ps]
+        if hot:
+            i, r, s = (np.array(x, np.int64) for x in zip(*hot.values()))
+            more = {"h": np.array([xxhash.xxh64_intdigest(w) for w in hot], np.uint64), "id": i, "row": r, "start": s, "size": np.full(len(hot), MIN)}
+            c = {n: np.concatenate([c[n], more[n]]) for n in _CONTEXT}
+            pieces += hot
         bucket = (c["h"] % _U(hash_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         out = []
         for part in np.split(order, np.flatnonzero(runs(bucket[order]))[1:]):
             out.append((CONTEXTS, int(bucket[part[0]]), None, None, pack({n: v[part] for n, v in c.items()}, b"".join([pieces[i] for i in part.tolist()]))))
+        if later:
+            i, r, s = (np.array(x, np.int64) for x in zip(*later))
+            out += _by_doc(COVERED, union_ranges({"id": i, "row": r, "start": s, "size": np.full(len(later), MIN)}), doc_buckets)
         return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeezed, found, size = zstandard.ZstdDecompressor(), [], 0
+        hot: dict[bytes, tuple] = {}
+        later: list[tuple] = []
         opened, where = None, {}
         for _, columns, doc in _stream_documents(batches, OPEN, _OPENED):
             if columns is not None:
@@ -375,14 +394,26 @@ def _context_rows(hash_buckets: int):
             text = squeezed.decompress(blob)
             a = {n: v[part] for n, v in opened.items()}
             start, length = a["pos"] - a["lo"], a["lo"] + a["hi"]
-            pieces = [text[s : s + n] for s, n in zip(start.tolist(), length.tolist())]
-            found.append(({"h": a["h"], "id": a["id"], "row": a["row"], "start": start, "size": length}, pieces))
-            size += sum(map(len, pieces))
-            if size >= 16 << 20:
-                yield flush(found)
-                found, size = [], 0
-        if found:
-            yield flush(found)
+            few = a["hot"] == 0
+            pieces = [text[s : s + n] for s, n in zip(start[few].tolist(), length[few].tolist())]
+            if pieces:
+                found.append(({"h": a["h"][few], "id": a["id"][few], "row": a["row"][few], "start": start[few], "size": length[few]}, pieces))
+                size += sum(map(len, pieces))
+            for s, n in zip(start[~few].tolist(), length[~few].tolist()):
+                for at in range(s, s + n - MIN + 1):
+                    place, window = (i, row, at), text[at : at + MIN]
+                    other = hot.get(window)
+                    if other is None:
+                        hot[window] = place
+                        size += MIN
+                    elif other != place:
+                        hot[window] = min(other, place)
+                        later.append(max(other, place))
+            if size >= 16 << 20 or len(later) > 1 << 20:
+                yield flush(found, hot, later)
+                found, hot, later, size = [], {}, [], 0
+        if found or hot:
+            yield flush(found, hot, later)
 
     return run
 
@@ -485,7 +516,10 @@ def _analysed_rows(doc_buckets: int):
     """Step 3: removed ranges of every hash bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, rows in _groups(batches):
+        for kind, _, rows in _groups(batches):
+            if kind != CONTEXTS:
+                yield _batch(rows)
+                continue
             c, raw = _contexts(rows)
             sa = SuffixArray((raw, c["size"]), MIN)
             place = c["start"][sa.text] + sa.offset
@@ -554,12 +588,12 @@ class _Plan:
         return rows.unionByName(documents).repartition(self.parts, "b").sortWithinPartitions("b", "kind")
 
     def opened(self, settle: bool) -> DataFrame:
-        anchors = self.docs.mapInArrow(_anchor_rows(self.hash_buckets, self.doc_buckets, settle), SCHEMA)
-        return materialize(self.dealt(anchors).mapInArrow(_bucket_rows(self.doc_buckets, settle), SCHEMA))
+        anchors = self.docs.mapInArrow(_anchor_rows(self.hash_buckets, self.doc_buckets, settle, CHUNK_BYTES, STEP_BYTES), SCHEMA)
+        return materialize(self.dealt(anchors).mapInArrow(_bucket_rows(self.doc_buckets, settle, HOT_CONTEXTS if settle else 1 << 62), SCHEMA))
 
     def contexts(self, opened: DataFrame) -> DataFrame:
         rows = self.with_documents(opened.where(F.col("kind") == OPEN))
-        return self.dealt(rows.mapInArrow(_context_rows(self.hash_buckets), SCHEMA))
+        return self.dealt(rows.mapInArrow(_context_rows(self.hash_buckets, self.doc_buckets), SCHEMA))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
