@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrivener.operators.stable import fixed
+
 THRESHOLD = 0.8
 
 
@@ -39,9 +41,9 @@ def terms(names: DataFrame, ngrams: int = 2) -> DataFrame:
 def tf_idf(names: DataFrame, ngrams: int = 2) -> DataFrame:
     """(id, term, weight) of unit length: tf * (ln((1 + n) / (1 + df)) + 1)."""
     t = terms(names, ngrams)
-    n = names.agg(F.count("*").alias("n"))  # one row
+    n = names.agg(F.count("*")).scalar()
     df = t.groupBy("term").agg(F.count("*").alias("df"))
-    raw = t.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = t.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"), "df")
 
@@ -64,13 +66,12 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable, by repeated min-label steps with pointer jumps."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     labels = nodes.select("id", F.col("id").alias("component"))
-    reliable = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
         hooked = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("to"), "component")
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("far"))
         new = hooked.join(jump, "to").select("id", F.least("to", "far").alias("component"), (F.least("to", "far") != F.col("component")).alias("moved"))
-        new = new.checkpoint() if reliable else new.persist()
+        new = fixed(new)
         labels = new.select("id", "component")
         if new.where("moved").isEmpty():
             return labels

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrivener.operators.stable import fixed
+
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[tuple[str, ...]], order: str) -> DataFrame:
     """Last writer wins on any of the unique ``keys``; ``order`` is the write order inside ``rows``.
@@ -36,7 +38,8 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "id", start:
     before it; the counts, one a partition, are the only rows brought together.
     """
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = df.repartitionByRange(int(parts), *order).withColumn("__part", F.spark_partition_id())
+    # ranges come from a sample: both uses below have to see the same ones
+    placed = fixed(df.repartitionByRange(int(parts), *order).withColumn("__part", F.spark_partition_id()))
     local = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
@@ -49,8 +52,8 @@ def get_or_create(rows: DataFrame, key: list[str], order: str, known: DataFrame
     if known is None:
         return numbered(seen, ["__first", *key]).select(*key, "id")
     fresh = seen.join(known.select(*key), key, "left_anti")
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))  # one row
-    new = numbered(fresh, ["__first", *key]).join(F.broadcast(top)).select(*key, (F.col("id") + F.col("__top")).alias("id"))
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    new = numbered(fresh, ["__first", *key]).select(*key, (F.col("id") + top).alias("id"))
     return known.select(*key, "id").unionByName(new)
 
 
@@ -78,9 +81,8 @@ def add_column(table: DataFrame, name: str, kind: str) -> DataFrame:
 def ordered_split(rows: DataFrame, order: list[str], train: int, val: int) -> DataFrame:
     """The first floor(n * train / (train + val)) rows in ``order`` are train, the others val."""
     n = numbered(rows, order, "__n")
-    total = rows.agg(F.count("*").alias("__total"))  # one row
-    cut = F.floor(F.col("__total") * train / (train + val))
-    return n.join(F.broadcast(total)).withColumn("split", F.when(F.col("__n") <= cut, "train").otherwise("val")).drop("__n", "__total")
+    cut = F.floor(rows.agg(F.count("*")).scalar() * train / (train + val))
+    return n.withColumn("split", F.when(F.col("__n") <= cut, "train").otherwise("val")).drop("__n")
 
 
 def tsv_text(columns: list[str]) -> Column:

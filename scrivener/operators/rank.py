@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrivener.functions.names import role_score
+from scrivener.operators.stable import fixed
 
 DAMPING, ITERATIONS = 0.85, 30
 
@@ -36,12 +37,11 @@ def page_rank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = D
     rest = F.lit(1 - damping)
     persons = edges.select("person_id").distinct().withColumn("p", F.lit(1.0))
     venues = None
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for k in range(1, iterations + 1):
         venues = edges.join(persons, "person_id").groupBy("doc_type", "doc_id").agg((rest + damping * F.sum(F.col("to_venue") * F.col("p"))).alias("v"))
         persons = edges.join(venues, ["doc_type", "doc_id"]).groupBy("person_id").agg((rest + damping * F.sum(F.col("to_person") * F.col("v"))).alias("p"))
         if k % checkpoint_every == 0 and k < iterations:
-            persons = persons.checkpoint() if reliable else persons.persist(StorageLevel.MEMORY_AND_DISK)
+            persons = fixed(persons)
     return venues.select(F.col("doc_type").alias("kind"), F.col("doc_id").alias("id"), F.col("v").alias("pr_score")).unionByName(persons.select(F.lit("person").alias("kind"), F.col("person_id").alias("id"), F.col("p").alias("pr_score")))
 
 

@@ -38,8 +38,8 @@ class RuleLineModel:
     hints = {
         "Affiliation": r"\b(?:univ|institute|college|laborator|school|dept)",
         "Role-Label": r"\b(?:chair|committee|editor|board)",
-        "Person": r"^(?:\W*[A-Z][\w.'-]*\W*){2,3}$",
-        "Complex": r"[A-Z]\w+.*[,(].*(?:univ|institute)",
+        "Person": r"^[A-Z][\w.'-]*(?: [A-Z][\w.'-]*){1,2}$",
+        "Complex": r"^[^,(]*[,(].*(?:univ|institute)",
     }
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -125,3 +125,37 @@ def vocabulary(df: DataFrame, token: Column) -> DataFrame:
 
 def characters(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.explode(F.split(text, "")).alias("token")).where("token <> ''").distinct()
+
+
+#: the label list of the token model's head: index 0 is padding and never scored
+TOKEN_LABELS = (
+    "[PAD]", "O", "B-MISC", "I-MISC", "B-PER", "I-PER", "E-PER", "S-PER", "B-ORG", "I-ORG", "E-ORG", "S-ORG", "B-LOC", "I-LOC", "E-LOC", "S-LOC",
+    "B-ROLE", "I-ROLE", "E-ROLE", "S-ROLE", "[CLS]", "[SEP]",
+)
+
+
+def masked_loss(scores: Column, label: Column) -> Column:
+    """Negative log-likelihood of a token's label from its array of scores; null for padding (0)."""
+    total = F.log(F.aggregate(F.transform(scores, F.exp), F.lit(0.0), lambda a, x: a + x))
+    return F.when(label > 0, total - F.get(scores, label))
+
+
+def train_line_svm(lines: DataFrame, label_col: str = "label", text_col: str = "line_text", features: int = 1 << 12):
+    """One linear SVM a label over hashed TF-IDF terms and the dense features; returns a fitted PipelineModel.
+
+    The reference ships no weights; this is the trainable path, fitted by Spark
+    over all labelled rows.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer, VectorAssembler
+
+    stages = [
+        StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc"),
+        RegexTokenizer(inputCol=text_col, outputCol="terms", pattern=r"\W+"),
+        HashingTF(inputCol="terms", outputCol="counts", numFeatures=features),
+        IDF(inputCol="counts", outputCol="tfidf"),
+        VectorAssembler(inputCols=["tfidf", "f_tokens", "f_caps", "f_indent"], outputCol="features"),
+        OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label_index", featuresCol="features"),
+    ]
+    return Pipeline(stages=stages).fit(line_features(lines, text_col))

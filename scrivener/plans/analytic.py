@@ -533,3 +533,17 @@ def o99_feature_windows(spark, d):
 def o170_padded_ids(spark, d):
     ids = F.array(F.col("p_size").cast("long"), F.col("p_partkey").cast("long"))
     return table(spark, d, "part").select("p_partkey", tagger.padded(ids, 4, 0, -3).alias("ids"))
+
+
+@query()
+def o97_train_line_svm(spark, d):
+    found = inputs.page_lines(spark, d).withColumnRenamed("indent", "indentation").where("line_text <> ''")
+    model = tagger.train_line_svm(found)
+    scored = model.transform(tagger.line_features(found))
+    return scored.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("label_index")).cast("long")).alias("right"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 > 0 THEN round(ln(exp(l_quantity / 10) + exp(l_discount) + exp(l_tax) + exp(1)) - [l_quantity / 10, l_discount, l_tax, 1.0][l_linenumber % 4 + 1], 6) END AS loss FROM lineitem")
+def o171_masked_loss(spark, d):
+    scores = F.array(F.col("l_quantity") / 10, F.col("l_discount"), F.col("l_tax"), F.lit(1.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(tagger.masked_loss(scores, F.col("l_linenumber") % 4), 6).alias("loss"))

@@ -60,6 +60,24 @@ def o12_links_of_pages(spark, d):
     return found.select("page_id", "home", F.col("a.url").alias("url"), F.col("a.text").alias("text"))
 
 
+@query(f"WITH {_LINKS_SQL} SELECT page_id, url, CASE WHEN contains(url, '/th') OR contains(url, '/de') THEN 'follow' WHEN contains(url, '.') THEN 'parse' END AS action FROM links WHERE contains(url, '/th') OR contains(url, '/de') OR contains(url, '.')")
+def o10_link_rules(spark, d):
+    found = table(spark, d, "pages").select("page_id", F.explode(web.links_of(F.col("html"))["url"]).alias("url"))
+    return frontier.link_actions(found, {"follow": ["/th", "/de"], "parse": ["."]})
+
+
+@query("SELECT 'https://x.org/' || page_id AS url, 'seed' AS status, CAST(NULL AS VARCHAR) AS error FROM pages WHERE url LIKE 'https%' UNION ALL SELECT 'http://start', 'seed', NULL")
+def o168_seeds(spark, d):
+    urls = table(spark, d, "pages").where(F.startswith("url", F.lit("https"))).select(F.concat(F.lit("https://x.org/"), F.col("page_id").cast("string")).alias("url"))
+    return frontier.seeds(urls, ["http://start"])
+
+
+@query("SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN 404 ELSE 200 END AS http_status, CASE WHEN page_id % 9 = 0 THEN 'Error' WHEN page_id % 2 = 0 THEN 'Accessible URL' ELSE 'Wayback Accessible' END AS status FROM pages")
+def o24_o167_o169_fetch_status(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("http_status"), (F.col("page_id") % 2 == 1).alias("archived"))
+    return frontier.with_status(p).select("page_id", "url", "http_status", "status")
+
+
 @query("""WITH RECURSIVE w AS (SELECT c_custkey AS url, CAST(0 AS BIGINT) AS hop FROM customer WHERE c_custkey <= 3
   UNION SELECT (c.url * 7 + k) % 1000 + 1, c.hop + 1 FROM w c, (VALUES (1), (2)) v(k) WHERE c.hop < 3)
 SELECT url, min(hop) AS hop FROM w WHERE url IN (SELECT c_custkey FROM customer) GROUP BY url""")
@@ -157,9 +175,12 @@ def o25_access_url(spark, d):
     return table(spark, d, "pages").select("page_id", web.access_url(accessible, F.col("url"), wayback).alias("access_url"))
 
 
-@query(f"WITH {_LINKS_SQL} SELECT page_id, home, url, text, {_KIND_SQL.format(u='url', t='text')} AS kind FROM links WHERE ({_AUTHORITY.format('url')} = '' OR {_AUTHORITY.format('url')} = {_AUTHORITY.format('home')}) AND {_KIND_SQL.format(u='url', t='text')} <> 'unk'")
+_MORE_LINKS = '<a href="/committee">Us</a><a class="x" href="http://other.org/chair">Chair</a><a href="t.html">Tutorial</a>'
+
+
+@query(f"WITH {_LINKS_SQL.replace('FROM pages)', f"FROM (SELECT page_id, url, html || '{_MORE_LINKS}' AS html FROM pages))")} SELECT page_id, home, url, text, {_KIND_SQL.format(u='url', t='text')} AS kind FROM links WHERE ({_AUTHORITY.format('url')} = '' OR {_AUTHORITY.format('url')} = {_AUTHORITY.format('home')}) AND {_KIND_SQL.format(u='url', t='text')} <> 'unk'")
 def o26_relevant_links(spark, d):
-    return frontier.relevant_links(table(spark, d, "pages"))
+    return frontier.relevant_links(table(spark, d, "pages").withColumn("html", F.concat("html", F.lit(_MORE_LINKS))))
 
 
 @query(f"SELECT a.page_id, b.page_id AS other_id FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE {_AUTHORITY.format('b.url')} = '' OR {_AUTHORITY.format('a.url')} = {_AUTHORITY.format('b.url')}")

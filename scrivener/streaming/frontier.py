@@ -20,6 +20,28 @@ def relevant_links(pages: DataFrame) -> DataFrame:
     return out.withColumn("kind", classify_link(F.col("text"), F.col("url"))).where(same_domain(F.col("home"), F.col("url")) & (F.col("kind") != "unk"))
 
 
+def link_actions(links: DataFrame, rules: dict[str, list[str]], url_col: str = "url") -> DataFrame:
+    """Links with the first action one of whose fragments they contain; others are dropped."""
+    action = F.lit(None).cast("string")
+    for name, parts in reversed(rules.items()):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | F.contains(url_col, F.lit(part))
+        action = F.when(hit, name).otherwise(action)
+    return links.withColumn("action", action).where("action is not null")
+
+
+def seeds(urls: DataFrame, constant: list[str]) -> DataFrame:
+    """(url, status, error) of the start pages: those of a table and constant ones."""
+    more = urls.sparkSession.createDataFrame([(u,) for u in constant], "url string")
+    return urls.select("url").unionByName(more).select("url", F.lit("seed").alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+def with_status(fetched: DataFrame) -> DataFrame:
+    """``fetched`` (http_status, archived) with what the answer makes of the page; the fetch itself is outside the engine."""
+    return fetched.withColumn("status", F.when(F.coalesce(F.col("http_status"), F.lit(404)) != 200, "Error").when(F.col("archived"), "Wayback Accessible").otherwise("Accessible URL"))
+
+
 def walk(pages: DataFrame, links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(url, hop) reachable from ``seeds`` (url) over ``links`` (src, dst) within ``hops``; pages fetched once."""
     seen = seeds.select("url").distinct().withColumn("hop", F.lit(0))
