@@ -44,7 +44,7 @@ CLASSES = HEAD // WIDTH + BANDS
 SYMBOLS = HEAD + BANDS
 HIDDEN, STEPS, SEGMENT = 24, 16, 32
 END = b"\n"  # no word holds a line end
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 NOTHING = -1e9
 DOCUMENT, HASHES, COUNTS, TOP, STATS = 3, 0, 1, 2, 4
 _SCHEMA = "kind int, b long, c long, v double, blob binary"
@@ -87,6 +87,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_share(logits: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one column a row; ``logits`` is used up."""
+    chosen = logits[rows, picked]
+    if logits.size and logits.max() > 60:  # float32 overflows at 88
+        top = logits.max(1)
+        logits -= top[:, None]
+        chosen = chosen - top
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(1))
+
+
 class Network:
     """Parameters by name, float32.
 
@@ -148,17 +159,13 @@ class Network:
     def log_probs(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of class times word probability; within bands only the class."""
         rows, cls = np.arange(len(h)), self.class_of(symbols)
-        logits = h @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[rows, cls] - np.log(np.exp(logits).sum(1))
+        out = _log_share(h @ self.p["wc"] + self.p["bc"], rows, cls)
         head = np.flatnonzero(symbols < HEAD)
         order = head[np.argsort(cls[head], kind="stable")]
         for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
             if len(part):
                 k = cls[part[0]]
-                logits = h[part] @ self.p["ww"][k] + self.p["bw"][k]
-                logits -= logits.max(1, keepdims=True)
-                out[part] += logits[np.arange(len(part)), symbols[part] % WIDTH] - np.log(np.exp(logits).sum(1))
+                out[part] += _log_share(h[part] @ self.p["ww"][k] + self.p["bw"][k], rows[: len(part)], symbols[part] % WIDTH)
         return out
 
     def gradients(self, before: np.ndarray, symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -273,7 +280,7 @@ def train(net: Network, docs: Iterator[np.ndarray], every: int, phase: int, lane
     return tokens
 
 
-def score(net: Network, docs: list[np.ndarray], lanes: int = 512, steps: int = 64) -> np.ndarray:
+def score(net: Network, docs: list[np.ndarray], lanes: int = 256, steps: int = 64) -> np.ndarray:
     """Natural log-likelihood of whole documents; within bands only the class."""
     out = np.zeros(len(docs))
     lanes = min(lanes, len(docs))
@@ -309,6 +316,7 @@ def score(net: Network, docs: list[np.ndarray], lanes: int = 512, steps: int = 6
     by_load = np.argsort([-x for x in load], kind="stable")
     symbols, before, owner, fresh = (a[by_load] for a in (symbols, before, owner, fresh))
     load = np.array(load)[by_load]
+    starts = fresh.any(axis=0).tolist()
     h = np.zeros((lanes, HIDDEN), np.float32)
     for a in range(0, length, steps):
         live = int((load > a).sum())
@@ -316,7 +324,8 @@ def score(net: Network, docs: list[np.ndarray], lanes: int = 512, steps: int = 6
         b = min(a + steps, length)
         states = np.empty((b - a, live, HIDDEN), np.float32)
         for t in range(a, b):
-            h = np.where(fresh[:live, t, None], np.float32(0), h)
+            if starts[t]:
+                h = np.where(fresh[:live, t, None], np.float32(0), h)
             h = net.step(h, before[:live, t])[0]
             states[t - a] = h
         who = owner[:live, a:b].T.ravel()
@@ -502,7 +511,7 @@ def _scored(params: bytes):
             for row in zip(*(b.column(c).to_pylist() for c in _ROW)):
                 held.append(row)
                 size += row[2]
-                if size >= 2_000_000:
+                if size >= 1_000_000:
                     yield work()
                     held, size = [], 0
         if held:
