@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,3 +134,12 @@ def consolidate(facts: DataFrame, clusters: DataFrame) -> DataFrame:
     """Distinct (conf_id, person, org, role) with every organization replaced by its representative."""
     reps = clusters.select(F.col("name").alias("org"), "representative")
     return facts.join(reps, "org").select("conf_id", "person", F.col("representative").alias("org"), "role").distinct()
+
+
+def save_clusters(clusters: DataFrame, path: str) -> None:
+    """The cluster map as a table, in place of a pickled object."""
+    clusters.select("id", "name", "cluster", "representative").write.mode("overwrite").parquet(path)
+
+
+def load_clusters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, name string, cluster long, representative string").parquet(path)

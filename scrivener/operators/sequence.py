@@ -13,16 +13,58 @@ from pyspark.sql.window import Window
 
 # Role words of editorial boards and their tags
 ROLE_WORDS = {
-    "ROLE": (
-        "co-editor co-editors book-review-committee book-review-editor review-committee review-board advisory-council advisory-board managing-board "
-        "coordinating-editor coordinating-editors founding-editor founding-editors department-editor department-editors action-editor action-editors "
-        "section-editor section-editors managing-editor managing-editors senior-associate-editors senior-associate-editor editor-in-chief "
-        "editors-in-chief associate-editors associate-editor editorial-board editorialboard editor-emeritus editors editor"
-    ),
-    "B-ROLE": "executive deputy honorable coordinating action section founding managing senior editorial book",
-    "BI-ROLE": "advisory review associate",
-    "E-ROLE": "board committee council chief emeritus",
-    "I-ROLE": "in",
+    "co-editor": "ROLE",
+    "co-editors": "ROLE",
+    "book-review-committee": "ROLE",
+    "book-review-editor": "ROLE",
+    "review-committee": "ROLE",
+    "review-board": "ROLE",
+    "advisory-council": "ROLE",
+    "advisory-board": "ROLE",
+    "managing-board": "ROLE",
+    "coordinating-editor": "ROLE",
+    "coordinating-editors": "ROLE",
+    "founding-editor": "ROLE",
+    "founding-editors": "ROLE",
+    "department-editor": "ROLE",
+    "department-editors": "ROLE",
+    "action-editor": "ROLE",
+    "action-editors": "ROLE",
+    "section-editor": "ROLE",
+    "section-editors": "ROLE",
+    "managing-editor": "ROLE",
+    "managing-editors": "ROLE",
+    "senior-associate-editors": "ROLE",
+    "senior-associate-editor": "ROLE",
+    "editor-in-chief": "ROLE",
+    "editors-in-chief": "ROLE",
+    "associate-editors": "ROLE",
+    "associate-editor": "ROLE",
+    "editorial-board": "ROLE",
+    "editorialboard": "ROLE",
+    "editor-emeritus": "ROLE",
+    "editors": "ROLE",
+    "editor": "ROLE",
+    "executive": "B-ROLE",
+    "deputy": "B-ROLE",
+    "honorable": "B-ROLE",
+    "coordinating": "B-ROLE",
+    "action": "B-ROLE",
+    "section": "B-ROLE",
+    "founding": "B-ROLE",
+    "managing": "B-ROLE",
+    "senior": "B-ROLE",
+    "editorial": "B-ROLE",
+    "book": "B-ROLE",
+    "advisory": "BI-ROLE",
+    "review": "BI-ROLE",
+    "associate": "BI-ROLE",
+    "board": "E-ROLE",
+    "committee": "E-ROLE",
+    "council": "E-ROLE",
+    "in": "I-ROLE",
+    "chief": "E-ROLE",
+    "emeritus": "E-ROLE",
 }
 #: misspelt in the reference, kept and configurable
 ORG_WORDS = ("univerisity", "institute")
@@ -33,8 +75,8 @@ def role_tag(word: Column) -> Column:
     """Tag of a role word, null for others."""
     w = F.lower(word)
     out = F.lit(None).cast("string")
-    for tag, words in ROLE_WORDS.items():
-        out = F.when(w.isin(*words.split()), tag).otherwise(out)
+    for tag in dict.fromkeys(ROLE_WORDS.values()):
+        out = F.when(w.isin(*(x for x, t in ROLE_WORDS.items() if t == tag)), tag).otherwise(out)
     return out
 
 

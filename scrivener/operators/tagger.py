@@ -127,10 +127,10 @@ def characters(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.explode(F.split(text, "")).alias("token")).where("token <> ''").distinct()
 
 
-#: the label list of the token model's head: index 0 is padding and never scored
+# Labels of the token model's head, numbered from 1; 0 is padding and never scored
 TOKEN_LABELS = (
-    "[PAD]", "O", "B-MISC", "I-MISC", "B-PER", "I-PER", "E-PER", "S-PER", "B-ORG", "I-ORG", "E-ORG", "S-ORG", "B-LOC", "I-LOC", "E-LOC", "S-LOC",
-    "B-ROLE", "I-ROLE", "E-ROLE", "S-ROLE", "[CLS]", "[SEP]",
+    "O", "B-MISC", "I-MISC", "B-PER", "I-PER", "E-PER", "S-PER", "B-ORG", "I-ORG", "E-ORG", "S-ORG", "B-LOC", "I-LOC", "E-LOC", "S-LOC",
+    "B-ROLE", "I-ROLE", "E-ROLE", "ROLE", "BI-ROLE", "[CLS]", "[SEP]",
 )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrivener import schemas
 from scrivener.functions import names, text, web
-from scrivener.operators import dml, rank
+from scrivener.operators import dml, rank, sequence
 from scrivener.plans import inputs
 from scrivener.plans.inputs import JOURNAL_LINES_SQL, JOURNAL_ROLES_SQL, PAGE_LINES_SQL, ROLES_SQL
 from scrivener.plans.registry import query, table
@@ -271,6 +272,21 @@ def o43_o162_append(spark, d):
     return dml.append(old, c.where("c_acctbal <= 0").select("c_custkey", F.lit("new").alias("n_name")))
 
 
+@query("SELECT p.page_id, p.url FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id AND l.quality = 1 WHERE l.doc_id IS NULL")
+def o112_next_batch(spark, d):
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "Yes").otherwise("Error").alias("status"))
+    return frontier.next_batch(table(spark, d, "pages").select("page_id", "url"), done)
+
+
+_TABLES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS name, CAST({ddl.count(', ') + 1} AS BIGINT) AS columns, CAST({ddl.count('NOT NULL')} AS BIGINT) AS required" for t, ddl in schemas.DDL.items())
+
+
+@query(_TABLES_SQL)
+def o44_schemas(spark, d):
+    shapes = [(t, len(schemas.schema(t).fields), sum(not f.nullable for f in schemas.schema(t).fields)) for t in schemas.DDL]
+    return spark.createDataFrame(shapes, "name string, columns long, required long")
+
+
 @query(f"WITH {PAGE_LINES_SQL} SELECT id, label, line_text FROM page_lines WHERE line_text <> '' AND label <> 'Undefined'")
 def o46_relevant_lines(spark, d):
     from scrivener.operators.lines import relevant_lines
@@ -343,15 +359,13 @@ def o66_conference_pages_lines(spark, d):
     return doc.join(table(spark, d, "pages").select("page_id"), F.col("page_id") == F.col("doc_id")).join(lab, "doc_id").select("doc_id", "page_id", "quality")
 
 
-_ROLE_TAG = "CASE " + " ".join("WHEN lower({w}) IN (" + ", ".join(f"'{x}'" for x in words.split()) + f") THEN '{tag}'" for tag, words in __import__("scrivener.operators.sequence", fromlist=["x"]).ROLE_WORDS.items()) + " END"
+_ROLE_TAG = "CASE lower({w}) " + " ".join(f"WHEN '{word}' THEN '{tag}'" for word, tag in sequence.ROLE_WORDS.items()) + " END"
 
 
 @query("SELECT conv_id, turn, word, tag FROM (SELECT conv_id, turn, word, " + _ROLE_TAG.format(w="word") + " AS tag FROM (SELECT conv_id, turn, unnest(list_concat(string_split(text, ' '), ['Editor-in-Chief', 'Senior'])) AS word FROM conversations)) WHERE tag IS NOT NULL")
 def o67_role_words(spark, d):
-    from scrivener.operators.sequence import role_tag
-
     words = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.concat(F.split("text", " ", -1), F.array(F.lit("Editor-in-Chief"), F.lit("Senior")))).alias("word"))
-    return words.withColumn("tag", role_tag(F.col("word"))).where("tag is not null")
+    return words.withColumn("tag", sequence.role_tag(F.col("word"))).where("tag is not null")
 
 
 @query("SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE n_chars < 300) WHERE lower(word) IN (SELECT lower(unnest(string_split(text, ' '))) FROM benchmark)")

@@ -53,6 +53,12 @@ def walk(pages: DataFrame, links: DataFrame, seeds: DataFrame, hops: int) -> Dat
     return seen
 
 
+def next_batch(pages: DataFrame, done: DataFrame, size: int | None = None) -> DataFrame:
+    """Pages whose id is not among the finished ones; a failed page is there again until it is finished."""
+    left = pages.join(done.where("status = 'Yes'").select("page_id"), "page_id", "left_anti")
+    return left if size is None else left.orderBy("page_id").limit(size)
+
+
 def stream_pages(spark: SparkSession, path: str, schema: str, max_files: int = 64) -> DataFrame:
     """New page files as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)

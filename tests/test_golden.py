@@ -114,7 +114,7 @@ def test_page_rank_by_hand_and_by_numpy(spark):
     assert all(x == pytest.approx(v[i] if k == "conference" else p[i]) for (k, i), x in found.items())
 
 
-def test_ward_inside_components_equals_ward_of_all(spark):
+def test_ward_inside_components_equals_ward_of_all(spark, tmp_path):
     rng = np.random.default_rng(2)
     words = ["alpha", "beta", "gamma", "delta", "uni", "institute", "lab", "north", "south"]
     pool = sorted({" ".join(rng.choice(words, rng.integers(1, 4), replace=False)) for _ in range(40)}) + ["?"]
@@ -129,6 +129,8 @@ def test_ward_inside_components_equals_ward_of_all(spark):
     got = {}
     for r in cluster.cluster_names(df).collect():
         got.setdefault(r.cluster, set()).add(r.id)
+    cluster.save_clusters(cluster.cluster_names(df), f"file://{tmp_path}/map")
+    assert cluster.load_clusters(spark, f"file://{tmp_path}/map").count() == len(pool)
     assert {frozenset(s) for s in got.values()} == want and any(len(s) > 1 for s in want)
 
 
