@@ -33,13 +33,19 @@ def weighted_edges(roles: DataFrame, literal_scores: bool = True) -> DataFrame:
 
 def page_rank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, checkpoint_every: int = 6) -> DataFrame:
     """(kind, id, pr_score) of all nodes of ``edges``; the start is 1, the update is not divided by the number of nodes."""
+    # kept by each end, so that a half-step moves one partial sum a node and task, never the edges
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    by_person = edges.select("doc_type", "doc_id", "person_id", "to_venue").repartition(parts, "person_id").persist(StorageLevel.MEMORY_AND_DISK)
+    by_venue = edges.select("doc_type", "doc_id", "person_id", "to_person").repartition(parts, "doc_type", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     rest = F.lit(1 - damping)
-    persons = edges.select("person_id").distinct().withColumn("p", F.lit(1.0))
+    persons = by_person.select("person_id").distinct().withColumn("p", F.lit(1.0))
     venues = None
     for k in range(1, iterations + 1):
-        venues = edges.join(persons, "person_id").groupBy("doc_type", "doc_id").agg((rest + damping * F.sum(F.col("to_venue") * F.col("p"))).alias("v"))
-        persons = edges.join(venues, ["doc_type", "doc_id"]).groupBy("person_id").agg((rest + damping * F.sum(F.col("to_person") * F.col("v"))).alias("p"))
+        venues = by_person.join(persons, "person_id").groupBy("doc_type", "doc_id").agg((rest + damping * F.sum(F.col("to_venue") * F.col("p"))).alias("v"))
+        if k == iterations:  # read by the result and by the last persons
+            venues = venues.persist(StorageLevel.MEMORY_AND_DISK)
+        persons = by_venue.join(venues, ["doc_type", "doc_id"]).groupBy("person_id").agg((rest + damping * F.sum(F.col("to_person") * F.col("v"))).alias("p"))
         if k % checkpoint_every == 0 and k < iterations:
             persons = fixed(persons)
     return venues.select(F.col("doc_type").alias("kind"), F.col("doc_id").alias("id"), F.col("v").alias("pr_score")).unionByName(persons.select(F.lit("person").alias("kind"), F.col("person_id").alias("id"), F.col("p").alias("pr_score")))
