@@ -41,36 +41,57 @@ MIN_ASSIGNED = 6
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def _quoted(pattern: str) -> Column:
-    return F.lit(pattern)
+CHUNK = 512
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """Array of (start, rank, kind, end, value) of one kind's matches."""
-    pattern, rank = KINDS[kind], list(KINDS).index(kind)
-    whole = F.regexp_extract_all(text, _quoted(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, _quoted(pattern), F.lit(2 if kind == "assign" else 0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def pieces_of(text: Column, kind: str) -> Column:
+    """array<struct<gap, whole, value>> of one kind's matches and the text before each; null without a match."""
+    pattern = F.lit(KINDS[kind])
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    value = F.regexp_extract_all(text, pattern, F.lit(2 if kind == "assign" else 0))
+    return F.when(F.rlike(text, pattern), F.arrays_zip(F.split(text, KINDS[kind], -1).alias("gap"), whole.alias("whole"), value.alias("value")))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.length(p["whole"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"))
-        # the last gap has no match behind it
-        keep = p["whole"].isNotNull() & (F.length(p["value"]) >= MIN_ASSIGNED if kind == "assign" else F.lit(True))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.rlike(text, _quoted(pattern)), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+def sums_before(lengths: Column) -> Column:
+    """Sum of all elements before each, in chunks: appending to one long array would copy it for every element."""
+    none = F.array().cast("array<int>")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda i: F.slice(lengths, i * CHUNK + 1, CHUNK))
+
+    def running(values: Column, start: Column) -> Column:
+        first = F.struct(start.cast("int").alias("at"), none.alias("out"))
+        return F.aggregate(values, first, lambda acc, x: F.struct((acc["at"] + x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(chunks, running(totals, F.lit(0)), running))
+
+
+def spans_of(pieces: Column, before: Column, kind: str) -> Column:
+    """array<struct<start, rank, kind, end, value>> from ``pieces_of`` and the lengths before each piece."""
+    rank = list(KINDS).index(kind)
+
+    def span(p: Column, at: Column) -> Column:
+        start = at + F.length(p["gap"])
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(p["whole"])).alias("end"), p["value"].alias("value"))
+
+    least = MIN_ASSIGNED if kind == "assign" else 1
+    # the last gap has no match behind it
+    found = F.filter(F.zip_with(pieces, before, span), lambda s: s["value"].isNotNull() & (F.length(s["value"]) >= least))
+    return F.coalesce(found.cast(_SPAN), F.array().cast(_SPAN))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(rid, doc_id, owner, repo, spans) of every row, written once; ``rid`` names the row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     repo = F.xxhash64(*(F.col(c) for c in repo_cols), *(F.col(c).isNull() for c in repo_cols))
+    keys = ["doc_id", "owner", "repo"]
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(owner_col, F.col(owner_col).isNull()).alias("owner"), repo.alias("repo"), text.alias("text"))
-    spans = F.array_sort(F.concat(*(spans_of(F.col("text"), k) for k in KINDS)))
-    return materialize(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", spans.alias("spans")))
+    # one projection for each use of the last one's arrays, so that no pattern runs twice
+    cut = found.select(*keys, *(pieces_of(F.col("text"), k).alias(k) for k in KINDS))
+    length = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["whole"]), F.lit(0))
+    measured = cut.select(*keys, *KINDS, *(F.transform(k, length).alias(f"{k}_lengths") for k in KINDS))
+    summed = measured.select(*keys, *KINDS, *(sums_before(F.col(f"{k}_lengths")).alias(f"{k}_before") for k in KINDS))
+    spans = F.array_sort(F.concat(*(spans_of(F.col(k), F.col(f"{k}_before"), k) for k in KINDS)))
+    return materialize(summed.select(F.monotonically_increasing_id().alias("rid"), *keys, spans.alias("spans")))
 
 
 def ownership(spans: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def test_spans_equal_plain_matching(spark, sf_dir, make_docs):
     assert "token:0:34" in out[10**6 + 5].spans and "key:" in out[10**6 + 5].spans
 
 
+def test_places_behind_thousands_of_matches(spark, make_docs):
+    text = "é " + "deadbeef" * 3 + " " + "token=abcdefgh password: x " * 1500 + "0" * 24
+    out = secrets.digest_secrets(secrets.scan_secrets(make_docs([(1, text)]))).first()
+    assert out.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest() and out.n_assign == 1500
+
+
 def test_no_python_in_the_plan(spark, sf_dir, capsys):
     secrets.digest_secrets(secrets.scan_secrets(table(spark, sf_dir, "documents"))).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
