@@ -55,24 +55,25 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-class TokenHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return h
+class Numbering(dict):
+    """Words to numbers in the order of their first use."""
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-END_HASH = np.uint64(xxhash.xxh64_intdigest(END, 11))
 
-
-def token_hashes(text: bytes, hashes: TokenHashes) -> np.ndarray:
-    """Hashes of a text's tokens, the end included."""
-    words = text.lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    out[-1] = END_HASH
-    return out
+def numbered_tokens(texts: Iterator[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(token numbers of every text, the end included; hashes of the numbered tokens)."""
+    numbers = Numbering()
+    end, docs = numbers[END], []
+    for text in texts:
+        words = text.lower().split()
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+        out[-1] = end
+        docs.append(out)
+    return docs, np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in numbers), np.uint64, len(numbers))
 
 
 def band(counts: np.ndarray) -> np.ndarray:
@@ -381,23 +382,22 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield key, held
 
 
-def _block_tokens(rows: list[tuple], hashes: TokenHashes) -> tuple[list[int | None], list[np.ndarray]]:
-    expand = zstandard.ZstdDecompressor().decompress
-    found = [(r[2], token_hashes(expand(r[4]), hashes)) for r in rows if r[0] == DOCUMENT]
-    return [i for i, _ in found], [t for _, t in found]
+def _block_tokens(rows: list[tuple]) -> tuple[list[int | None], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(ids, token numbers, hashes by number, numbers in the order of their hashes)."""
+    expand, mine = zstandard.ZstdDecompressor().decompress, [r for r in rows if r[0] == DOCUMENT]
+    docs, hashes = numbered_tokens(expand(r[4]) for r in mine)
+    return [r[2] for r in mine], docs, hashes, np.argsort(hashes)
 
 
 def _counted(buckets: int):
     """Step 1, blocks: (HASHES, bucket, block, null, sorted hashes and training counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes()
         for block, rows in _by_block(batches):
-            ids, docs = _block_tokens(rows, hashes)
-            trains = [not held_out(i) for i in ids]
-            distinct, at = np.unique(np.concatenate(docs), return_inverse=True)
-            weights = np.repeat(np.array(trains, np.float64), [len(d) for d in docs])
-            counts = np.bincount(at, weights, len(distinct)).astype(np.uint32)
+            ids, docs, hashes, order = _block_tokens(rows)
+            trains = [d for i, d in zip(ids, docs) if not held_out(i)]
+            distinct = hashes[order]
+            counts = np.bincount(np.concatenate(trains) if trains else np.empty(0, np.int32), minlength=len(hashes)).astype(np.uint32)[order]
             bucket = _bucket_of(distinct, buckets)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             out = []
@@ -447,13 +447,12 @@ def _symbols(head_hashes: np.ndarray, masses: np.ndarray, total: float, types: i
     by_hash = head_hashes[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes()
         for _, rows in _by_block(batches):
-            ids, docs = _block_tokens(rows, hashes)
+            ids, docs, distinct, by_bucket = _block_tokens(rows)
             if not docs:
                 continue
-            distinct, at = np.unique(np.concatenate(docs), return_inverse=True)
-            counts = np.concatenate([_unsqueezed(r[4], "u8") for r in sorted((r for r in rows if r[0] == COUNTS), key=lambda r: r[2])]).astype(np.float64)
+            counts = np.empty(len(distinct))
+            counts[by_bucket] = np.concatenate([_unsqueezed(r[4], "u8") for r in sorted((r for r in rows if r[0] == COUNTS), key=lambda r: r[2])])
             base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
             symbols = HEAD + band(counts)
             share = np.log((counts + 0.5) / masses[symbols - HEAD])
@@ -461,11 +460,9 @@ def _symbols(head_hashes: np.ndarray, masses: np.ndarray, total: float, types: i
                 place = np.minimum(np.searchsorted(by_hash, distinct), len(by_hash) - 1)
                 head = by_hash[place] == distinct
                 symbols[head], share[head] = order[place[head]], 0.0
-            a, out = 0, []
-            for i, d in zip(ids, docs):
-                mine = at[a : a + len(d)]
-                a += len(d)
-                out.append((i, held_out(i), len(d), int((counts[mine] > 0).sum()), float(base[mine].sum()), float(share[mine].sum()), _squeezed(symbols[mine].astype("u2"))))
+            out = []
+            for i, mine in zip(ids, docs):
+                out.append((i, held_out(i), len(mine), int((counts[mine] > 0).sum()), float(base[mine].sum()), float(share[mine].sum()), _squeezed(symbols[mine].astype("u2"))))
             for k in range(0, len(out), 2000):
                 yield _batch(out[k : k + 2000], _ROW, _ROW_TYPES)
 
