@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scrivener.llm import bpe, decontam, linededup, minhash, quality
 from scrivener.llm.common import materialize, table
-from scrivener.llm.queries import tokenizer_path
+from scrivener.llm.queries import ERROR_RATE, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), error_rate=ERROR_RATE)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

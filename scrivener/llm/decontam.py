@@ -1,14 +1,20 @@
 """Benchmark decontamination by pigeonhole pieces and Myers' bit-parallel distance.
 
-Texts and test items are reduced to lower-case words joined by single blanks.
+Texts and test items are reduced to lower-case words joined by single blanks, in
+Unicode characters: lower-cased, composed (NFC), ASCII punctuation as blanks.
 An item of m characters has a budget of e = floor(m * ``error_rate``) edits and
 is cut into e + 1 pieces: a text that holds the item within e edits holds one
-piece unchanged.  One Aho-Corasick automaton finds all pieces in whole texts;
-around every hit Myers' algorithm decides the least distance exactly.
+piece unchanged.  One Aho-Corasick automaton finds all pieces in whole texts.
+
+Short pieces are hit often by chance, so a hit climbs a binary tree over the
+item's pieces first: a node of u pieces is allowed u - 1 edits, and a node
+within its edits has a child within its own (else the children had at least u),
+so every match has one hit whose nodes all are within theirs.  Around the hits
+that reach the root Myers' algorithm decides the least distance exactly.
 
 Items come to the tasks in blocks of at most ``block_bytes`` of text, each block
 against all rows, so that no size of the benchmark is assumed.  Items of fewer
-than ``min_words`` words are no evidence of a leak and are not searched.
+than ``min_words`` words are searched exactly, as whole words.
 
 Cases: null, empty and blank texts or items give no pairs; repeated rows give
 repeated pairs, repeated items one pair an item row; a null id stays null.
@@ -16,6 +22,7 @@ repeated pairs, repeated items one pair an item row; a null id stays null.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,13 +32,16 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.common import texts
 
-# ASCII letters fall to lower case, digits stay, bytes beyond ASCII stay, the rest are blanks
+# behind lower-casing: ASCII letters and digits stay, characters beyond ASCII stay, the rest are blanks
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 def normal(text: bytes) -> str:
-    """Words joined by blanks, one character a byte."""
-    return b" ".join(text.lower().translate(_WORDS).split()).decode("latin-1")
+    """Lower-case words joined by blanks."""
+    if text.isascii():
+        return b" ".join(text.lower().translate(_WORDS).split()).decode("ascii")
+    composed = unicodedata.normalize("NFC", text.decode("utf-8", "replace").lower())
+    return " ".join(composed.encode().translate(_WORDS).decode().split())
 
 
 class Myers:
@@ -68,23 +78,72 @@ class Myers:
         return best
 
 
+def beside(hay: str, at: int, part: str, before: bool) -> bool:
+    """Whether ``part`` may stand within one edit directly behind, or ``before``, place ``at``: one half of it is unchanged."""
+    half = len(part) // 2
+    first, last = part[:half], part[half:]
+    if before:
+        if hay.endswith(last, 0, at):
+            return True
+        start = at - len(part)
+        return any(hay.startswith(first, start + k) for k in (-1, 0, 1) if start + k >= 0)
+    return hay.startswith(first, at) or any(hay.startswith(last, at + half + k) for k in (-1, 0, 1) if at + half + k >= 0)
+
+
+class Item:
+    """A test item, its pieces, and for each piece the tree's nodes above it."""
+
+    def __init__(self, item_id: int, pattern: str, budget: int, whole_words: bool):
+        self.item_id, self.pattern, self.budget, self.whole_words = item_id, pattern, budget, whole_words
+        self.cuts = [len(pattern) * i // (budget + 1) for i in range(budget + 2)]
+        self.myers: dict[tuple[int, int], Myers] = {}
+
+    def above(self, piece: int) -> list[tuple[int, int]]:
+        """Ranges of pieces from the smallest node above ``piece`` to the last below the root."""
+        out, low, high = [], 0, self.budget + 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if piece < middle else (middle, high)
+            if high - low > 1:
+                out.append((low, high))
+        return out[::-1]
+
+    def distance(self, low: int, high: int, hay: str) -> int:
+        """Least distance of pieces ``low`` to ``high`` in ``hay``."""
+        if (low, high) not in self.myers:
+            self.myers[low, high] = Myers(self.pattern[self.cuts[low] : self.cuts[high]])
+        return self.myers[low, high].distance(hay)
+
+    def climbs(self, piece: int, nodes: list[tuple[int, int]], at: int, hay: str) -> bool:
+        """Whether all nodes above a piece found at ``at`` are within their edits."""
+        cuts = self.cuts
+        for low, high in nodes:
+            if high - low == 2:
+                other = low if low < piece else piece + 1
+                if not beside(hay, at if other < piece else at + cuts[other] - cuts[piece], self.pattern[cuts[other] : cuts[other + 1]], other < piece):
+                    return False
+                continue
+            edits, start = high - low - 1, at - cuts[piece] + cuts[low]
+            if self.distance(low, high, hay[max(0, start - edits) : start + cuts[high] - cuts[low] + edits]) > edits:
+                return False
+        return True
+
+
 class Searcher:
     """Finds items within their error budgets; build once a task."""
 
     def __init__(self, items: list[tuple[int, bytes]], error_rate: float, min_words: int):
-        self.items: list[tuple[int, str, int]] = []
-        places: dict[str, list[tuple[int, int]]] = {}
+        self.items: list[Item] = []
+        places: dict[str, list[tuple[int, int, list[tuple[int, int]]]]] = {}
         for item_id, text in items:
             pattern = normal(text)
-            if pattern.count(" ") + 1 < min_words:
+            if not pattern:
                 continue
-            budget = int(len(pattern) * error_rate)
-            k = len(self.items)
-            self.items.append((item_id, pattern, budget))
-            cuts = [len(pattern) * i // (budget + 1) for i in range(budget + 2)]
-            for a, b in zip(cuts, cuts[1:]):
-                places.setdefault(pattern[a:b], []).append((k, a))
-        self.myers: dict[int, Myers] = {}
+            short = pattern.count(" ") + 1 < min_words
+            item = Item(item_id, pattern, 0 if short else int(len(pattern) * error_rate), short)
+            for piece in range(item.budget + 1):
+                places.setdefault(pattern[item.cuts[piece] : item.cuts[piece + 1]], []).append((len(self.items), piece, item.above(piece)))
+            self.items.append(item)
         self.automaton = ahocorasick.Automaton()
         for piece, at in places.items():
             self.automaton.add_word(piece, (len(piece), at))
@@ -98,21 +157,28 @@ class Searcher:
         hay = normal(text)
         starts: dict[int, set[int]] = {}
         for end, (size, at) in self.automaton.iter(hay):
-            for k, offset in at:
-                starts.setdefault(k, set()).add(end + 1 - size - offset)
+            place = end + 1 - size
+            for k, piece, nodes in at:
+                item = self.items[k]
+                start = place - item.cuts[piece]
+                found = starts.get(k)
+                if found is not None and start in found:
+                    continue
+                if item.whole_words and (place and hay[place - 1] != " " or hay[end + 1 : end + 2].strip()):
+                    continue
+                if item.climbs(piece, nodes, place, hay):
+                    starts.setdefault(k, set()).add(start)
         out = []
         for k, found in starts.items():
-            item_id, pattern, budget = self.items[k]
-            if pattern in hay:
-                out.append((item_id, 0))
+            item = self.items[k]
+            if item.pattern in hay:
+                out.append((item.item_id, 0))
                 continue
-            best = budget + 1
-            if k not in self.myers:
-                self.myers[k] = Myers(pattern)
-            for a, b in windows(sorted(found), len(pattern), budget):
-                best = min(best, self.myers[k].distance(hay[max(0, a) : b]))
-            if best <= budget:
-                out.append((item_id, best))
+            best = item.budget + 1
+            for a, b in windows(sorted(found), len(item.pattern), item.budget):
+                best = min(best, item.distance(0, item.budget + 1, hay[max(0, a) : b]))
+            if best <= item.budget:
+                out.append((item.item_id, best))
         return sorted(out)
 
 

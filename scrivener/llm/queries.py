@@ -11,6 +11,10 @@ from scrivener.llm import bpe, decontam, licenses, linededup, lmscore, minhash,
 from scrivener.llm.common import table
 
 
+# Share of an item's characters that may be edited in a leak
+ERROR_RATE = 0.10
+
+
 def tokenizer_path() -> str:
     """The published word-level vocabulary; an installed file, never copied."""
     import public_tokenizers
@@ -60,7 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaking documents only: a row for each document and the item it holds."""
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_rate=ERROR_RATE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 """op10 against a brute-force search, and the pipeline stage by stage."""
 
 import random
+import unicodedata
 
 import numpy as np
 
@@ -53,6 +54,34 @@ def test_finds_every_item_within_its_budget(spark, make_docs):
     assert {(r.doc_id, r.item_id): r.distance for r in few.collect()} == want
 
 
+def test_query_finds_accented_capitals_short_items_and_a_tenth_of_edits(spark, tmp_path):
+    rng = random.Random(8)
+    accented = "élève où çà naïve être à côté forêt"
+    plain = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(17))[:100]
+    several = plain
+    for k in range(9):  # 9 of 100 characters
+        several = several[: 11 * k + 5] + "z" + several[11 * k + 6 :]
+    spark.createDataFrame([(1, accented), (2, plain), (3, "Dunkle Öfen"), (4, "?!")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"avant {accented.upper()} après"), (2, f"so {several} on"), (3, "die dunkle öfen. x"), (4, "verdunkle öfenrohr"), (5, unicodedata.normalize("NFD", accented))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in queries.op10_decontamination(spark, str(tmp_path)).select("doc_id", "item_id", "distance").collect()}
+    assert found == {(1, 1, 0), (2, 2, 9), (3, 3, 0), (5, 1, 0)}
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [4]
+
+
+def test_search_equals_brute_force_at_high_rates():
+    rng = random.Random(9)
+    for n in range(150):
+        p = "".join(rng.choices("abé ", k=rng.randrange(20, 90)))
+        p = decontam.normal(p.encode())
+        rate = rng.choice([0.05, 0.1, 0.2, 0.3])
+        text = "".join(rng.choices("abé ", k=20)) + edited(rng, p, rng.randrange(0, int(len(p) * rate) + 3)) + "".join(rng.choices("abé ", k=20))
+        d = distance(p, decontam.normal(text.encode()))
+        want = [(1, d)] if d <= int(len(p) * rate) else []
+        assert decontam.Searcher([(1, p.encode())], rate, 1).search(text.encode()) == want
+
+
 def test_myers_equals_the_recurrence():
     rng = random.Random(7)
     for _ in range(60):
