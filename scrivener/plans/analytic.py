@@ -131,10 +131,19 @@ def o79_arithmetic(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.abs(F.col("l_discount") - F.col("l_tax")).alias("gap"), F.greatest("l_discount", "l_tax").alias("top"), F.floor(F.col("l_quantity") * 8 / 10).alias("part"))
 
 
+def _interleaved(spark, d, docs="true"):
+    t = F.split("text", " ", -1)
+    return table(spark, d, "documents").where(docs).select("doc_id", text.interleaved(t, 0).alias("words"), text.interleaved(t, 1).alias("tags"))
+
+
 @query("SELECT doc_id, list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1) AS words, list_filter(string_split(text, ' '), lambda x, i: i % 2 = 0) AS tags FROM documents WHERE n_chars < 1000")
 def o09_o95_interleaved(spark, d):
-    t = F.split("text", " ", -1)
-    return table(spark, d, "documents").where("n_chars < 1000").select("doc_id", text.interleaved(t, 0).alias("words"), text.interleaved(t, 1).alias("tags"))
+    return _interleaved(spark, d, "n_chars < 1000")
+
+
+@query()
+def o09_o95_interleaved_whole(spark, d):
+    return _interleaved(spark, d)
 
 
 # ---- ordered folds
@@ -508,12 +517,20 @@ def o92_o42_tag_tokens(spark, d):
     return tagger.tag_tokens(s).select("conv_id", "turn", "tags")
 
 
-@query("SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN lower(w) = 'in' THEN w || ' <I-ROLE>' WHEN regexp_matches(w, '^[A-Z]') THEN w || ' <S-PER>' ELSE w END), ' ') AS line FROM conversations WHERE conv_id % 5 = 0 AND NOT regexp_matches(lower(' ' || text || ' '), ' (editor|board|section|book|senior|review|action|council|chief|advisory|committee) ')")
-def o156_pre_tag(spark, d):
+def _pre_tag(spark, d, turns="true"):
     words = F.split("text", " ", -1)
     tags = F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[A-Z]")), "S-PER").otherwise("O"))
-    plain = ~F.rlike(F.lower(F.concat(F.lit(" "), F.col("text"), F.lit(" "))), F.lit(" (editor|board|section|book|senior|review|action|council|chief|advisory|committee) "))
-    return table(spark, d, "conversations").where((F.col("conv_id") % 5 == 0) & plain).select("conv_id", "turn", tagger.inline_tagged(words, tagger.pre_tag(words, tags)).alias("line"))
+    return table(spark, d, "conversations").where(turns).select("conv_id", "turn", tagger.inline_tagged(words, tagger.pre_tag(words, tags)).alias("line"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN lower(w) = 'in' THEN w || ' <I-ROLE>' WHEN regexp_matches(w, '^[A-Z]') THEN w || ' <S-PER>' ELSE w END), ' ') AS line FROM conversations WHERE conv_id % 5 = 0 AND NOT regexp_matches(lower(' ' || text || ' '), ' (editor|board|section|book|senior|review|action|council|chief|advisory|committee) ')")
+def o156_pre_tag(spark, d):
+    return _pre_tag(spark, d, "conv_id % 5 = 0 and not rlike(lower(concat(' ', text, ' ')), ' (editor|board|section|book|senior|review|action|council|chief|advisory|committee) ')")
+
+
+@query()
+def o156_pre_tag_whole(spark, d):
+    return _pre_tag(spark, d)
 
 
 @query(f"WITH {PAGE_LINES_SQL} SELECT id, CAST(len(string_split(line_text, ' ')) AS DOUBLE) AS f_tokens, CAST(CASE WHEN line_text = '' THEN 0 ELSE 1 END AS DOUBLE) AS f_caps, CAST(indent AS DOUBLE) AS f_indent FROM page_lines")

@@ -368,13 +368,22 @@ def o67_role_words(spark, d):
     return words.withColumn("tag", sequence.role_tag(F.col("word"))).where("tag is not null")
 
 
-@query("SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE n_chars < 300) WHERE lower(word) IN (SELECT lower(unnest(string_split(text, ' '))) FROM benchmark)")
-def o68_lexicon_words(spark, d):
+def _lexicon_words(spark, d, docs="true"):
     lexicon = table(spark, d, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("content")).select(F.lower("content").alias("content")).distinct()
-    words = table(spark, d, "documents").where("n_chars < 300").select("doc_id", F.explode(F.split("text", " ", -1)).alias("word"))
+    words = table(spark, d, "documents").where(docs).select("doc_id", F.explode(F.split("text", " ", -1)).alias("word"))
     return words.join(lexicon, F.lower("word") == F.col("content"), "left_semi")
 
 
+@query("SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE n_chars < 300) WHERE lower(word) IN (SELECT lower(unnest(string_split(text, ' '))) FROM benchmark)")
+def o68_lexicon_words(spark, d):
+    return _lexicon_words(spark, d, "n_chars < 300")
+
+
+@query()
+def o68_lexicon_words_whole(spark, d):
+    return _lexicon_words(spark, d)
+
+
 @query("SELECT l_orderkey, l_linenumber, p_partkey AS journal_id FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25")
 def o69_title_lookup(spark, d):
     small = table(spark, d, "part").where("p_size < 25").select("p_partkey")
@@ -436,15 +445,24 @@ def o88_inbound_sum(spark, d):
     return e.groupBy("doc_id").agg(F.round(F.sum(F.col("to_venue") * (F.col("person_id") % 7 + 1)), 6).alias("total"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, round(0.15 + 0.85 * coalesce(sum(c_acctbal / 1000), 0), 9) AS pr_score FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 50 = 0 GROUP BY n_nationkey")
-def o89_organization_scores(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 50 = 0")
+def _organization_scores(spark, d, customers="true"):
+    c = table(spark, d, "customer").where(customers)
     persons = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("pr_score"))
     links = c.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").cast("long").alias("org_id"))
     orgs = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     return rank.organization_scores(orgs, links, persons).select("id", F.round("pr_score", 9).alias("pr_score"))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, round(0.15 + 0.85 * coalesce(sum(c_acctbal / 1000), 0), 9) AS pr_score FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 50 = 0 GROUP BY n_nationkey")
+def o89_organization_scores(spark, d):
+    return _organization_scores(spark, d, "c_custkey % 50 = 0")
+
+
+@query()
+def o89_organization_scores_whole(spark, d):
+    return _organization_scores(spark, d)
+
+
 @query("SELECT l_orderkey, arg_min(l_returnflag, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) FILTER (WHERE l_linestatus = 'O') AS first_open FROM lineitem GROUP BY l_orderkey")
 def o90_first_per_type(spark, d):
     o = F.col("l_linestatus") == "O"
@@ -495,9 +513,18 @@ def o131_union_all(spark, d):
     return one("customer", "c_name").unionByName(one("supplier", "s_name")).unionByName(one("part", "p_name"))
 
 
+def _set_of_words(spark, d, docs="true"):
+    return table(spark, d, "documents").where(docs).select("doc_id", F.array_sort(F.array_distinct(F.split("text", " ", -1))).alias("words"))
+
+
 @query("SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS words FROM documents WHERE n_chars < 500")
 def o132_set_of_words(spark, d):
-    return table(spark, d, "documents").where("n_chars < 500").select("doc_id", F.array_sort(F.array_distinct(F.split("text", " ", -1))).alias("words"))
+    return _set_of_words(spark, d, "n_chars < 500")
+
+
+@query()
+def o132_set_of_words_whole(spark, d):
+    return _set_of_words(spark, d)
 
 
 @query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(string_split(p_type, ' '), x))) = 0 AS inside FROM part")
