@@ -8,16 +8,18 @@ Documents whose crc32 remainder says so are held out; all others train.
    the most frequent tokens (the head of the vocabulary).
 2. *Symbols.*  A block turns every text into symbols: head tokens by rank, other
    tokens by the band of their count, and sums the base score on the way.
-3. *Training.*  Every task trains a copy of the network on a share of the windows
-   of each of its training documents (truncated backpropagation in numpy, state
-   carried from window to window of a segment); copies are averaged, weighted by
-   their tokens, in two levels, and further rounds start from the average.
+3. *Training.*  Every task trains a copy of the network on all windows of its
+   training documents in parallel lanes (truncated backpropagation in numpy, state
+   carried from window to window to the document's end).  Documents are dealt to
+   rounds, so that all rounds together are one full pass; copies are averaged,
+   weighted by their tokens, in two levels, and the next round starts from the average.
 4. *Scoring.*  Whole documents run through the network in parallel lanes, with the
    state carried across windows to the end of the document.
 
-The output softmax is factored: 32 head classes of 32 words, and one class for
-each band of rarer tokens, within which a token has its smoothed share of the
-corpus counts.  So the model is a distribution over the same events as the base.
+The output softmax is factored: head classes of about as many words as there are
+classes, and one class for each band of rarer tokens, within which a token has its
+smoothed share of the corpus counts.  The head grows with the square root of the
+corpus, from ``HEAD`` tokens on.  So the model is a distribution over the same events as the base.
 
 Cases: null and empty texts are one end token; a null id has the text ''; with
 no training token every band but the unknown one is empty; repeated rows train
@@ -27,6 +29,7 @@ as often as they stand there; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -39,10 +42,9 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.common import materialize, shuffle_parts
 
-HEAD, WIDTH, BANDS = 1024, 32, 32
-CLASSES = HEAD // WIDTH + BANDS
-SYMBOLS = HEAD + BANDS
-HIDDEN, STEPS, SEGMENT = 24, 16, 32
+HEAD, BANDS = 1024, 32
+SYMBOLS = HEAD + BANDS  # of the least head
+HIDDEN, STEPS, LANES = 24, 16, 256
 END = b"\n"  # no word holds a line end
 BLOCK_BYTES = 8 << 20
 NOTHING = -1e9
@@ -55,6 +57,17 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+def width_of(head: int) -> int:
+    """Words a head class: the power of two from the square root on."""
+    return 1 << math.ceil(math.log2(head) / 2)
+
+
+def head_size(size: int) -> int:
+    """Head tokens for so many bytes of text, in full classes."""
+    head = max(HEAD, math.isqrt(size) // 8)
+    return -(-head // width_of(head)) * width_of(head)
+
+
 class Numbering(dict):
     """Words to numbers in the order of their first use."""
 
@@ -108,28 +121,30 @@ class Network:
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
+        self.width = params["ww"].shape[2]
+        self.head = params["ww"].shape[0] * self.width
 
     @classmethod
-    def new(cls, head: np.ndarray, masses: np.ndarray, seed: int = 7) -> Network:
-        """``head``: counts + 0.5 by rank; ``masses``: the same summed over each band's other tokens.
+    def new(cls, head: np.ndarray, masses: np.ndarray, seed: int = 7, size: int = HEAD) -> Network:
+        """``head``: counts + 0.5 by rank, ``size`` at most; ``masses``: the same summed over each band's other tokens.
 
         Biases give the unigram distribution, so training starts from the base.
         """
         rng = np.random.default_rng(seed)
-        words = np.full(HEAD, 1e-30)
+        words = np.full(size, 1e-30)
         words[: len(head)] = head
-        words = words.reshape(-1, WIDTH)
+        words = words.reshape(-1, width_of(size))
         classes = np.concatenate([words.sum(1), masses])
         with np.errstate(divide="ignore"):
             bc = np.where(classes > 1e-9, np.log(np.maximum(classes, 1e-30)), NOTHING)
         bw = np.where(words > 1e-9, np.log(words), NOTHING)
         bw -= np.maximum(bw.max(1, keepdims=True), -1e8)
         p = {
-            "x": rng.normal(0, 0.1, (SYMBOLS, 3 * HIDDEN)),
+            "x": rng.normal(0, 0.1, (size + BANDS, 3 * HIDDEN)),
             "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)),
-            "wc": np.zeros((HIDDEN, CLASSES)),
+            "wc": np.zeros((HIDDEN, len(classes))),
             "bc": bc - bc.max(),
-            "ww": np.zeros((HEAD // WIDTH, HIDDEN, WIDTH)),
+            "ww": np.zeros((len(words), HIDDEN, words.shape[1])),
             "bw": bw,
         }
         return cls({k: v.astype(np.float32) for k, v in p.items()})
@@ -138,8 +153,10 @@ class Network:
         return b"".join(self.p[k].tobytes() for k in sorted(self.p))
 
     @classmethod
-    def unpack(cls, raw: bytes) -> Network:
-        shapes = {"x": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (HEAD // WIDTH, HIDDEN, WIDTH), "bw": (HEAD // WIDTH, WIDTH)}
+    def unpack(cls, raw: bytes, size: int) -> Network:
+        width = width_of(size)
+        groups = size // width
+        shapes = {"x": (size + BANDS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, groups + BANDS), "bc": (groups + BANDS,), "ww": (groups, HIDDEN, width), "bw": (groups, width)}
         flat, at, p = np.frombuffer(raw, np.float32), 0, {}
         for k in sorted(shapes):
             n = int(np.prod(shapes[k]))
@@ -155,18 +172,18 @@ class Network:
         return n + z * (h - n), z, r, n, hu[:, 2 * HIDDEN :]
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < HEAD, symbols // WIDTH, HEAD // WIDTH + symbols - HEAD)
+        return np.where(symbols < self.head, symbols // self.width, self.head // self.width + symbols - self.head)
 
     def log_probs(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of class times word probability; within bands only the class."""
         rows, cls = np.arange(len(h)), self.class_of(symbols)
         out = _log_share(h @ self.p["wc"] + self.p["bc"], rows, cls)
-        head = np.flatnonzero(symbols < HEAD)
+        head = np.flatnonzero(symbols < self.head)
         order = head[np.argsort(cls[head], kind="stable")]
         for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
             if len(part):
                 k = cls[part[0]]
-                out[part] += _log_share(h[part] @ self.p["ww"][k] + self.p["bw"][k], rows[: len(part)], symbols[part] % WIDTH)
+                out[part] += _log_share(h[part] @ self.p["ww"][k] + self.p["bw"][k], rows[: len(part)], symbols[part] % self.width)
         return out
 
     def gradients(self, before: np.ndarray, symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -188,7 +205,7 @@ class Network:
         d *= weight[:, None]
         g = {"wc": hs.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
         dh_out = d @ p["wc"].T
-        head = np.flatnonzero((flat < HEAD) & (weight > 0))
+        head = np.flatnonzero((flat < self.head) & (weight > 0))
         order = head[np.argsort(cls[head], kind="stable")]
         for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
             if len(part):
@@ -196,7 +213,7 @@ class Network:
                 logits = hs[part] @ p["ww"][k] + p["bw"][k]
                 e = np.exp(logits - logits.max(1, keepdims=True))
                 d = e / e.sum(1, keepdims=True)
-                d[np.arange(len(part)), flat[part] % WIDTH] -= 1
+                d[np.arange(len(part)), flat[part] % self.width] -= 1
                 d *= weight[part, None]
                 g["ww"][k], g["bw"][k] = hs[part].T @ d, d.sum(0)
                 dh_out[part] += d @ p["ww"][k].T
@@ -242,42 +259,55 @@ class Adam:
             self.net.p[k] -= step.astype(np.float32)
 
 
-def segments(symbols: np.ndarray, every: int, phase: int) -> Iterator[np.ndarray]:
-    """A segment of ``SEGMENT`` targets, with the symbol before it, from each ``every`` symbols."""
-    full = np.concatenate([[symbols[-1]], symbols])  # a document starts behind an end
-    for a in range(0, len(symbols), every):
-        room = min(every, len(symbols) - a) - SEGMENT
-        s = a + (phase * 2654435761 % (room + 1) if room > 0 else 0)
-        yield full[s : s + SEGMENT + 1]
-
-
-def train(net: Network, docs: Iterator[np.ndarray], every: int, phase: int, lanes: int = 128, rate: float = 0.01) -> int:
-    """Train in place; returns the number of trained tokens."""
-    adam, held, tokens = Adam(net, rate), [], 0
-
-    def work() -> int:
-        batch = np.zeros((len(held), SEGMENT + 1), np.int64)
-        mask = np.zeros((len(held), SEGMENT), bool)
-        for i, s in enumerate(held):
-            batch[i, : len(s)] = s
-            mask[i, : len(s) - 1] = True
-        state = np.zeros((len(held), HIDDEN), np.float32)
-        for a in range(0, SEGMENT, STEPS):
-            part = mask[:, a : a + STEPS]
-            if not part.any():
-                break
-            g, state = net.gradients(state, batch[:, a : a + STEPS], batch[:, a + 1 : a + STEPS + 1], part)
-            adam.apply(g)
-        return int(mask.sum())
-
-    for symbols in docs:
-        for s in segments(symbols, every, phase + len(symbols)):
-            held.append(s)
-            if len(held) == lanes:
-                tokens += work()
-                held = []
-    if held:
-        tokens += work()
+class Windows:
+    """Windows of all symbols of documents, in parallel lanes; a lane carries one document to its end."""
+
+    def __init__(self, docs: Iterator[np.ndarray], lanes: int):
+        self.docs, self.lanes = docs, lanes
+        self.open: list[list] = []  # [the document behind its end symbol, place]
+        self.state = np.zeros((0, HIDDEN), np.float32)
+
+    def fill(self) -> bool:
+        """Replace finished documents; False when none is left."""
+        stay = [i for i, (full, at) in enumerate(self.open) if at < len(full) - 1]
+        self.open, state = [self.open[i] for i in stay], [self.state[stay]]
+        while len(self.open) < self.lanes and (symbols := next(self.docs, None)) is not None:
+            self.open.append([np.concatenate([symbols[-1:], symbols]), 0])  # a document starts behind an end
+            state.append(np.zeros((1, HIDDEN), np.float32))
+        self.state = np.concatenate(state)
+        return bool(self.open)
+
+    def window(self) -> tuple[np.ndarray, np.ndarray]:
+        """The next (lanes x ``STEPS`` + 1) symbols, and which targets are real."""
+        batch = np.zeros((len(self.open), STEPS + 1), np.int64)
+        mask = np.zeros((len(self.open), STEPS), bool)
+        for i, lane in enumerate(self.open):
+            part = lane[0][lane[1] : lane[1] + STEPS + 1]
+            batch[i, : len(part)] = part
+            mask[i, : len(part) - 1] = True
+            lane[1] += STEPS
+        return batch, mask
+
+
+def train(net: Network, docs: Iterator[np.ndarray], lanes: int = LANES, rate: float = 0.01) -> int:
+    """Train in place on every symbol of ``docs`` once; returns the number of trained tokens."""
+    adam, windows, tokens = Adam(net, rate), Windows(iter(docs), lanes), 0
+    summed, weight = {}, 0
+    while windows.fill():
+        batch, mask = windows.window()
+        g, windows.state = net.gradients(windows.state, batch[:, :-1], batch[:, 1:], mask)
+        n = int(mask.sum())
+        tokens += n
+        # the last long documents leave few lanes: their windows share a step
+        if weight or n < lanes * STEPS // 8:
+            summed = {k: summed[k] + x * np.float32(n) if weight else x * np.float32(n) for k, x in g.items()}
+            weight += n
+            if weight < lanes * STEPS // 8:
+                continue
+            g, weight = {k: x / np.float32(weight) for k, x in summed.items()}, 0
+        adam.apply(g)
+    if weight:
+        adam.apply({k: x / np.float32(weight) for k, x in summed.items()})
     return tokens
 
 
@@ -413,27 +443,31 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(head: int):
     """Step 1, buckets: counts back to every block, sums by band, and the most frequent tokens."""
-    for bucket, rows in _by_block(batches):
-        parts = []
-        for r in rows:
-            n = int.from_bytes(r[4][:4], "little")
-            parts.append((np.frombuffer(r[4], np.uint64, n, 4), _unsqueezed(r[4][4 + 8 * n :], "u4")))
-        distinct, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(distinct)).astype(np.int64)
-        out, a = [], 0
-        for r, (h, _) in zip(rows, parts):
-            out.append((COUNTS, r[2], bucket, None, _squeezed(counts[at[a : a + len(h)]].astype("u8"))))
-            a += len(h)
-        known = counts > 0
-        bands = band(counts[known])
-        for k in np.unique(bands).tolist():
-            here = counts[known][bands == k]
-            out.append((STATS, k, len(here), float(here.sum()), None))
-        top = np.argsort(-counts, kind="stable")[:HEAD]
-        out += [(TOP, int(counts[i]), int(distinct[i].view(np.int64)), None, None) for i in top.tolist() if counts[i]]
-        yield _batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_block(batches):
+            parts = []
+            for r in rows:
+                n = int.from_bytes(r[4][:4], "little")
+                parts.append((np.frombuffer(r[4], np.uint64, n, 4), _unsqueezed(r[4][4 + 8 * n :], "u4")))
+            distinct, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(distinct)).astype(np.int64)
+            out, a = [], 0
+            for r, (h, _) in zip(rows, parts):
+                out.append((COUNTS, r[2], bucket, None, _squeezed(counts[at[a : a + len(h)]].astype("u8"))))
+                a += len(h)
+            known = counts > 0
+            bands = band(counts[known])
+            for k in np.unique(bands).tolist():
+                here = counts[known][bands == k]
+                out.append((STATS, k, len(here), float(here.sum()), None))
+            top = np.argsort(-counts, kind="stable")[:head]
+            out += [(TOP, int(counts[i]), int(distinct[i].view(np.int64)), None, None) for i in top.tolist() if counts[i]]
+            yield _batch(out)
+
+    return run
 
 
 _ROW = ("id", "held_out", "n_tokens", "n_known", "base", "banded", "symbols")
@@ -441,7 +475,7 @@ _ROW_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.f
 _ROW_SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, base double, banded double, symbols binary"
 
 
-def _symbols(head_hashes: np.ndarray, masses: np.ndarray, total: float, types: int):
+def _symbols(size: int, head_hashes: np.ndarray, masses: np.ndarray, total: float, types: int):
     """Step 2: symbols, base scores, and the logs of shares within bands."""
     order = np.argsort(head_hashes)
     by_hash = head_hashes[order]
@@ -454,28 +488,28 @@ def _symbols(head_hashes: np.ndarray, masses: np.ndarray, total: float, types: i
             counts = np.empty(len(distinct))
             counts[by_bucket] = np.concatenate([_unsqueezed(r[4], "u8") for r in sorted((r for r in rows if r[0] == COUNTS), key=lambda r: r[2])])
             base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
-            symbols = HEAD + band(counts)
-            share = np.log((counts + 0.5) / masses[symbols - HEAD])
+            symbols = size + band(counts)
+            share = np.log((counts + 0.5) / masses[symbols - size])
             if len(by_hash):
                 place = np.minimum(np.searchsorted(by_hash, distinct), len(by_hash) - 1)
                 head = by_hash[place] == distinct
                 symbols[head], share[head] = order[place[head]], 0.0
             out = []
             for i, mine in zip(ids, docs):
-                out.append((i, held_out(i), len(mine), int((counts[mine] > 0).sum()), float(base[mine].sum()), float(share[mine].sum()), _squeezed(symbols[mine].astype("u2"))))
+                out.append((i, held_out(i), len(mine), int((counts[mine] > 0).sum()), float(base[mine].sum()), float(share[mine].sum()), _squeezed(symbols[mine].astype("u4"))))
             for k in range(0, len(out), 2000):
                 yield _batch(out[k : k + 2000], _ROW, _ROW_TYPES)
 
     return run
 
 
-def _trained(start: bytes, every: int, phase: int):
+def _trained(start: bytes, size: int, phase: int):
     """Step 3: one row a task: tokens and parameters; later rounds take smaller steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.unpack(start)
-        docs = (_unsqueezed(x.as_py(), "u2").astype(np.int64) for b in batches for x in b.column("symbols"))
-        tokens = train(net, docs, every, phase, rate=0.01 / (1 + 2 * phase))
+        net = Network.unpack(start, size)
+        docs = (_unsqueezed(x.as_py(), "u4").astype(np.int64) for b in batches for x in b.column("symbols"))
+        tokens = train(net, docs, rate=0.01 / (1 + 2 * phase))
         if tokens:
             raw = net.pack()
             yield _batch([(xxhash.xxh32_intdigest(raw) % 32, tokens, raw)], ("slot", "tokens", "params"), [pa.int32(), pa.int64(), pa.binary()])
@@ -495,47 +529,47 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(0, weight, (total / weight).astype(np.float32).tobytes())], ("slot", "tokens", "params"), [pa.int32(), pa.int64(), pa.binary()])
 
 
-def _scored(params: bytes):
+def _scored(params: bytes, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, held, size = Network.unpack(params), [], 0
+        net, held, waiting = Network.unpack(params, size), [], 0
 
         def work() -> pa.RecordBatch:
-            docs = [_unsqueezed(r[6], "u2").astype(np.int32) for r in held]
+            docs = [_unsqueezed(r[6], "u4").astype(np.int32) for r in held]
             logs = score(net, docs)
             return _batch([(*r[:5], (x + r[5]) / np.log(10)) for r, x in zip(held, logs.tolist())], (*_ROW[:5], "score"), [*_ROW_TYPES[:5], pa.float64()])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in _ROW)):
                 held.append(row)
-                size += row[2]
-                if size >= 1_000_000:
+                waiting += row[2]
+                if waiting >= 1_000_000:
                     yield work()
-                    held, size = [], 0
+                    held, waiting = [], 0
         if held:
             yield work()
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_every: int = 256, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``train_every``: of every so many symbols of each training document, one
-    segment of ``SEGMENT`` is trained on in a round, another one in the next.
+    ``rounds``: each training document is trained on in one of them, from its
+    first symbol to its last.
     """
     parts = shuffle_parts(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size // BLOCK_BYTES
+    blocks, words = 1 + size // BLOCK_BYTES, head_size(size)
     documents = source.mapInArrow(_documents(blocks), _SCHEMA)
     dealt = lambda rows: rows.repartition(parts, "b").sortWithinPartitions("b", "kind")
     hashed = dealt(documents).mapInArrow(_counted(blocks), _SCHEMA)
-    counted = materialize(dealt(hashed).mapInArrow(_summed, _SCHEMA))
+    counted = materialize(dealt(hashed).mapInArrow(_summed(words), _SCHEMA))
 
-    # a row a band, and the head: both of fixed size
+    # a row a band, and the head
     sums = counted.where(F.col("kind") == STATS).groupBy("b").agg(F.sum("c").alias("types"), F.sum("v").alias("tokens")).collect()
     types, total = sum(r.types for r in sums), sum(r.tokens for r in sums)
-    head = counted.where(F.col("kind") == TOP).orderBy(F.desc("b"), "c").limit(HEAD).select("b", "c").collect()
+    head = counted.where(F.col("kind") == TOP).orderBy(F.desc("b"), "c").limit(words).select("b", "c").collect()
     head_hashes = np.array([r.c for r in head], np.int64).view(np.uint64)
     head_counts = np.array([r.b for r in head], np.float64)
     masses = np.zeros(BANDS)
@@ -547,15 +581,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masses = np.where(masses < 0.25, 0.0, masses)
 
     rows = dealt(documents.unionByName(counted.where(F.col("kind") == COUNTS)))
-    table = materialize(rows.mapInArrow(_symbols(head_hashes, np.maximum(masses, 1e-9), total, types), _ROW_SCHEMA))
+    table = materialize(rows.mapInArrow(_symbols(words, head_hashes, np.maximum(masses, 1e-9), total, types), _ROW_SCHEMA))
 
-    params = Network.new(head_counts + 0.5, masses).pack()
+    params = Network.new(head_counts + 0.5, masses, size=words).pack()
     for k in range(rounds):
-        copies = table.where("not held_out").select("symbols").mapInArrow(_trained(params, train_every, k), "slot int, tokens long, params binary")
+        mine = table.where(~F.col("held_out") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == k))
+        copies = mine.select("symbols").mapInArrow(_trained(params, words, k), "slot int, tokens long, params binary")
         means = copies.repartition(32, "slot").mapInArrow(_averaged, "slot int, tokens long, params binary")
-        found = means.collect()  # 32 rows of fixed size at most
+        found = means.repartition(1).mapInArrow(_averaged, "slot int, tokens long, params binary").collect()  # one row
         if found:
-            weights = np.array([r.tokens for r in found], np.float64)
-            params = np.average([np.frombuffer(r.params, np.float32) for r in found], axis=0, weights=weights).astype(np.float32).tobytes()
-    out = table.mapInArrow(_scored(params), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+            params = bytes(found[0].params)
+    out = table.mapInArrow(_scored(params, words), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

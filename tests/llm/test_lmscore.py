@@ -82,6 +82,41 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3)
 
 
+def test_training_reads_every_symbol_with_the_state_of_its_document():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 1000, n) for n in (1, 15, 16, 17, 300, 2, 1000, 33)]
+    net = network()
+    seen, real = [], net.gradients
+
+    def watched(before, symbols, targets, mask):
+        g, after = real(before, symbols, targets, mask)
+        seen.extend((b.copy(), s[m], t[m], a.copy()) for b, s, t, m, a in zip(before, symbols, targets, mask, after))
+        return g, after
+
+    net.gradients = watched
+    assert lmscore.train(net, iter(docs), lanes=3) == sum(map(len, docs))
+    left = Counter(t for _, _, targets, _ in seen for t in targets.tolist())
+    assert left == Counter(t for d in docs for t in d.tolist())
+    for d in docs:
+        full, state = np.concatenate([d[-1:], d]), np.zeros(lmscore.HIDDEN, np.float32)
+        for a in range(0, len(d), lmscore.STEPS):
+            fits = [w for w in seen if np.array_equal(w[2], d[a : a + lmscore.STEPS]) and np.array_equal(w[1], full[a : a + len(w[2])]) and np.array_equal(w[0], state)]
+            assert fits
+            state = fits[0][3]
+
+
+def test_head_grows_with_the_corpus():
+    assert lmscore.head_size(0) == lmscore.head_size(10**7) == lmscore.HEAD
+    sizes = [lmscore.head_size(10**k) for k in (8, 9, 10, 11)]
+    assert sizes == sorted(set(sizes)) and all(n % lmscore.width_of(n) == 0 for n in sizes)
+    size = lmscore.head_size(10**9)
+    net = lmscore.Network.new(np.arange(size, 0, -1) + 0.5, np.ones(lmscore.BANDS), size=size)
+    again = lmscore.Network.unpack(net.pack(), size)
+    assert all(np.array_equal(again.p[k], v) for k, v in net.p.items())
+    h, every = np.zeros((1, lmscore.HIDDEN), np.float32), np.arange(size + lmscore.BANDS)
+    assert np.exp(again.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_awkward(spark, awkward, make_docs):
     out = {r.doc_id: r for r in lmscore.score_documents(awkward).collect()}
     assert len(out) == 9 and lmscore.score_documents(awkward).count() == awkward.count()
