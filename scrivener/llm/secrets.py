@@ -2,7 +2,8 @@
 
 Spans come from regular expressions: base kinds ``assign``, ``access`` and
 ``hex``, and the method's own kinds ``token`` (prefixed service tokens, signed
-web tokens) and ``key`` (private key headers).  Each span's value is hashed, and
+web tokens) and ``key`` (private keys from header to end line; the value is the
+body without blanks, or the header where no end line follows).  Each span's value is hashed, and
 every hash is counted over distinct owners and distinct repositories: a value
 that many repositories hold is a copied example, one that a single owner holds
 looks live.  Hashes are aggregated to distinct (hash, owner, repository) before
@@ -35,6 +36,11 @@ HEX = "[0-9a-f]{24,}"
 TOKEN = "(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+)"
 KEY = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "token": TOKEN, "key": KEY}
+# Body and end line; a body has single hyphens only (in its header lines), so no match runs into another key
+KEY_BODY = "(?:(?:[^-]*-(?!-)){0,64}[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"
+# What is searched; the SQL equivalent has KINDS, because its engine has no look-ahead
+SEARCHED = {**KINDS, "key": KEY + KEY_BODY}
+AROUND_BODY = "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\s|\\\\[nr]"
 BASE = ("assign", "access", "hex")
 MIN_ASSIGNED = 6
 
@@ -46,10 +52,12 @@ CHUNK = 512
 
 def pieces_of(text: Column, kind: str) -> Column:
     """array<struct<gap, whole, value>> of one kind's matches and the text before each; null without a match."""
-    pattern = F.lit(KINDS[kind])
+    pattern = F.lit(SEARCHED[kind])
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(2 if kind == "assign" else 0))
-    return F.when(F.rlike(text, pattern), F.arrays_zip(F.split(text, KINDS[kind], -1).alias("gap"), whole.alias("whole"), value.alias("value")))
+    value = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else whole
+    if kind == "key":
+        value = F.transform(whole, lambda w: F.coalesce(F.nullif(F.regexp_replace(w, F.lit(AROUND_BODY), F.lit("")), F.lit("")), w))
+    return F.when(F.rlike(text, pattern), F.arrays_zip(F.split(text, SEARCHED[kind], -1).alias("gap"), whole.alias("whole"), value.alias("value")))
 
 
 def sums_before(lengths: Column) -> Column:

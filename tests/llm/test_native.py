@@ -62,6 +62,26 @@ def test_ownership_and_awkward(spark, awkward, make_docs):
     assert secrets.scan_secrets(awkward).count() == awkward.count() and secrets.scan_secrets(awkward.where("false")).count() == 0
 
 
+def test_private_keys_are_counted_by_their_bodies(spark):
+    def pem(body, wrap, kind="RSA ", head=""):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{head}" + "".join(body[i : i + wrap] + "\n" for i in range(0, len(body), wrap)) + f"-----END {kind}PRIVATE KEY-----"
+
+    header = "-----BEGIN RSA PRIVATE KEY-----"
+    encrypted = pem("Z" * 40, 20, head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n")
+    copied, long = "c" * 90 + "=", "Q/+9" * 5000
+    rows = [(i, pem(b * 80, 64), s) for i, (b, s) in enumerate(zip("xyz", "abc"))]
+    rows += [(10 + i, f"é {pem(copied, w)} text", s) for i, (w, s) in enumerate(zip((64, 32, 91), "abc"))]
+    rows += [(20, f"a {header} in prose, then {encrypted}{pem(long, 64, '')}", "a"), (21, "KEY='" + pem("w" * 64, 64).replace("\n", "\\n") + "'", "b"), (22, f"{header} {'-' * 5000} {'a-' * 5000}", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: [s for s in r.spans if s.kind == "key"] for r in secrets.scan_secrets(docs).collect()}
+    texts = {i: t for i, t, _ in rows}
+    cut = {i: [texts[i][s.start : s.end] for s in found] for i, found in out.items()}
+    assert all(cut[i] == [texts[i]] and out[i][0].live for i in range(3))
+    assert all(cut[10 + i] == [pem(copied, w)] and out[10 + i][0].n_owners == 3 and not out[10 + i][0].live for i, w in enumerate((64, 32, 91)))
+    assert cut[20] == [header, encrypted, pem(long, 64, "")] and out[20][2].value == long and all(s.live for s in out[20])
+    assert out[21][0].value == "w" * 64 and cut[22] == [header]
+
+
 def split(url):
     if not url or "://" not in url:
         return "", ""
