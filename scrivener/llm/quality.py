@@ -214,8 +214,8 @@ class LineCrf:
         return float(words[self.viterbi(features) == 1].sum() / words.sum())
 
 
-def fit_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500, max_lines: int = 60) -> LineCrf:
-    """Fit on at most ``max_labelled`` documents; ``max_lines`` bounds a training chain, not a decoded text."""
+def fit_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500) -> LineCrf:
+    """Fit on all lines of at most ``max_labelled`` documents."""
     picked = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)")
@@ -231,7 +231,7 @@ def fit_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for b in batches:
             found = []
             for i, text, y in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("y").to_pylist()):
-                if lines := count(text.as_py())[1][:max_lines]:
+                if lines := count(text.as_py())[1]:
                     found.append((i, y, line_features(lines)[0].astype(np.float32).ravel()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["doc_id", "y", "x"])

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import tokenizers
 
@@ -143,6 +144,17 @@ def test_quality_awkward(spark, sf_dir, awkward, make_docs):
     assert quality.quality_rules(awkward.where("false"), crf).count() == 0
 
 
+def test_training_reads_lines_behind_the_sixtieth(spark, make_docs, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality.LineCrf, "fit", classmethod(lambda cls, chains: fitted.extend(chains) or cls.prior()))
+    prose = "".join(f"The plain line number {'x' * k} ends here.\n" for k in range(1, 91))
+    boilerplate = "".join(f"Home | About | Contact | {'y' * k} ***\n" for k in range(1, 41))
+    quality.fit_crf(make_docs([(1, prose), (2, prose + boilerplate)]), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert [(len(x), y) for x, y in fitted] == [(90, 1), (130, 0)]
+    want = quality.line_features(quality.count((prose + boilerplate).encode())[1])[0]
+    assert np.allclose(fitted[1][0], want)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
