@@ -9,8 +9,8 @@
 4. A bucket whose members still lie in several components may hide a link that
    its star has not tried.  Members of such buckets form families (buckets that
    touch); families are cut into blocks, and a task decides every pair of
-   different components that shares a bucket between two blocks: signatures
-   first, then full sets.  Only links leave the task, and nothing is capped.
+   different components that shares a bucket between two blocks: an upper bound
+   of the common shingles first, then full sets.  Only links leave the task, and nothing is capped.
 
 With ``ROWS`` = 4 and 32 bands a pair of similarity 0.75 shares no bucket with a
 probability of (1 - 0.75^4)^32 = 5e-6, at 0.8 of 5e-8; shared buckets are
@@ -38,6 +38,7 @@ WORDS = 5
 BINS, ROWS = 128, 4
 LAST = (1 << 63) - 1
 BLOCK, BLOCK_SHINGLES = 2500, 4_000_000
+FINE = 1024
 GROUP = 400  # members that are confirmed against one copy of their centre's text
 _U = np.uint64
 _ORDER = np.random.default_rng(20240229).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -162,19 +163,17 @@ def _open_links(percent: int):
     """Over rows sorted by (family, i, j): links between members of blocks i and j that star edges left apart.
 
     Every pair of different components that shares a band and passes the size
-    bound is decided: at first by its signatures (pairs of 75 % agree in 96 +- 5
-    of 128 bins; fewer than 72 is 5 deviations away), then on full sets.
+    bound is decided: at first by shingle counts in ``FINE`` ranges of hashes, whose
+    smaller ones add up to the common shingles at least, then on full sets.
     """
-    least = BINS * percent // 100 - 24
 
     def decide(i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
         hashes, m = WordHashes(), len(rows)
         sets = [shingles(r[3], hashes) for r in rows]
         block = np.array([r[1] for r in rows])
         sizes = np.array([len(x) for x in sets])
-        signs = [signature(x) for x in sets]
-        marks = np.array([x & _U(0xFFFF) for x in signs]).astype(np.uint16)
-        keys = np.array([band_keys(x) for x in signs])
+        counts = np.array([np.bincount((x >> _U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE) for x in sets]).astype(np.uint16 if sizes.max() < 1 << 16 else np.uint32)
+        keys = np.array([band_keys(signature(x)) for x in sets])
         flat = np.argsort(keys.ravel(), kind="stable")
         first = np.r_[True, np.diff(keys.ravel()[flat]) != 0]
         run = np.empty(len(flat), np.int64)
@@ -191,7 +190,8 @@ def _open_links(percent: int):
             near = near[near > a]
             near = near[(part[near] != part[a]) & ((block[near] != block[a]) | (i == j))]
             near = near[100 * np.minimum(sizes[near], sizes[a]) >= percent * np.maximum(sizes[near], sizes[a])]
-            near = near[(marks[near] == marks[a]).sum(axis=1) >= least]
+            most = np.concatenate([np.minimum(counts[near[k : k + 256]], counts[a]).sum(axis=1, dtype=np.int64) for k in range(0, len(near), 256)] or [near])
+            near = near[100 * most >= percent * (sizes[near] + sizes[a] - most)]
             for b in near.tolist():
                 if part[b] != part[a] and linked(sets[a], sets[b], percent):
                     out.append((rows[a][0], rows[b][0]))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scrivener.llm import minhash, queries
@@ -94,3 +95,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (300, 300)]
     found = {r.node: r.label for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_families_are_decided_on_full_sets_whatever_the_signatures():
+    rng, hashes = random.Random(12), minhash.WordHashes()
+    words = [f"w{rng.getrandbits(40)}" for _ in range(4000)]
+    place = {int(minhash.shingles(" ".join(words[i : i + 5]).encode(), hashes)[0]): i for i in range(len(words) - 4)}
+    first = minhash.shingles(" ".join(words).encode(), hashes)
+    other = list(words)
+    for value in minhash.signature(first)[:75].tolist():  # the least shingle of 75 bins
+        other[place[value] + 2] = f"v{rng.getrandbits(40)}"
+    second = minhash.shingles(" ".join(other).encode(), hashes)
+    signs = minhash.signature(first), minhash.signature(second)
+    assert minhash.linked(first, second, 75) and (signs[0] == signs[1]).sum() < 72 and (minhash.band_keys(signs[0]) == minhash.band_keys(signs[1])).any()
+    rows = pa.RecordBatch.from_pylist([{"family": 0, "i": 0, "j": 0, "rep": k, "block": 0, "label": k, "text": " ".join(w).encode()} for k, w in ((1, words), (2, other))])
+    assert [r for b in minhash._open_links(75)(iter([rows])) for r in b.to_pylist()] == [{"a": 1, "b": 2}]
