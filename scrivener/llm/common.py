@@ -36,6 +36,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Work tables of one computation; those that nothing reads any more are deleted."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = shared_dir(spark)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, spark: SparkSession, keep: int = 0) -> None:
+        """Delete all tables but the last ``keep``."""
+        old, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for path in old:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

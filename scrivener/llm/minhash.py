@@ -3,7 +3,8 @@
 1. Python reads every text once: distinct 5-word shingle hashes, one-permutation
    signature of ``BINS`` bins (an empty bin takes the first filled bin of its own
    random order), ``BINS / ROWS`` band keys and a 128-bit hash of the whole set.
-2. Equal sets become one class, named by its smallest id.
+2. Equal sets become one class.  A class is a node of its own number, not an id:
+   several rows may have one id, or none, and different texts.
 3. Each band bucket links its members to its smallest class: a star, not all
    pairs.  Star edges are confirmed on full sets and joined to components.
 4. A bucket whose members still lie in several components may hide a link that
@@ -17,9 +18,11 @@ probability of (1 - 0.75^4)^32 = 5e-6, at 0.8 of 5e-8; shared buckets are
 decided exactly.
 
 Cases: null, empty and blank texts have the empty set and no links; a text with
-fewer words has its whole sequence as one shingle; a null id sorts last, and a
-component of null ids only has a null component; repeated rows are copies of
-each other; rows of one id with different texts are classified row by row.
+fewer words has its whole sequence as one shingle; a null id is no candidate for
+a component's name, so a component of null ids only has a null one; repeated rows are copies of
+each other; rows of one id with different texts, null ids too, are classified row by row.
+``keep_one`` keeps of each component the rows of its smallest id (null last) and
+then smallest text hash, repeated rows included, and every row without words.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import materialize
+from scrivener.llm.common import Scratch, materialize
 
 WORDS = 5
 BINS, ROWS = 128, 4
 LAST = (1 << 63) - 1
-BLOCK, BLOCK_SHINGLES = 2500, 4_000_000
+LEAST_BLOCK, MOST_BLOCK, BLOCK_SHINGLES = 256, 2500, 4_000_000
 FINE = 1024
 GROUP = 400  # members that are confirmed against one copy of their centre's text
 _U = np.uint64
@@ -120,7 +123,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s1.append((d >> 64) - (1 << 63))
             s2.append((d & (1 << 64) - 1) - (1 << 63))
             bands.append(band_keys(signature(found)) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "bands"])
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c) for c in _ROW), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            names=[*_ROW, "n", "s1", "s2", "bands"],
+        )
 
 
 def _confirm(percent: int):
@@ -222,10 +228,12 @@ def _open_links(percent: int):
 def confirm_families(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of links inside families of ``members`` (family, rep, n, label).
 
-    A family is cut into blocks of about ``BLOCK`` members or ``BLOCK_SHINGLES``
-    shingles; a task takes one pair of blocks, so that no family has to fit one.
+    A family is cut into blocks of about a 64th of it, ``LEAST_BLOCK`` to
+    ``MOST_BLOCK`` members and at most ``BLOCK_SHINGLES`` shingles; a task takes
+    one pair of blocks, so that no family has to fit one.
     """
-    size = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    block_size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.count("*") / 64))
+    size = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block_size, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     block = members.join(size, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = block.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = other.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "label")
@@ -238,36 +246,66 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round hooks each label to its smallest neighbour, follows the pointers
     to their end and contracts the edges; rounds grow with the logarithm of a chain.
+    Tables of past rounds are deleted.
     """
+    spark = edges.sparkSession
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = None
-    edges = materialize(edges.where("a <> b").distinct())
+    labels, links, names, jumps = None, Scratch(), Scratch(), Scratch()
+    edges = links.write(edges.where("a <> b").distinct())
     while not edges.isEmpty():
         # an edge's smaller end first; hook every label to its smallest neighbour, if smaller
-        hooks = materialize(both(edges).groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
+        hooks = jumps.write(both(edges).groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
         while True:
             ends = hooks.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            jumped = materialize(hooks.join(ends, "to").select("a", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
+            jumped = jumps.write(hooks.join(ends, "to").select("a", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
             hooks = jumped.select("a", "to")
+            jumps.drop(spark, keep=1)
             if jumped.where("moved").isEmpty():
                 break
-        if labels is None:
-            labels = hooks.select(F.col("a").alias("node"), F.col("to").alias("label"))
-        else:
-            step = hooks.select(F.col("a").alias("label"), F.col("to").alias("new"))
-            labels = materialize(labels.join(step, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+        step = hooks.select(F.col("a").alias("label"), F.col("to").alias("new"))
+        named = hooks.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else labels.join(step, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+        labels = names.write(named)
+        names.drop(spark, keep=1)
         ab = hooks.select("a", F.col("to").alias("x")), hooks.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        edges = materialize(edges.join(ab[0], "a").join(ab[1], "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = links.write(edges.join(ab[0], "a").join(ab[1], "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        links.drop(spark, keep=1)
+        jumps.drop(spark)
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    signed = materialize(rows.mapInArrow(_signatures, "id long, n long, s1 long, s2 long, bands array<long>"))
-    classes = materialize(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+_ROW = ("id", "t1", "t2")
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(id, t1, t2, text): two hashes of a text tell rows of one id, or of none, apart."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"), *more)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each node of the task; equal rows may leave others."""
+    seen: set[int] = set()
+    for b in batches:
+        fresh = []
+        for node in b.column("id").to_pylist():
+            fresh.append(node not in seen)
+            seen.add(node)
+        yield b.filter(pa.array(fresh, pa.bool_()))
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t1, t2, n, s1, s2) of every row, and (s1, s2, label, low, first) of every set with words.
+
+    ``label`` names the component, ``low`` is its smallest id and ``first`` its first row.
+    """
+    rows = _keys(docs, id_col, text_col)
+    signed = materialize(rows.mapInArrow(_signatures, "id long, t1 long, t2 long, n long, s1 long, s2 long, bands array<long>"))
+    order = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("t1"), F.col("t2"))
+    merged = signed.where("n > 0").groupBy("s1", "s2").agg(F.min(order).alias("first"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # written once, so that the numbers stay
+    classes = materialize(merged.withColumn("rep", F.monotonically_increasing_id()))
 
     # buckets of two classes or more, with their star's centre
     banded = classes.select(F.explode("bands").alias("key"), "rep", "n")
@@ -276,9 +314,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similar = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     tried = materialize(buckets.where((F.col("rep") != F.col("center")) & similar(F.col("n"), F.col("center_n"))).select("center", F.col("rep").alias("member")).distinct())
 
-    # texts of the classes that share a bucket, once
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    nodes = materialize(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi"))
+    # one text of each class that shares a bucket
+    wanted = buckets.select("rep").distinct().join(classes.select("rep", "first.*"), "rep")
+    sent = rows.withColumn("id", F.coalesce("id", F.lit(LAST))).join(wanted.hint("shuffle_hash"), ["id", "t1", "t2"]).select(F.col("rep").alias("id"), "text")
+    nodes = materialize(sent.mapInArrow(_once, "id long, text binary"))
     links = materialize(confirm(tried, nodes, percent))
     labels = components(links)
 
@@ -292,14 +331,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(materialize(confirm_families(members, nodes, percent)))
         labels = components(links)
 
-    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("component"))
-    own = signed.select("id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    given = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return own.select(given("id").alias("doc_id"), F.col("n").alias("n_shingles"), given("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    named = classes.select("s1", "s2", "rep", "low", "first").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # most classes are their own component: only the others meet
+    several = named.where("rep <> label").select("label").distinct()
+    joint = named.join(several, "label", "left_semi").groupBy("label").agg(F.min("low").alias("least"), F.min("first").alias("front"))
+    found = named.join(joint, "label", "left").select("s1", "s2", "label", F.when(F.col("front").isNull(), F.col("low")).otherwise(F.col("least")).alias("low"), F.coalesce("front", "first").alias("first"))
+    return signed.drop("bands"), found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    signed, classes = _classified(docs, id_col, text_col, percent)
+    own = signed.join(classes, ["s1", "s2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")))
+    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose id names its component; rows without an id stay."""
-    lost = near_duplicates(docs, id_col, text_col, percent).where("not kept").select("doc_id").distinct()
-    name = f"`{id_col}`"
-    return docs.join(lost.withColumnRenamed("doc_id", "__lost").hint("shuffle_hash"), F.expr(name) == F.col("__lost"), "left_anti")
+    """Of each component the rows of its first document; the columns stay as they are."""
+    signed, classes = _classified(docs, id_col, text_col, percent)
+    row = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("t1"), F.col("t2"))
+    lost = signed.where("n > 0").join(classes, ["s1", "s2"]).where(row != F.col("first")).select(*(F.col(f"{c}").alias(f"__{c}") for c in _ROW)).distinct()
+    whole = _keys(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")).drop("text")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("t1") == F.col("__t1")) & (F.col("t2") == F.col("__t2"))
+    return whole.join(lost.hint("shuffle_hash"), same, "left_anti").select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))

@@ -74,7 +74,24 @@ def test_awkward(spark, awkward, make_docs):
     assert kept.schema == awkward.schema and kept.count() == awkward.count()
     assert minhash.near_duplicates(make_docs([(1, "x")]).where("false")).count() == 0
     none = minhash.keep_one(make_docs([(3, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")]))
-    assert {r.doc_id for r in none.collect()} == {None, 2}
+    assert [r.doc_id for r in none.collect()] == [2]
+
+
+def test_rows_of_one_id_or_none_are_told_apart(spark, make_docs):
+    """Null and repeated ids with different texts: each row is a document."""
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t + " more"
+    pairs = [(7, a), (None, near(a)), (9, b), (None, near(b)), (4, c), (4, d), (3, near(c)), (None, text()), (None, "A row"), (None, "a row"), (11, ""), (None, None), (9, b)]
+    found = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(make_docs(pairs)).collect()]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = [(7, 7, True), (None, 7, False), (9, 9, True), (None, 9, False), (4, 3, False), (4, 4, True), (3, 3, True), (None, None, True), (None, None, True), (None, None, True), (11, 11, True), (None, None, True), (9, 9, True)]
+    assert sorted(found, key=key) == sorted(want, key=key)
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(make_docs(pairs)).collect()]
+    rest = sorted(((i, t) for i, t in kept if t not in ("A row", "a row")), key=repr)
+    assert rest == sorted([(7, a), (9, b), (9, b), (4, d), (3, near(c)), (None, pairs[7][1]), (11, ""), (None, None)], key=repr)
+    assert len(kept) == len(rest) + 1
 
 
 def test_densified_signatures_agree_like_the_sets():
