@@ -7,27 +7,34 @@ not fit one task, so equal strings are first brought together:
 1. *Anchors.*  The leftmost least-hashed ``K``-gram of a ``MIN``-byte window
    depends on the window's bytes alone; equal windows have equal anchors.  An
    anchor stands for the run of windows that choose it, its *context*.  Anchors
-   with their hash, a hash of the context and their place are packed by hash
-   bucket.  Within a chunk, and then within a bucket, a context that has an
-   earlier equal is settled: all of it goes.  An anchor without an equal hash
-   anywhere is unique.  What is left are different contexts of equal anchors.
+   with a 64-bit hash, a 64-bit hash of the context and their place are packed by hash
+   bucket.  Equal contexts become one leaf of the later tree with all their
+   places: all places but the first go, the first stands for them.  An anchor
+   without an equal hash anywhere is unique.  What is left are different
+   contexts of equal anchors.
 2. *Contexts.*  Documents are co-located with their open anchors by a hash of the
-   id, and the contexts' bytes are sent to their hash bucket; those of an anchor
+   row, and the contexts' bytes are sent to their hash bucket; those of an anchor
    with more than ``HOT_CONTEXTS`` contexts (an edge of a very common passage) by
    the hashes of their single windows, so that no bucket holds them all.
-3. *Suffix arrays.*  In a bucket, the suffixes of all contexts that have ``MIN``
-   bytes are sorted; the longest common prefixes of neighbours are scanned with a
-   stack, which walks the common-prefix interval tree.  Whenever two children of
-   an interval meet, the later one's first ``lcp`` bytes go and the earlier one
-   stands for the interval.
-4. Documents meet their removed ranges, again by a hash of the id.
-
-``repeat_groups`` returns the tree's maximal repeats (left extensions differ)
-with all their occurrences; there every context takes the way of steps 2 and 3.
+3. *Suffix arrays.*  A bucket is taken in ``SUB_BUCKETS`` ranges of hashes.  The
+   suffixes of their contexts that have ``MIN`` bytes are sorted; the longest common
+   prefixes of neighbours are scanned with a stack, which walks the common-prefix
+   interval tree.  An interval whose members' left bytes differ is a maximal
+   repeat: all its occurrences but the first lose its length.  One whose members
+   all have the same left byte is passed over, because the repeat that starts one byte
+   before covers it; a context's start counts as different, because what is left
+   of it belongs to another anchor.
+4. Documents meet their removed ranges, again by a hash of the row; ranges of
+   neighbouring contexts that touch are joined there to the passage's full extent.
+
+``repeat_groups`` returns the tree's maximal repeats with all their occurrences;
+there every context takes the way of steps 2 and 3.
 
 Cases: null, empty and short texts lose nothing; a null id sorts first; rows of
-one id and one text are one document, and rows of one id with different texts
-are ordered by a hash of the text; other columns are not read.
+one id and one text are one document, and rows of one id, or of none, with
+different texts are ordered by xxhash64 of the text, which tells them apart;
+texts of any length are cut into overlapping segments of ``SEGMENT`` bytes for
+hashing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,7 +56,8 @@ SPAN = MIN - K + 1  # K-grams of a window
 NO_ID = -(1 << 63)
 CHUNK_BYTES, STEP_BYTES = 12 << 20, 1 << 20
 HOT_CONTEXTS = 4096  # different contexts of one anchor that still go to one bucket
-HASH_BUCKET_BYTES, DOC_BUCKET_BYTES = 2 << 20, 4 << 20  # text behind a bucket
+HASH_BUCKET_BYTES, DOC_BUCKET_BYTES, SUB_BUCKETS = 16 << 20, 4 << 20, 8  # text behind a bucket; parts that are analysed one by one
+SEGMENT = 64 << 20  # bytes whose places fit ``POS_BITS``
 POS_BITS = np.uint64(28)
 ANCHORS, COVERED, OPEN, DOCUMENT, CONTEXTS = 0, 1, 2, 3, 4
 _U = np.uint64
@@ -93,8 +101,8 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def find_anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Anchors of all windows: document number, place, hash, context hash, bytes of context before and from the place."""
+def _segment_anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Anchors of all windows of short texts: document number, place, hash, context hash, bytes of context before and from the place."""
     lens = np.array([len(t) for t in texts], np.int64)
     names = ("doc", "pos", "h", "ctx", "lo", "hi")
     total = int(lens.sum())
@@ -123,18 +131,33 @@ def find_anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"doc": doc, "pos": place - starts[doc], "h": h[place], "ctx": ctx, "lo": place - first, "hi": last - place}
 
 
+def find_anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """``_segment_anchors`` of texts of any length; segments share ``MIN`` - 1 bytes, so every window is in one."""
+    if sum(map(len, texts)) <= 2 * SEGMENT:
+        return _segment_anchors(texts)
+    parts = []
+    for doc, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - MIN + 1), SEGMENT):
+            found = _segment_anchors([text[at : at + SEGMENT + MIN - 1]])
+            parts.append(found | {"doc": found["doc"] + doc, "pos": found["pos"] + at})
+    return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+
+
 # ---- packed arrays: columns of fixed byte widths, one zstd frame
 
-_WIDTHS = {"h": 8, "ctx": 5, "id": 8, "row": 2, "pos": 4, "lo": 1, "hi": 1, "hot": 1, "start": 4, "size": 4}
+_WIDTHS = {"h": 8, "ctx": 8, "id": 8, "row": 8, "pos": 4, "lo": 1, "hi": 1, "hot": 1, "start": 4, "size": 4}
+
+
+_PLANES = ("id", "row", "pos", "start", "size")
 
 
 def pack(columns: dict[str, np.ndarray], tail: bytes = b"") -> bytes:
     parts = [len(next(iter(columns.values()))).to_bytes(8, "little")]
     for name, a in columns.items():
-        if name == "id":  # neighbours are alike: differences, byte planes
+        if name in ("id", "row"):  # neighbours are alike: differences, byte planes
             a = np.diff(a, prepend=np.int64(0))
         planes = np.ascontiguousarray(a.astype("<i8" if a.dtype.kind == "i" else "<u8")).view(np.uint8).reshape(-1, 8)[:, : _WIDTHS[name]]
-        parts.append(planes.T.tobytes() if name in ("id", "pos", "start", "size") else planes.tobytes())
+        parts.append(planes.T.tobytes() if name in _PLANES else planes.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts) + tail)
 
 
@@ -144,11 +167,11 @@ def unpack(blob: bytes, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray],
     for name in names:
         w = _WIDTHS[name]
         part = np.frombuffer(data, np.uint8, n * w, at)
-        part = part.reshape(w, n).T if name in ("id", "pos", "start", "size") else part.reshape(n, w)
+        part = part.reshape(w, n).T if name in _PLANES else part.reshape(n, w)
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :w] = part
         a = wide.reshape(-1).view("<u8" if name in ("h", "ctx") else "<i8")
-        out[name] = np.cumsum(a) if name == "id" else a
+        out[name] = np.cumsum(a) if name in ("id", "row") else a
         at += n * w
     return out, data[at:]
 
@@ -158,8 +181,9 @@ def gather(blobs: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
     return {n: np.concatenate([p[n] for p in parts]) for n in names}
 
 
-def doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(_U)) % _U(buckets)).astype(np.int64)
+def doc_bucket(ids: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
+    """By id and text, so that many rows of one id, or of none, are spread."""
+    return (mix(mix(ids.astype(np.int64).view(_U)) ^ rows.astype(np.int64).view(_U)) % _U(buckets)).astype(np.int64)
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -189,7 +213,7 @@ def union_ranges(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _by_doc(kind: int, columns: dict[str, np.ndarray], buckets: int) -> list[tuple]:
-    bucket = doc_bucket(columns["id"], buckets)
+    bucket = doc_bucket(columns["id"], columns["row"], buckets)
     return _split(kind, columns, bucket)
 
 
@@ -201,8 +225,8 @@ def _split(kind: int, columns: dict[str, np.ndarray], bucket: np.ndarray) -> lis
     return [(kind, int(bucket[part[0]]), None, None, pack({n: a[part] for n, a in columns.items()})) for part in np.split(order, cuts[1:])]
 
 
-SCHEMA = "kind int, b long, id long, row int, blob binary"
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+SCHEMA = "kind int, b long, id long, row long, blob binary"
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,7 +262,6 @@ def _anchor_rows(hash_buckets: int, doc_buckets: int, settle: bool, chunk_bytes:
         a = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
         ids, rows = (np.array(x, np.int64) for x in zip(*docs))
         a["id"], a["row"] = ids[a["doc"]], rows[a.pop("doc")]
-        a["ctx"] &= _U((1 << 40) - 1)
         if settle:
             a, first = _settle(a)
             yield _batch(_by_doc(COVERED, _ranges(a, ~first), doc_buckets))
@@ -320,7 +343,7 @@ def _document_rows(doc_buckets: int):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             ids = b.column("id").to_pylist()
-            buckets = doc_bucket(np.array(ids, np.int64), doc_buckets).tolist() if ids else []
+            buckets = doc_bucket(np.array(ids, np.int64), np.array(b.column("row").to_pylist(), np.int64), doc_buckets).tolist() if ids else []
             for at in range(0, len(ids), 1000):
                 part = slice(at, at + 1000)
                 yield _batch([(DOCUMENT, d, i, r, squeeze(t.as_py())) for d, i, r, t in zip(buckets[part], ids[part], b.column("row").to_pylist()[part], b.column("text")[part])])
@@ -418,6 +441,11 @@ def _context_rows(hash_buckets: int, doc_buckets: int):
     return run
 
 
+def _left_changes(left: np.ndarray) -> np.ndarray:
+    """Number of changes of the left byte before each suffix; those of two ends of an interval differ if its left bytes do."""
+    return np.cumsum(np.r_[0, (left[1:] != left[:-1]) | (left[1:] < 0) | (left[:-1] < 0)]) if len(left) else left
+
+
 class SuffixArray:
     """Enhanced suffix array of those suffixes of ``texts`` that have at least ``least`` bytes.
 
@@ -458,34 +486,39 @@ class SuffixArray:
             first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
             self.lcp[a : a + len(first)] = np.minimum(first, np.minimum(rest[a : a + len(first)], rest[a - 1 : a - 1 + len(first)]))
 
-    def shared_with_earlier(self, rank: np.ndarray, least: int) -> np.ndarray:
-        """For every suffix, the most bytes it shares with one of smaller ``rank``; 0 if fewer than ``least``.
+    def repeated(self, rank: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+        """For every suffix, the length of the longest maximal repeat of which it is not the first occurrence; 0 without one.
 
-        A stack holds the open intervals (lcp, earliest suffix so far); when one
-        closes, its earliest suffix goes on to the parent and the other is done.
+        ``rank``: order of occurrence; ``left``: the byte before each suffix, -1
+        where it counts as different from all.  When an interval of the tree
+        closes and its left bytes differ, its waiting members but the first are
+        done, and the first waits for the parent; else all of them wait.
         """
-        done = [0] * len(self.lcp)
-        rank, depth, head = rank.tolist(), [], []
-        now = 0
+        done, rank = [0] * len(self.lcp), rank.tolist()
+        change = _left_changes(left).tolist()
+        stack: list[list] = []  # [lcp, first suffix, waiting suffixes]
         for i, lcp in enumerate([*self.lcp.tolist()[1:], 0], 1):
-            while depth and depth[-1] > lcp:
-                value, other = depth.pop(), head.pop()
-                if rank[other] < rank[now]:
-                    done[now], now = value, other
-                else:
-                    done[other] = value
+            waiting, first = [i - 1], i - 1
+            while stack and stack[-1][0] > lcp:
+                value, first, members = stack.pop()
+                members, waiting = (members, waiting) if len(members) > len(waiting) else (waiting, members)
+                members += waiting
+                if change[i - 1] > change[first]:
+                    head = min(members, key=rank.__getitem__)
+                    for m in members:
+                        if m != head:
+                            done[m] = value
+                    members = [head]
+                waiting = members
             if lcp >= least:
-                if depth and depth[-1] == lcp:
-                    other = head[-1]
-                    if rank[other] < rank[now]:
-                        done[now] = lcp
-                    else:
-                        done[other] = lcp
-                        head[-1] = now
+                if stack and stack[-1][0] == lcp:
+                    top = stack[-1][2]
+                    if len(top) < len(waiting):
+                        top, waiting = waiting, top
+                    top += waiting
+                    stack[-1][2] = top
                 else:
-                    depth.append(lcp)
-                    head.append(now)
-            now = i
+                    stack.append([lcp, first, waiting])
         return np.array(done, np.int64)
 
     def maximal_repeats(self, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -493,7 +526,7 @@ class SuffixArray:
 
         ``left``: the byte before each suffix, -1 at a start, where nothing is shared.
         """
-        change = np.cumsum(np.r_[0, (left[1:] != left[:-1]) | (left[1:] < 0) | (left[:-1] < 0)]) if len(left) else left
+        change = _left_changes(left)
         stack: list[tuple[int, int]] = []
         for i, lcp in enumerate([*self.lcp.tolist()[1:], 0], 1):
             first = i - 1
@@ -505,11 +538,25 @@ class SuffixArray:
                 stack.append((lcp, first))
 
 
-def _contexts(rows: list) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """A bucket's contexts, each place once, and their bytes one after the other."""
+def _contexts(rows: list) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """A bucket's contexts and their bytes one after the other, by ranges of their hashes."""
     parts, tails = zip(*(unpack(r[4], _CONTEXT) for r in rows))
     c = {n: np.concatenate([p[n] for p in parts]) for n in _CONTEXT}
-    return c, np.frombuffer(b"".join(tails), np.uint8)
+    raw = np.frombuffer(b"".join(tails), np.uint8)
+    del parts, tails
+    sub, starts = (mix(c["h"]) % _U(SUB_BUCKETS)).astype(np.int64), np.cumsum(c["size"]) - c["size"]
+    for k in range(SUB_BUCKETS):
+        mine = np.flatnonzero(sub == k)
+        if len(mine):
+            size = c["size"][mine]
+            at = np.repeat(starts[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            yield {n: v[mine] for n, v in c.items()}, raw[at]
+
+
+def _left_bytes(sa: SuffixArray, c: dict[str, np.ndarray], raw: np.ndarray) -> np.ndarray:
+    """The byte before each suffix, -1 at a context's start."""
+    starts = np.cumsum(c["size"]) - c["size"]
+    return np.where(sa.offset > 0, raw[np.maximum(0, starts[sa.text] + sa.offset - 1)].astype(np.int64), -1)
 
 
 def _analysed_rows(doc_buckets: int):
@@ -520,21 +567,23 @@ def _analysed_rows(doc_buckets: int):
             if kind != CONTEXTS:
                 yield _batch(rows)
                 continue
-            c, raw = _contexts(rows)
-            sa = SuffixArray((raw, c["size"]), MIN)
-            place = c["start"][sa.text] + sa.offset
-            order = np.lexsort((place, c["row"][sa.text], c["id"][sa.text]))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            size = sa.shared_with_earlier(rank, MIN)
-            gone = size > 0
-            found = union_ranges({"id": c["id"][sa.text][gone], "row": c["row"][sa.text][gone], "start": place[gone], "size": size[gone]})
+            parts = []
+            for c, raw in _contexts(rows):
+                sa = SuffixArray((raw, c["size"]), MIN)
+                place = c["start"][sa.text] + sa.offset
+                order = np.lexsort((place, c["row"][sa.text], c["id"][sa.text]))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                size = sa.repeated(rank, _left_bytes(sa, c, raw), MIN)
+                gone = size > 0
+                parts.append({"id": c["id"][sa.text][gone], "row": c["row"][sa.text][gone], "start": place[gone], "size": size[gone]})
+            found = union_ranges({n: np.concatenate([p[n] for p in parts]) for n in _RANGE})
             yield _batch(_by_doc(COVERED, found, doc_buckets))
 
     return run
 
 
-_RESULT = "id long, row int, n_bytes long, starts array<long>, ends array<long>, kept binary"
+_RESULT = "id long, row long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,7 +593,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def batch() -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["id", "row", "n_bytes", "starts", "ends", "kept"])
 
     for _, columns, doc in _stream_documents(batches, COVERED, _RANGE):
@@ -574,8 +623,7 @@ class _Plan:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-        # 16 bits tell rows of one id apart
-        self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("row"), text.alias("text"))
+        self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
         total = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.hash_buckets, self.doc_buckets = 1 + total // HASH_BUCKET_BYTES, 1 + total // DOC_BUCKET_BYTES
         self.parts = shuffle_parts(docs.sparkSession)
@@ -614,16 +662,14 @@ def digest_passages(found: DataFrame) -> DataFrame:
 
 def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, bucket, rows in _groups(batches):
-        c, raw = _contexts(rows)
-        sa = SuffixArray((raw, c["size"]), MIN)
-        starts = np.cumsum(c["size"]) - c["size"]
-        left = np.where(sa.offset > 0, raw[np.maximum(0, starts[sa.text] + sa.offset - 1)].astype(np.int64), -1)
-        for n, (size, a, b) in enumerate(sa.maximal_repeats(left, MIN)):
-            text, offset = sa.text[a : b + 1], sa.offset[a : b + 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{bucket}:{n}"] * len(text)), pa.array([size] * len(text), pa.int64()), pa.array(c["id"][text], pa.int64()), pa.array(c["start"][text] + offset, pa.int64())],
-                names=["group", "size", "id", "start"],
-            )
+        for part, (c, raw) in enumerate(_contexts(rows)):
+            sa = SuffixArray((raw, c["size"]), MIN)
+            for n, (size, a, b) in enumerate(sa.maximal_repeats(_left_bytes(sa, c, raw), MIN)):
+                text, offset = sa.text[a : b + 1], sa.offset[a : b + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{bucket}:{part}:{n}"] * len(text)), pa.array([size] * len(text), pa.int64()), pa.array(c["id"][text], pa.int64()), pa.array(c["start"][text] + offset, pa.int64())],
+                    names=["group", "size", "id", "start"],
+                )
 
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

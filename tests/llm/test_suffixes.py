@@ -24,7 +24,7 @@ def brute(docs):
 
 
 def found(df):
-    return sorted(map(tuple, suffixes.digest_passages(suffixes.dedup_passages(df)).collect()))
+    return sorted(map(tuple, suffixes.digest_passages(suffixes.dedup_passages(df)).collect()), key=lambda r: (r[0] is not None, r))
 
 
 def test_equals_brute_force(spark, sf_dir):
@@ -55,10 +55,37 @@ def test_overlaps_periods_and_copies(spark, make_docs, monkeypatch):
         assert found(make_docs(docs).repartition(5)) == brute(docs)
 
 
+def test_rows_of_one_id_or_none(spark, make_docs):
+    """Many rows without an id, and one id on different texts: each row loses what an earlier row holds, and nothing else."""
+    rng = random.Random(11)
+    own = lambda n=160: "".join(rng.choices("abcdefgh ", k=n))
+    shared = [own() for _ in range(5)]
+    docs = [(None, own()) for _ in range(300)] + [(None, own(40) + rng.choice(shared) + own(40)) for _ in range(100)] + [(7, own() + rng.choice(shared)) for _ in range(30)] + [(8, shared[0]), (9, own())]
+    df = make_docs(docs)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(cast(text as binary)) h").collect()}
+    least = -(1 << 63)
+    named = sorted((least if i is None else i, hashes[t], t) for i, t in docs)
+    want = sorted(r[1:] for r in brute([(k, t) for k, (_, _, t) in enumerate(named)]))
+    assert sorted(r[1:] for r in found(df.repartition(3))) == want
+
+
+def test_segments_of_a_long_text(monkeypatch):
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefgh", k=5000)).encode()
+    whole = suffixes.find_anchors([text, b"x" * 50, text[:700]])
+    monkeypatch.setattr(suffixes, "SEGMENT", 900)
+    cut = suffixes.find_anchors([text, b"x" * 50, text[:700]])
+
+    def windows(a):
+        return {(int(d), int(p) - int(lo) + k, int(h)) for d, p, h, lo, hi in zip(a["doc"], a["pos"], a["h"], a["lo"], a["hi"]) for k in range(int(lo) + int(hi) - 99)}
+
+    assert windows(cut) == windows(whole) and len(cut["pos"]) > len(whole["pos"])
+
+
 def test_awkward(spark, awkward, make_docs):
-    out = found(awkward.na.fill(-1, ["doc_id"]))
+    out = found(awkward.where("doc_id is not null"))
     rows = {r[0]: r for r in out}
-    assert len(out) == awkward.count() and rows[1][1] == 0 and rows[5][2] == 0
+    assert len(out) == awkward.count() - 1 and rows[1][1] == 0 and rows[5][2] == 0
     assert rows[7][2] == 29999 and rows[7][3] == 1
     assert suffixes.dedup_passages(awkward).where("doc_id is null").count() == 1
     assert suffixes.dedup_passages(make_docs([(1, "x")]).where("false")).count() == 0
@@ -85,7 +112,8 @@ def test_suffix_array_scan():
     order = [texts[t][o:] for t, o in zip(sa.text, sa.offset)]
     assert order == sorted(order)
     rank = sa.text * 100 + sa.offset
-    got = sa.shared_with_earlier(rank, 8)
+    left = np.array([texts[t][o - 1] if o else -1 for t, o in zip(sa.text, sa.offset)])
+    got = sa.repeated(rank, left, 8)
 
     def common(a, b):
         n = 0
@@ -93,9 +121,30 @@ def test_suffix_array_scan():
             n += 1
         return n
 
+    # the bytes that maximal repeats take are those of all strings that occur before
+    gone = [bytearray(60) for _ in texts]
+    for t, o, n in zip(sa.text, sa.offset, got):
+        gone[t][o : o + n] = b"\1" * n
+    want = [bytearray(60) for _ in texts]
     for i in range(len(order)):
         best = max([common(order[i], order[j]) for j in range(len(order)) if rank[j] < rank[i]], default=0)
-        assert got[i] == (best if best >= 8 else 0)
-    left = np.array([texts[t][o - 1] if o else -1 for t, o in zip(sa.text, sa.offset)])
-    for size, a, b in sa.maximal_repeats(left, 8):
+        if best >= 8:
+            want[sa.text[i]][sa.offset[i] : sa.offset[i] + best] = b"\1" * best
+            assert got[i] <= best
+    assert gone == want
+    groups = list(sa.maximal_repeats(left, 8))
+    # a brute-force list: strings that no occurrence set can extend to the left or right (an end differs from all)
+    places = {}
+    for t, text in enumerate(texts):
+        for o in range(53):
+            for n in range(8, 61 - o):
+                places.setdefault(text[o : o + n], []).append((t, o))
+    maximal = set()
+    for w, at in places.items():
+        lefts = [texts[t][o - 1] if o else -1 - k for k, (t, o) in enumerate(at)]
+        rights = [texts[t][o + len(w)] if o + len(w) < 60 else -1 - k for k, (t, o) in enumerate(at)]
+        if len(at) > 1 and len(set(lefts)) > 1 and len(set(rights)) > 1:
+            maximal.add((w, tuple(sorted(at))))
+    assert {(order[a][:size], tuple(sorted((int(sa.text[k]), int(sa.offset[k])) for k in range(a, b + 1)))) for size, a, b in groups} == maximal
+    for size, a, b in groups:
         assert len({x[:size] for x in order[a : b + 1]}) == 1 and (len(set(left[a : b + 1])) > 1 or -1 in left[a : b + 1])
