@@ -2,34 +2,42 @@
 
 Documents whose crc32 remainder says so are held out; all others train.
 
-1. *Counts.*  Documents are co-located in blocks by a hash of the id; a block
-   sends its distinct token hashes and training counts, packed, to hash buckets,
-   which return the corpus counts to every block and give the corpus sums and
-   the most frequent tokens (the head of the vocabulary).
-2. *Symbols.*  A block turns every text into symbols: head tokens by rank, other
-   tokens by the band of their count, and sums the base score on the way.
-3. *Training.*  Every task trains a copy of the network on all windows of its
-   training documents in parallel lanes (truncated backpropagation in numpy, state
+1. *Chunks.*  A task turns its texts, about ``CHUNK_BYTES`` at a time, into token
+   numbers; a chunk is written as its packed documents and a row for each
+   distinct token (number, hash, training count).  Texts are read once and never shuffled.
+2. *Counts.*  Token rows are summed by hash: corpus counts, their sums by band of
+   counts, and the most frequent tokens (the head of the vocabulary).  The counts
+   go back to the chunks' token rows; all of this is linear in the chunks' distinct tokens.
+3. *Symbols.*  A chunk meets its counts and turns every document into symbols: head
+   tokens by rank, other tokens by band; the base score is summed on the way.
+4. *Training.*  A fixed number of workers, dealt by a hash of the document and so
+   independent of splits, each train a copy of the network on all windows of
+   their documents in parallel lanes (truncated backpropagation in numpy, state
    carried from window to window to the document's end).  Documents are dealt to
-   rounds, so that all rounds together are one full pass; copies are averaged,
-   weighted by their tokens, in two levels, and the next round starts from the average.
-4. *Scoring.*  Whole documents run through the network in parallel lanes, with the
+   rounds, so that all rounds together are one full pass; copies are averaged in
+   a fixed order, weighted by their tokens, and the next round starts from the average.
+5. *Scoring.*  Whole documents run through the network in parallel lanes, with the
    state carried across windows to the end of the document.
 
-The output softmax is factored: head classes of about as many words as there are
-classes, and one class for each band of rarer tokens, within which a token has its
+The output softmax is factored: classes of head words, narrow for the most
+frequent ones, and one class for each band of rarer tokens, within which a token has its
 smoothed share of the corpus counts.  The head grows with the square root of the
 corpus, from ``HEAD`` tokens on.  So the model is a distribution over the same events as the base.
 
 Cases: null and empty texts are one end token; a null id has the text ''; with
 no training token every band but the unknown one is empty; repeated rows train
-as often as they stand there; other columns are not read.
+as often as they stand there; rows of one id, or of none, are dealt by their
+texts too; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,13 +52,12 @@ from scrivener.llm.common import materialize, shuffle_parts
 
 HEAD, BANDS = 1024, 32
 SYMBOLS = HEAD + BANDS  # of the least head
-HIDDEN, STEPS, LANES = 24, 16, 256
+HIDDEN, STEPS, LANES = 24, 32, 256
 END = b"\n"  # no word holds a line end
-BLOCK_BYTES = 8 << 20
+CHUNK_BYTES, SEGMENT_BYTES = 16 << 20, 4 << 20
+WORKER_TOKENS = 2_000_000  # of a worker in a round
 NOTHING = -1e9
-DOCUMENT, HASHES, COUNTS, TOP, STATS = 3, 0, 1, 2, 4
-_SCHEMA = "kind int, b long, c long, v double, blob binary"
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,14 +65,21 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def width_of(head: int) -> int:
-    """Words a head class: the power of two from the square root on."""
+    """The power of two from the square root on."""
     return 1 << math.ceil(math.log2(head) / 2)
 
 
 def head_size(size: int) -> int:
-    """Head tokens for so many bytes of text, in full classes."""
-    head = max(HEAD, math.isqrt(size) // 8)
-    return -(-head // width_of(head)) * width_of(head)
+    """Head tokens for so many bytes of text."""
+    return max(HEAD, math.isqrt(size) // 8 // 64 * 64)
+
+
+@functools.lru_cache(8)
+def class_starts(size: int) -> np.ndarray:
+    """First ranks of the head's classes, and the end: classes of 8 and of 32 for the most frequent words, then wide ones."""
+    few, some = min(size, 64), min(size, 576)
+    wide = 2 * width_of(max(1, size - some))
+    return np.unique(np.r_[np.arange(0, few, 8), np.arange(few, some, 32), np.arange(some, size, wide), size])
 
 
 class Numbering(dict):
@@ -76,16 +90,24 @@ class Numbering(dict):
         return n
 
 
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The lower-case words of a text, a segment at a time."""
+    low, at = text.lower(), 0
+    while at < len(low):
+        end = at + SEGMENT_BYTES
+        if end < len(low):
+            cut = BLANK.search(low, end)
+            end = cut.start() if cut else len(low)
+        yield low[at:end].split()
+        at = end
+
+
 def numbered_tokens(texts: Iterator[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """(token numbers of every text, the end included; hashes of the numbered tokens)."""
     numbers = Numbering()
-    end, docs = numbers[END], []
+    end, docs = np.array([numbers[END]], np.int32), []
     for text in texts:
-        words = text.lower().split()
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-        out[-1] = end
-        docs.append(out)
+        docs.append(np.concatenate([*(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in word_lists(text)), end]))
     return docs, np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in numbers), np.uint64, len(numbers))
 
 
@@ -97,32 +119,48 @@ def band(counts: np.ndarray) -> np.ndarray:
 # ---- the network
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _exponentials(logits: np.ndarray) -> np.ndarray | float:
+    """In place, of columns less their greatest where they are large: float32 overflows at 88; returns what was taken off."""
+    off = 0.0
+    if logits.size and logits.max() > 60:
+        off = logits.max(0)
+        logits -= off
+    np.exp(logits, out=logits)
+    return off
 
 
-def _log_share(logits: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """Log of the softmax at one column a row; ``logits`` is used up."""
-    chosen = logits[rows, picked]
-    if logits.size and logits.max() > 60:  # float32 overflows at 88
-        top = logits.max(1)
-        logits -= top[:, None]
-        chosen = chosen - top
-    np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(1))
+def _log_share(logits: np.ndarray, picked: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Log of the softmax of every column at one row; ``logits`` is used up."""
+    chosen = logits[picked, columns]
+    chosen = chosen - _exponentials(logits)
+    return chosen - np.log(logits.sum(0))
+
+
+def _softmax_error(logits: np.ndarray, picked: np.ndarray, columns: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of the weighted negative log-likelihood by the logits, in their place."""
+    _exponentials(logits)
+    logits *= weight / logits.sum(0)
+    logits[picked, columns] -= weight
+    return logits
 
 
 class Network:
     """Parameters by name, float32.
 
     ``x``: a symbol's share of the three gates; ``u``: the state's; ``wc``, ``bc``:
-    classes; ``ww``, ``bw``: words of head classes.
+    classes; ``ww``, ``bw``: words of the head, by rank.  Inside, features are rows
+    and tokens columns, and large arrays are taken from ``room`` again and again.
     """
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
-        self.width = params["ww"].shape[2]
-        self.head = params["ww"].shape[0] * self.width
+        self.room: dict[str, np.ndarray] = {}
+        self.head = params["ww"].shape[0]
+        self.starts = class_starts(self.head)
+        self.groups = len(self.starts) - 1
+        self.group_of = np.repeat(np.arange(self.groups), np.diff(self.starts))
+        # bands without tokens, at the end, need no column
+        self.live = int(np.flatnonzero(params["bc"] > NOTHING / 2).max(initial=self.groups - 1)) + 1
 
     @classmethod
     def new(cls, head: np.ndarray, masses: np.ndarray, seed: int = 7, size: int = HEAD) -> Network:
@@ -131,20 +169,19 @@ class Network:
         Biases give the unigram distribution, so training starts from the base.
         """
         rng = np.random.default_rng(seed)
-        words = np.full(size, 1e-30)
+        words, starts = np.full(size, 1e-30), class_starts(size)
         words[: len(head)] = head
-        words = words.reshape(-1, width_of(size))
-        classes = np.concatenate([words.sum(1), masses])
+        classes = np.concatenate([np.add.reduceat(words, starts[:-1]), masses])
         with np.errstate(divide="ignore"):
             bc = np.where(classes > 1e-9, np.log(np.maximum(classes, 1e-30)), NOTHING)
         bw = np.where(words > 1e-9, np.log(words), NOTHING)
-        bw -= np.maximum(bw.max(1, keepdims=True), -1e8)
+        bw -= np.repeat(np.maximum(np.maximum.reduceat(bw, starts[:-1]), -1e8), np.diff(starts))
         p = {
-            "x": rng.normal(0, 0.1, (size + BANDS, 3 * HIDDEN)),
-            "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)),
-            "wc": np.zeros((HIDDEN, len(classes))),
+            "x": rng.normal(0, 0.1, (3 * HIDDEN, size + BANDS)),
+            "u": rng.normal(0, HIDDEN**-0.5, (3 * HIDDEN, HIDDEN)),
+            "wc": np.zeros((len(classes), HIDDEN)),
             "bc": bc - bc.max(),
-            "ww": np.zeros((len(words), HIDDEN, words.shape[1])),
+            "ww": np.zeros((size, HIDDEN)),
             "bw": bw,
         }
         return cls({k: v.astype(np.float32) for k, v in p.items()})
@@ -154,9 +191,8 @@ class Network:
 
     @classmethod
     def unpack(cls, raw: bytes, size: int) -> Network:
-        width = width_of(size)
-        groups = size // width
-        shapes = {"x": (size + BANDS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, groups + BANDS), "bc": (groups + BANDS,), "ww": (groups, HIDDEN, width), "bw": (groups, width)}
+        classes = len(class_starts(size)) - 1 + BANDS
+        shapes = {"x": (3 * HIDDEN, size + BANDS), "u": (3 * HIDDEN, HIDDEN), "wc": (classes, HIDDEN), "bc": (classes,), "ww": (size, HIDDEN), "bw": (size,)}
         flat, at, p = np.frombuffer(raw, np.float32), 0, {}
         for k in sorted(shapes):
             n = int(np.prod(shapes[k]))
@@ -164,99 +200,156 @@ class Network:
             at += n
         return cls(p)
 
-    def step(self, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
-        x, hu = self.p["x"][symbols], h @ self.p["u"]
-        gates = sigmoid(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, hu[:, 2 * HIDDEN :]
+    def _empty(self, name: str, *shape: int) -> np.ndarray:
+        """An array for this call only; its memory is used again by the next one."""
+        n, kind = math.prod(shape), self.p["u"].dtype
+        flat = self.room.get(name)
+        if flat is None or len(flat) < n or flat.dtype != kind:
+            flat = self.room[name] = np.empty(n, kind)
+        return flat[:n].reshape(shape)
+
+    def _forward(self, h: np.ndarray, x: np.ndarray, gates: np.ndarray, n: np.ndarray, hn: np.ndarray, out: np.ndarray) -> None:
+        """One step: the new state from state ``h`` and the symbols' shares ``x``; all (features, lanes)."""
+        hu = np.matmul(self.p["u"], h, out=self._empty("hu", 3 * HIDDEN, h.shape[1]))
+        np.add(x[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=gates)
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        hn[...] = hu[2 * HIDDEN :]
+        np.multiply(gates[HIDDEN:], hn, out=n)
+        n += x[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= gates[:HIDDEN]
+        out += n
+
+    def step(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The state (features, lanes) behind one symbol a lane."""
+        k, out = len(symbols), np.empty_like(h)
+        x = np.take(self.p["x"], symbols, axis=1, out=self._empty("x1", 3 * HIDDEN, k), mode="clip")
+        self._forward(h, x, self._empty("zr1", 2 * HIDDEN, k), self._empty("n1", HIDDEN, k), self._empty("hn1", HIDDEN, k), out)
+        return out
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < self.head, symbols // self.width, self.head // self.width + symbols - self.head)
+        return np.where(symbols < self.head, self.group_of[np.minimum(symbols, self.head - 1)], self.groups + symbols - self.head)
+
+    def _by_class(self, mine: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """(part of the tokens, sorted by class; their words) of every class of ``mine``."""
+        if len(mine):
+            cuts = [0, *(np.flatnonzero(np.diff(mine)) + 1).tolist(), len(mine)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield slice(a, b), slice(int(self.starts[mine[a]]), int(self.starts[mine[a] + 1]))
 
     def log_probs(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural log of class times word probability; within bands only the class."""
-        rows, cls = np.arange(len(h)), self.class_of(symbols)
-        out = _log_share(h @ self.p["wc"] + self.p["bc"], rows, cls)
+        """Natural log of class times word probability behind states (features, tokens); within bands only the class."""
+        p, live = self.p, self.live
+        at, cls = np.arange(len(symbols)), self.class_of(symbols)
+        logits = np.matmul(p["wc"][:live], h, out=self._empty("d", live, len(symbols)))
+        logits += p["bc"][:live, None]
+        out = _log_share(logits, np.minimum(cls, live - 1), at)
+        if len(cls) and cls.max() >= live:
+            out[cls >= live] = NOTHING
         head = np.flatnonzero(symbols < self.head)
         order = head[np.argsort(cls[head], kind="stable")]
-        for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-            if len(part):
-                k = cls[part[0]]
-                out[part] += _log_share(h[part] @ self.p["ww"][k] + self.p["bw"][k], rows[: len(part)], symbols[part] % self.width)
+        picked, words = np.take(h, order, axis=1), symbols[order]
+        for part, rows in self._by_class(cls[order]):
+            logits = p["ww"][rows] @ picked[:, part]
+            logits += p["bw"][rows, None]
+            out[order[part]] += _log_share(logits, words[part] - rows.start, at[: part.stop - part.start])
         return out
 
     def gradients(self, before: np.ndarray, symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of the mean loss over one window (lanes x steps), and the state behind it."""
-        p, lanes, steps = self.p, *symbols.shape
-        h, kept, states = before, [], []
+        """Gradients of the mean loss over one window (lanes x steps), and the states behind it, a row a lane."""
+        p, live, (lanes, steps) = self.p, self.live, symbols.shape
+        n_all, kind = lanes * steps, before.dtype
+        seq = np.ascontiguousarray(symbols.T).ravel()  # step by step
+        x = np.take(p["x"], seq, axis=1, out=self._empty("x", 3 * HIDDEN, n_all), mode="clip")
+        states, gates = self._empty("states", steps + 1, HIDDEN, lanes), self._empty("zr", steps, 2 * HIDDEN, lanes)
+        inner, back_in = self._empty("n", steps, HIDDEN, lanes), self._empty("hn", steps, HIDDEN, lanes)
+        states[0] = before.T
         for t in range(steps):
-            new, z, r, n, hn = self.step(h, symbols[:, t])
-            kept.append((h, z, r, n, hn))
-            h = new
-            states.append(h)
-        hs = np.stack(states, 1).reshape(-1, HIDDEN)
-        flat, weight = targets.ravel(), (mask / max(1.0, mask.sum())).ravel().astype(np.float32)
-        cls, rows = self.class_of(flat), np.arange(len(flat))
-        logits = hs @ p["wc"] + p["bc"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        d = e / e.sum(1, keepdims=True)
-        d[rows, cls] -= 1
-        d *= weight[:, None]
-        g = {"wc": hs.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        dh_out = d @ p["wc"].T
+            self._forward(states[t], x[:, t * lanes : (t + 1) * lanes], gates[t], inner[t], back_in[t], states[t + 1])
+        hs, h0 = self._empty("hs", HIDDEN, steps, lanes), self._empty("h0", HIDDEN, steps, lanes)
+        hs[...], h0[...] = states[1:].transpose(1, 0, 2), states[:-1].transpose(1, 0, 2)
+        hs, h0 = hs.reshape(HIDDEN, n_all), h0.reshape(HIDDEN, n_all)
+        flat, weight = np.ascontiguousarray(targets.T).ravel(), (mask.T / max(1.0, mask.sum())).ravel().astype(kind)
+        cls, at = self.class_of(flat), np.arange(n_all)
+        d = np.matmul(p["wc"][:live], hs, out=self._empty("d", live, n_all))
+        d += p["bc"][:live, None]
+        _softmax_error(d, cls, at, weight)
+        g = {k: self._empty(f"g_{k}", *v.shape) for k, v in p.items()}
+        for k in ("wc", "bc", "ww", "bw"):
+            g[k].fill(0)
+        g["wc"][:live], g["bc"][:live] = d @ hs.T, d.sum(1)
+        dh_out = np.matmul(p["wc"][:live].T, d, out=self._empty("dh", HIDDEN, n_all))
         head = np.flatnonzero((flat < self.head) & (weight > 0))
         order = head[np.argsort(cls[head], kind="stable")]
-        for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-            if len(part):
-                k = cls[part[0]]
-                logits = hs[part] @ p["ww"][k] + p["bw"][k]
-                e = np.exp(logits - logits.max(1, keepdims=True))
-                d = e / e.sum(1, keepdims=True)
-                d[np.arange(len(part)), flat[part] % self.width] -= 1
-                d *= weight[part, None]
-                g["ww"][k], g["bw"][k] = hs[part].T @ d, d.sum(0)
-                dh_out[part] += d @ p["ww"][k].T
-        dh_out = dh_out.reshape(lanes, steps, HIDDEN)
-        g["u"], gx = np.zeros_like(p["u"]), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        dh = np.zeros_like(before)
+        picked = np.take(hs, order, axis=1, out=self._empty("picked", HIDDEN, len(order)), mode="clip")
+        heavy, words, back = weight[order], flat[order], self._empty("back", HIDDEN, len(order))
+        for part, rows in self._by_class(cls[order]):
+            mine, ww = picked[:, part], p["ww"][rows]
+            d = ww @ mine
+            d += p["bw"][rows, None]
+            _softmax_error(d, words[part] - rows.start, at[: part.stop - part.start], heavy[part])
+            np.matmul(d, mine.T, out=g["ww"][rows])
+            d.sum(1, out=g["bw"][rows])
+            back[:, part] = ww.T @ d
+        for row, more in zip(dh_out, back):
+            row[order] += more
+        gx, rn_all = self._empty("gx", 3 * HIDDEN, n_all), self._empty("rn", HIDDEN, n_all)
+        du, kz, turned = self._empty("du", 3 * HIDDEN, lanes), self._empty("kz", HIDDEN, lanes), np.ascontiguousarray(p["u"].T)
+        dh = np.zeros((HIDDEN, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, n, hn = kept[t]
-            dh = dh + dh_out[:, t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            gx[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            g["u"] += h0.T @ du
-            dh = dh * z + du @ p["u"].T
-        # rows of equal symbols are summed by sorting
-        seq = symbols.T.ravel()
-        order = np.argsort(seq, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(seq[order]) != 0])
-        g["x"] = np.zeros_like(p["x"])
-        g["x"][seq[order][cuts]] = np.add.reduceat(gx.reshape(-1, 3 * HIDDEN)[order], cuts, axis=0)
-        return g, h
+            here = slice(t * lanes, (t + 1) * lanes)
+            z, r, n = gates[t, :HIDDEN], gates[t, HIDDEN:], inner[t]
+            dh += dh_out[:, here]
+            np.multiply(dh, z, out=kz)
+            dn = (dh - kz) * (1 - n * n)
+            dz, dr, rn = du[:HIDDEN], du[HIDDEN : 2 * HIDDEN], du[2 * HIDDEN :]
+            np.subtract(states[t], n, out=dz)
+            dz *= kz
+            dz *= 1 - z
+            np.multiply(dn, r, out=rn)
+            np.multiply(rn, back_in[t], out=dr)
+            dr *= 1 - r
+            gx[: 2 * HIDDEN, here], gx[2 * HIDDEN :, here], rn_all[:, here] = du[: 2 * HIDDEN], dn, rn
+            np.matmul(turned, du, out=dh)
+            dh += kz
+        g["u"][: 2 * HIDDEN], g["u"][2 * HIDDEN :] = gx[: 2 * HIDDEN] @ h0.T, rn_all @ h0.T
+        for row, share in zip(g["x"], gx):
+            row[...] = np.bincount(seq, share, len(row))
+        return g, np.ascontiguousarray(states[-1].T)
 
 
 class Adam:
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.t = net, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+        # what has no probability keeps none
+        self.moves = {k: (net.p[k] > NOTHING / 2).astype(np.float32) for k in ("bc", "bw")}
 
     def apply(self, g: dict[str, np.ndarray]) -> None:
+        """``g`` is used up."""
         self.t += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-12))
-        warm = self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-12)))
+        warm = np.float32(self.rate * min(1.0, self.t / 20) * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            x = x * np.float32(scale)
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            step = warm * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
-            if k in ("bc", "bw"):
-                step = np.where(self.net.p[k] > NOTHING / 2, step, 0)
-            self.net.p[k] -= step.astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += x * (np.float32(0.1) * scale)
+            v *= np.float32(0.999)
+            x *= x
+            x *= np.float32(0.001) * scale * scale
+            v += x
+            np.sqrt(v, out=x)
+            x += np.float32(1e-8)
+            np.divide(m, x, out=x)
+            x *= warm
+            if k in self.moves:
+                x *= self.moves[k]
+            self.net.p[k] -= x
 
 
 class Windows:
@@ -279,7 +372,7 @@ class Windows:
 
     def window(self) -> tuple[np.ndarray, np.ndarray]:
         """The next (lanes x ``STEPS`` + 1) symbols, and which targets are real."""
-        batch = np.zeros((len(self.open), STEPS + 1), np.int64)
+        batch = np.zeros((len(self.open), STEPS + 1), np.int32)
         mask = np.zeros((len(self.open), STEPS), bool)
         for i, lane in enumerate(self.open):
             part = lane[0][lane[1] : lane[1] + STEPS + 1]
@@ -320,8 +413,6 @@ def score(net: Network, docs: list[np.ndarray], lanes: int = 256, steps: int = 6
     # the longest document first to the shortest lane
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     load, queue = [0] * lanes, [[] for _ in range(lanes)]
-    import heapq
-
     heap = [(0, k) for k in range(lanes)]
     for i in order:
         n, k = heapq.heappop(heap)
@@ -348,20 +439,20 @@ def score(net: Network, docs: list[np.ndarray], lanes: int = 256, steps: int = 6
     symbols, before, owner, fresh = (a[by_load] for a in (symbols, before, owner, fresh))
     load = np.array(load)[by_load]
     starts = fresh.any(axis=0).tolist()
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, lanes), np.float32)
     for a in range(0, length, steps):
         live = int((load > a).sum())
-        h = h[:live]
+        h = np.ascontiguousarray(h[:, :live])
         b = min(a + steps, length)
-        states = np.empty((b - a, live, HIDDEN), np.float32)
+        states = np.empty((HIDDEN, b - a, live), np.float32)
         for t in range(a, b):
             if starts[t]:
-                h = np.where(fresh[:live, t, None], np.float32(0), h)
-            h = net.step(h, before[:live, t])[0]
-            states[t - a] = h
+                h[:, fresh[:live, t]] = 0
+            h = net.step(h, before[:live, t])
+            states[:, t - a] = h
         who = owner[:live, a:b].T.ravel()
-        real = who >= 0
-        value = net.log_probs(states.reshape(-1, HIDDEN)[real], symbols[:live, a:b].T.ravel()[real])
+        real = np.flatnonzero(who >= 0)
+        value = net.log_probs(np.take(states.reshape(HIDDEN, -1), real, axis=1), symbols[:live, a:b].T.ravel()[real])
         out += np.bincount(who[real], value, len(docs))
     return out
 
@@ -369,11 +460,6 @@ def score(net: Network, docs: list[np.ndarray], lanes: int = 256, steps: int = 6
 # ---- Spark stages
 
 
-def _batch(rows: list[tuple], names: tuple[str, ...] = ("kind", "b", "c", "v", "blob"), types: list[pa.DataType] = _TYPES) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
-
-
 def _squeezed(a: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)
     return zstandard.ZstdCompressor(level=1).compress(planes.T.tobytes())
@@ -385,150 +471,144 @@ def _unsqueezed(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _documents(blocks: int):
-    """Rows of (DOCUMENT, block, id, null, squeezed text)."""
+TOKEN, DOCUMENTS = 0, 1
+_CHUNK = "kind int, b long, num int, h long, c long, blob binary"
+_CHUNK_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_CHUNK_NAMES = ["kind", "b", "num", "h", "c", "blob"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield _batch([(DOCUMENT, xxhash.xxh64_intdigest(str(i).encode()) % blocks, i, None, squeeze(t.as_py())) for i, t in zip(part.column("id").to_pylist(), part.column("text"))])
-
-    return run
 
+def _pack_documents(ids: list[int | None], docs: list[np.ndarray]) -> bytes:
+    parts = [
+        len(docs).to_bytes(8, "little"),
+        np.array([i is None for i in ids], np.uint8).tobytes(),
+        np.array([i or 0 for i in ids], np.int64).tobytes(),
+        np.array([len(d) for d in docs], np.int64).tobytes(),
+        np.concatenate(docs).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(),
+    ]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(block, its rows sorted by kind); a block is about ``BLOCK_BYTES`` of text."""
-    key, held = None, []
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("kind", "b", "c", "v", "blob"))):
-            if row[1] != key:
-                if held:
-                    yield key, held
-                key, held = row[1], []
-            held.append(row)
-    if held:
-        yield key, held
 
+def _unpack_documents(blob: bytes) -> tuple[list[int | None], list[np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    null = np.frombuffer(raw, np.uint8, n, 8).tolist()
+    ids, lens = (np.frombuffer(raw, np.int64, n, at) for at in (8 + n, 8 + 9 * n))
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 8 + 17 * n).reshape(4, -1).T).view(np.uint32).ravel()
+    return [None if k else i for k, i in zip(null, ids.tolist())], np.split(numbers, np.cumsum(lens)[:-1])
+
+
+def _chunks(chunk_bytes: int):
+    """Step 1: rows of (TOKEN, chunk, number, hash, training count) and one of (DOCUMENTS, chunk, packed documents)."""
+
+    def flush(ids: list[int | None], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        chunk = int.from_bytes(os.urandom(8), "little") >> 1  # any name that no other chunk has
+        docs, hashes = numbered_tokens(texts)
+        trains = [d for i, d in zip(ids, docs) if not held_out(i)]
+        counts = np.bincount(np.concatenate(trains) if trains else np.empty(0, np.int32), minlength=len(hashes))
+        n = len(hashes)
+        tokens = [np.full(n, TOKEN, np.int32), np.full(n, chunk, np.int64), np.arange(n, dtype=np.int32), hashes.view(np.int64), counts.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, tokens), pa.nulls(n, pa.binary())], names=_CHUNK_NAMES)
+        row = (DOCUMENTS, chunk, 0, 0, 0, _pack_documents(ids, docs))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHUNK_TYPES)], names=_CHUNK_NAMES)
 
-def _block_tokens(rows: list[tuple]) -> tuple[list[int | None], list[np.ndarray], np.ndarray, np.ndarray]:
-    """(ids, token numbers, hashes by number, numbers in the order of their hashes)."""
-    expand, mine = zstandard.ZstdDecompressor().decompress, [r for r in rows if r[0] == DOCUMENT]
-    docs, hashes = numbered_tokens(expand(r[4]) for r in mine)
-    return [r[2] for r in mine], docs, hashes, np.argsort(hashes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for b in batches:
+            for i, text in zip(b.column("id").to_pylist(), b.column("text")):
+                ids.append(i)
+                texts.append(text.as_py())
+                size += len(texts[-1]) + 1
+                if size >= chunk_bytes:
+                    yield from flush(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield from flush(ids, texts)
 
+    return run
 
-def _counted(buckets: int):
-    """Step 1, blocks: (HASHES, bucket, block, null, sorted hashes and training counts)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _by_block(batches):
-            ids, docs, hashes, order = _block_tokens(rows)
-            trains = [d for i, d in zip(ids, docs) if not held_out(i)]
-            distinct = hashes[order]
-            counts = np.bincount(np.concatenate(trains) if trains else np.empty(0, np.int32), minlength=len(hashes)).astype(np.uint32)[order]
-            bucket = _bucket_of(distinct, buckets)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            out = []
-            for h, c in zip(np.split(distinct, cuts), np.split(counts, cuts)):
-                out.append((HASHES, int(_bucket_of(h[:1], buckets)[0]), block, None, len(h).to_bytes(4, "little") + h.tobytes() + _squeezed(c)))
-            yield _batch(out)
+_ROW = ("id", "held_out", "n_tokens", "n_known", "base", "banded", "symbols")
+_ROW_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+_ROW_SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, base double, banded double, symbols binary"
 
-    return run
 
+def _batch(rows: list[tuple], names: tuple[str, ...], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Contiguous ranges of hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
+def _symbols(size: int, head_hashes: np.ndarray, masses: np.ndarray, total: float, types: int):
+    """Step 3: symbols, base scores, and the logs of shares within bands; a chunk's token rows stand before its documents."""
+    order = np.argsort(head_hashes)
+    by_hash = head_hashes[order]
 
-def _summed(head: int):
-    """Step 1, buckets: counts back to every block, sums by band, and the most frequent tokens."""
+    def chunk(found: list[tuple[np.ndarray, ...]], blob: bytes) -> Iterator[pa.RecordBatch]:
+        number, hashes, count = (np.concatenate(c) for c in zip(*found))
+        counts, distinct = np.empty(len(number)), np.empty(len(number), np.uint64)
+        counts[number], distinct[number] = count, hashes.view(np.uint64)
+        base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
+        symbols = size + band(counts)
+        share = np.log((counts + 0.5) / masses[symbols - size])
+        if len(by_hash):
+            place = np.minimum(np.searchsorted(by_hash, distinct), len(by_hash) - 1)
+            head = by_hash[place] == distinct
+            symbols[head], share[head] = order[place[head]], 0.0
+        out = []
+        for i, mine in zip(*_unpack_documents(blob)):
+            out.append((i, held_out(i), len(mine), int((counts[mine] > 0).sum()), float(base[mine].sum()), float(share[mine].sum()), _squeezed(symbols[mine].astype("u4"))))
+            if len(out) == 2000:
+                yield _batch(out, _ROW, _ROW_TYPES)
+                out = []
+        yield _batch(out, _ROW, _ROW_TYPES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_block(batches):
-            parts = []
-            for r in rows:
-                n = int.from_bytes(r[4][:4], "little")
-                parts.append((np.frombuffer(r[4], np.uint64, n, 4), _unsqueezed(r[4][4 + 8 * n :], "u4")))
-            distinct, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(distinct)).astype(np.int64)
-            out, a = [], 0
-            for r, (h, _) in zip(rows, parts):
-                out.append((COUNTS, r[2], bucket, None, _squeezed(counts[at[a : a + len(h)]].astype("u8"))))
-                a += len(h)
-            known = counts > 0
-            bands = band(counts[known])
-            for k in np.unique(bands).tolist():
-                here = counts[known][bands == k]
-                out.append((STATS, k, len(here), float(here.sum()), None))
-            top = np.argsort(-counts, kind="stable")[:head]
-            out += [(TOP, int(counts[i]), int(distinct[i].view(np.int64)), None, None) for i in top.tolist() if counts[i]]
-            yield _batch(out)
+        found: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("num", "h", "c")]
+            at = 0
+            for row in np.flatnonzero(b.column("kind").to_numpy() == DOCUMENTS).tolist():
+                found.append(tuple(c[at:row] for c in columns))
+                yield from chunk(found, b.column("blob")[row].as_py())
+                found, at = [], row + 1
+            found.append(tuple(c[at:].copy() for c in columns))
 
     return run
 
 
-_ROW = ("id", "held_out", "n_tokens", "n_known", "base", "banded", "symbols")
-_ROW_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-_ROW_SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, base double, banded double, symbols binary"
+_COPY = "slot int, worker long, tokens long, params binary"
+_COPY_NAMES, _COPY_TYPES = ("slot", "worker", "tokens", "params"), [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+SLOTS = 32
 
 
-def _symbols(size: int, head_hashes: np.ndarray, masses: np.ndarray, total: float, types: int):
-    """Step 2: symbols, base scores, and the logs of shares within bands."""
-    order = np.argsort(head_hashes)
-    by_hash = head_hashes[order]
+def _trained(start: bytes, size: int, phase: int, lanes: int):
+    """Step 4: tokens and parameters of every worker, over rows sorted by worker; later rounds take smaller steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_block(batches):
-            ids, docs, distinct, by_bucket = _block_tokens(rows)
-            if not docs:
-                continue
-            counts = np.empty(len(distinct))
-            counts[by_bucket] = np.concatenate([_unsqueezed(r[4], "u8") for r in sorted((r for r in rows if r[0] == COUNTS), key=lambda r: r[2])])
-            base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
-            symbols = size + band(counts)
-            share = np.log((counts + 0.5) / masses[symbols - size])
-            if len(by_hash):
-                place = np.minimum(np.searchsorted(by_hash, distinct), len(by_hash) - 1)
-                head = by_hash[place] == distinct
-                symbols[head], share[head] = order[place[head]], 0.0
-            out = []
-            for i, mine in zip(ids, docs):
-                out.append((i, held_out(i), len(mine), int((counts[mine] > 0).sum()), float(base[mine].sum()), float(share[mine].sum()), _squeezed(symbols[mine].astype("u4"))))
-            for k in range(0, len(out), 2000):
-                yield _batch(out[k : k + 2000], _ROW, _ROW_TYPES)
+        rows = ((w, x) for b in batches for w, x in zip(b.column("worker").to_pylist(), b.column("symbols")))
+        for worker, mine in itertools.groupby(rows, key=lambda r: r[0]):
+            net = Network.unpack(start, size)
+            tokens = train(net, (_unsqueezed(x.as_py(), "u4").astype(np.int32) for _, x in mine), lanes, rate=0.01 / (1 + 2 * phase))
+            yield _batch([(worker % SLOTS, worker, tokens, net.pack())], _COPY_NAMES, _COPY_TYPES)
 
     return run
 
 
-def _trained(start: bytes, size: int, phase: int):
-    """Step 3: one row a task: tokens and parameters; later rounds take smaller steps."""
+def _averaged(whole: bool):
+    """Weighted means of the rows of each slot, or of all, in the order they stand in; one at a time in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.unpack(start, size)
-        docs = (_unsqueezed(x.as_py(), "u4").astype(np.int64) for b in batches for x in b.column("symbols"))
-        tokens = train(net, docs, rate=0.01 / (1 + 2 * phase))
-        if tokens:
-            raw = net.pack()
-            yield _batch([(xxhash.xxh32_intdigest(raw) % 32, tokens, raw)], ("slot", "tokens", "params"), [pa.int32(), pa.int64(), pa.binary()])
+        rows = (r for b in batches for r in zip(b.column("slot").to_pylist(), b.column("tokens").to_pylist(), b.column("params")))
+        for slot, mine in itertools.groupby(rows, key=lambda r: 0 if whole else r[0]):
+            total, weight = None, 0
+            for _, tokens, raw in mine:
+                part = np.frombuffer(raw.as_py(), np.float32).astype(np.float64) * tokens
+                total = part if total is None else total + part
+                weight += tokens
+            yield _batch([(slot, slot, weight, (total / weight).astype(np.float32).tobytes())], _COPY_NAMES, _COPY_TYPES)
 
     return run
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted means of the rows of a partition, one at a time in memory."""
-    total, weight = None, 0
-    for b in batches:
-        for tokens, raw in zip(b.column("tokens").to_pylist(), b.column("params")):
-            part = np.frombuffer(raw.as_py(), np.float32).astype(np.float64) * tokens
-            total = part if total is None else total + part
-            weight += tokens
-    if weight:
-        yield _batch([(0, weight, (total / weight).astype(np.float32).tobytes())], ("slot", "tokens", "params"), [pa.int32(), pa.int64(), pa.binary()])
-
-
 def _scored(params: bytes, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, held, waiting = Network.unpack(params, size), [], 0
@@ -551,7 +631,7 @@ def _scored(params: bytes, size: int):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``rounds``: each training document is trained on in one of them, from its
@@ -560,35 +640,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = shuffle_parts(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, words = 1 + size // BLOCK_BYTES, head_size(size)
-    documents = source.mapInArrow(_documents(blocks), _SCHEMA)
-    dealt = lambda rows: rows.repartition(parts, "b").sortWithinPartitions("b", "kind")
-    hashed = dealt(documents).mapInArrow(_counted(blocks), _SCHEMA)
-    counted = materialize(dealt(hashed).mapInArrow(_summed(words), _SCHEMA))
-
-    # a row a band, and the head
-    sums = counted.where(F.col("kind") == STATS).groupBy("b").agg(F.sum("c").alias("types"), F.sum("v").alias("tokens")).collect()
+    words = head_size(size)
+    chunks = materialize(source.mapInArrow(_chunks(chunk_bytes), _CHUNK))
+    tokens = chunks.where(F.col("kind") == TOKEN).select("b", "num", "h", "c")
+    counts = materialize(tokens.groupBy("h").agg(F.sum("c").alias("c")))
+
+    # a row a band, and the head; a band is the number of binary digits
+    known = counts.where("c > 0")
+    sums = known.groupBy(F.least(F.length(F.bin("c")), F.lit(BANDS - 1)).alias("band")).agg(F.count("*").alias("types"), F.sum("c").alias("tokens")).collect()
     types, total = sum(r.types for r in sums), sum(r.tokens for r in sums)
-    head = counted.where(F.col("kind") == TOP).orderBy(F.desc("b"), "c").limit(words).select("b", "c").collect()
-    head_hashes = np.array([r.c for r in head], np.int64).view(np.uint64)
-    head_counts = np.array([r.b for r in head], np.float64)
+    head = known.orderBy(F.desc("c"), "h").limit(words).collect()
+    head_hashes = np.array([r.h for r in head], np.int64).view(np.uint64)
+    head_counts = np.array([r.c for r in head], np.float64)
     masses = np.zeros(BANDS)
     masses[0] = 0.5
     for r in sums:
-        masses[r.b] += r.tokens + 0.5 * r.types
+        masses[r.band] += r.tokens + 0.5 * r.types
     if len(head_counts):
         masses -= np.bincount(band(head_counts), head_counts + 0.5, BANDS)
     masses = np.where(masses < 0.25, 0.0, masses)
 
-    rows = dealt(documents.unionByName(counted.where(F.col("kind") == COUNTS)))
-    table = materialize(rows.mapInArrow(_symbols(words, head_hashes, np.maximum(masses, 1e-9), total, types), _ROW_SCHEMA))
+    counted = tokens.drop("c").join(counts, "h").select(F.lit(TOKEN).alias("kind"), "b", "num", "h", "c", F.lit(None).cast("binary").alias("blob"))
+    rows = counted.unionByName(chunks.where(F.col("kind") == DOCUMENTS)).repartition(parts, "b").sortWithinPartitions("b", "kind")
+    table = materialize(rows.mapInArrow(_symbols(words, head_hashes, np.maximum(masses, 1e-9), float(total), types), _ROW_SCHEMA))
 
     params = Network.new(head_counts + 0.5, masses, size=words).pack()
-    for k in range(rounds):
-        mine = table.where(~F.col("held_out") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == k))
-        copies = mine.select("symbols").mapInArrow(_trained(params, words, k), "slot int, tokens long, params binary")
-        means = copies.repartition(32, "slot").mapInArrow(_averaged, "slot int, tokens long, params binary")
-        found = means.repartition(1).mapInArrow(_averaged, "slot int, tokens long, params binary").collect()  # one row
+    workers = max(1, -(-int(total) // (rounds * WORKER_TOKENS)))
+    lanes = min(LANES, max(64, int(total) // (rounds * workers * STEPS * 24)))
+    deal = F.xxhash64("id", "symbols")  # of the document alone
+    trains = table.where(~F.col("held_out")).select("symbols", deal.alias("deal"), F.pmod(deal, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(deal, 16), F.lit(workers)).alias("worker"))
+    for k in range(rounds if total else 0):
+        mine = trains.where(F.col("round") == k).repartition(workers, "worker").sortWithinPartitions("worker", "deal")
+        copies = mine.select("worker", "symbols").mapInArrow(_trained(params, words, k, lanes), _COPY)
+        means = copies.repartition(SLOTS, "slot").sortWithinPartitions("slot", "worker").mapInArrow(_averaged(False), _COPY)
+        found = means.repartition(1).sortWithinPartitions("slot").mapInArrow(_averaged(True), _COPY).collect()  # one row
         if found:
             params = bytes(found[0].params)
     out = table.mapInArrow(_scored(params, words), "id long, held_out boolean, n_tokens long, n_known long, base double, score double")

@@ -39,9 +39,9 @@ def network(seed=1):
 
 
 def test_probabilities_sum_to_one():
-    net, h = network(), np.random.default_rng(2).normal(size=(1, lmscore.HIDDEN)).astype(np.float32)
+    net, h = network(), np.random.default_rng(2).normal(size=(lmscore.HIDDEN, 1)).astype(np.float32)
     every = np.arange(lmscore.SYMBOLS)
-    assert np.exp(net.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-3)
+    assert np.exp(net.log_probs(np.repeat(h, len(every), 1), every)).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_state_is_carried_to_the_end_and_lanes_do_not_matter():
@@ -49,9 +49,9 @@ def test_state_is_carried_to_the_end_and_lanes_do_not_matter():
     docs = [rng.integers(0, 1000, n) for n in (1, 2, 63, 64, 65, 500, 1, 130)]
     want = []
     for d in docs:
-        h, total = np.zeros((1, lmscore.HIDDEN), np.float32), 0.0
+        h, total = np.zeros((lmscore.HIDDEN, 1), np.float32), 0.0
         for before, now in zip([d[-1], *d[:-1]], d):
-            h = net.step(h, np.array([before]))[0]
+            h = net.step(h, np.array([before]))
             total += float(net.log_probs(h, np.array([now]))[0])
         want.append(total)
     for lanes in (1, 3, 100):
@@ -63,11 +63,12 @@ def test_gradients():
     net = lmscore.Network({k: v.astype(np.float64) for k, v in net.p.items()})
     seq = rng.integers(0, 1000, (3, 6))
     g, _ = net.gradients(np.zeros((3, lmscore.HIDDEN)), seq[:, :5], seq[:, 1:], np.ones((3, 5), bool))
+    g = {k: v.copy() for k, v in g.items()}
 
     def loss():
-        h, total = np.zeros((3, lmscore.HIDDEN)), 0.0
+        h, total = np.zeros((lmscore.HIDDEN, 3)), 0.0
         for t in range(5):
-            h = net.step(h, seq[:, t])[0]
+            h = net.step(h, seq[:, t])
             total -= net.log_probs(h, seq[:, t + 1]).sum()
         return total / 15
 
@@ -108,13 +109,41 @@ def test_training_reads_every_symbol_with_the_state_of_its_document():
 def test_head_grows_with_the_corpus():
     assert lmscore.head_size(0) == lmscore.head_size(10**7) == lmscore.HEAD
     sizes = [lmscore.head_size(10**k) for k in (8, 9, 10, 11)]
-    assert sizes == sorted(set(sizes)) and all(n % lmscore.width_of(n) == 0 for n in sizes)
+    assert sizes == sorted(set(sizes)) and all(lmscore.class_starts(n)[-1] == n for n in sizes)
     size = lmscore.head_size(10**9)
     net = lmscore.Network.new(np.arange(size, 0, -1) + 0.5, np.ones(lmscore.BANDS), size=size)
     again = lmscore.Network.unpack(net.pack(), size)
     assert all(np.array_equal(again.p[k], v) for k, v in net.p.items())
-    h, every = np.zeros((1, lmscore.HIDDEN), np.float32), np.arange(size + lmscore.BANDS)
-    assert np.exp(again.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-3)
+    h, every = np.zeros((lmscore.HIDDEN, 1), np.float32), np.arange(size + lmscore.BANDS)
+    assert np.exp(again.log_probs(np.repeat(h, len(every), 1), every)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_splits_and_chunks_do_not_matter(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lmscore, "WORKER_TOKENS", 20_000)  # several workers a round
+    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    first, *others = (
+        {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in lmscore.score_documents(docs.repartition(n), chunk_bytes=size).collect()} for n, size in ((1, 1 << 24), (3, 1 << 18), (8, 1 << 16))
+    )
+    for other in others:
+        assert set(other) == set(first)
+        assert all(other[i] == pytest.approx(first[i], rel=1e-6) for i in first)
+
+
+def test_token_rows_are_linear_in_the_chunks(spark, sf_dir):
+    """Rows of the exchange: the distinct tokens of every chunk, whatever the number of chunks."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id id", "cast(text as binary) text")
+    rows = lambda n: docs.mapInArrow(lmscore._chunks(n), lmscore._CHUNK).groupBy("b").agg({"h": "approx_count_distinct", "*": "count"}).collect()
+    for size in (1 << 24, 1 << 14):
+        found = rows(size)
+        texts = docs.count()
+        assert sum(r["count(1)"] for r in found) <= sum(len(set(tokens(r.text.decode()))) for r in docs.collect()) + len(found) and len(found) <= texts
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", 7)
+    text = b"One two  three\nfour" + b"x" * 40 + b"\tfive \x0bsix "
+    assert [w for words in lmscore.word_lists(text) for w in words] == text.lower().split()
+    assert list(lmscore.word_lists(b"")) == []
 
 
 def test_awkward(spark, awkward, make_docs):
