@@ -332,9 +332,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
         labels = components(links)
 
     named = classes.select("s1", "s2", "rep", "low", "first").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    # most classes are their own component: only the others meet
-    several = named.where("rep <> label").select("label").distinct()
-    joint = named.join(several, "label", "left_semi").groupBy("label").agg(F.min("low").alias("least"), F.min("first").alias("front"))
+    # most classes are their own component; the members of the others are summed a task at a time before they meet their head
+    members = named.where("rep <> label").groupBy("label").agg(F.min("low").alias("m_low"), F.min("first").alias("m_first"))
+    heads = named.where("rep = label").select("label", "low", "first")
+    joint = heads.join(members, "label").select("label", F.least("low", "m_low").alias("least"), F.least("first", "m_first").alias("front"))
     found = named.join(joint, "label", "left").select("s1", "s2", "label", F.when(F.col("front").isNull(), F.col("low")).otherwise(F.col("least")).alias("low"), F.coalesce("front", "first").alias("first"))
     return signed.drop("bands"), found
 
