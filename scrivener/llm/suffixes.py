@@ -625,15 +625,16 @@ class _Plan:
         text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
         self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
         total = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.hash_buckets, self.doc_buckets = 1 + total // HASH_BUCKET_BYTES, 1 + total // DOC_BUCKET_BYTES
         self.parts = shuffle_parts(docs.sparkSession)
+        # full rounds of the partitions, so that all hold as many
+        self.hash_buckets, self.doc_buckets = (self.parts * (1 + total // (size * self.parts)) for size in (HASH_BUCKET_BYTES, DOC_BUCKET_BYTES))
 
     def dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.parts, "kind", "b").sortWithinPartitions("kind", "b")
+        return rows.repartitionById(self.parts, F.pmod("b", F.lit(self.parts)).cast("int")).sortWithinPartitions("kind", "b")
 
     def with_documents(self, rows: DataFrame) -> DataFrame:
         documents = self.docs.mapInArrow(_document_rows(self.doc_buckets), SCHEMA)
-        return rows.unionByName(documents).repartition(self.parts, "b").sortWithinPartitions("b", "kind")
+        return rows.unionByName(documents).repartitionById(self.parts, F.pmod("b", F.lit(self.parts)).cast("int")).sortWithinPartitions("b", "kind")
 
     def opened(self, settle: bool) -> DataFrame:
         anchors = self.docs.mapInArrow(_anchor_rows(self.hash_buckets, self.doc_buckets, settle, CHUNK_BYTES, STEP_BYTES), SCHEMA)
