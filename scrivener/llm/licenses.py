@@ -5,7 +5,8 @@ one automaton finds every place of the base phrases and of longer notices.  An
 identifier tag (``spdx-license-identifier:``) is followed by a licence
 expression over ``and``, ``or`` and ``with``, which a shunting-yard turns into
 postfix order; its identifiers become labels and its value tells whether the
-text may be used under an allowed set.
+text may be used under an allowed set.  The longest well-formed start of a line
+counts, found in one pass; a word that is no identifier by name or form ends it.
 
 Cases: null and empty texts have no words, null positions, empty labels, score
 0; a malformed expression contributes the identifiers before the error; repeated
@@ -15,6 +16,7 @@ rows give repeated results; texts are scanned whole, other columns not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -44,6 +46,11 @@ NOTICE_PHRASES = {
     "dedicated to the public domain": "public-domain",
 }
 ALLOWED = frozenset({"apache-2.0", "apache", "mit", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "cc-by", "cc-by-4.0", "cc0-1.0", "public-domain"})
+# Identifiers without a digit; others are told by their form
+SHORT_IDENTIFIERS = frozenset({
+    "apache", "mit", "bsd", "isc", "zlib", "x11", "0bsd", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc0",
+    "unlicense", "wtfpl", "ncsa", "openssl", "postgresql", "python", "ruby", "php", "perl", "beerware", "libpng", "curl", "ntp", "public-domain", "proprietary",
+})
 TAG_WORDS = "spdx license identifier"
 TAG = re.compile(rb"spdx-license-identifier:[\x20\x09]*([^\n]*)")
 TOKEN = re.compile(rb"[()]|[a-z0-9][a-z0-9.+-]*")
@@ -52,37 +59,53 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 BLANKS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def to_postfix(tokens: list[str]) -> list[str]:
-    """Shunting-yard; raises ValueError where the expression is malformed."""
+def is_identifier(token: str) -> bool:
+    """A known short name, or by form: a digit behind a letter's name, or a reference of one's own."""
+    return token in SHORT_IDENTIFIERS or token.startswith("licenseref-") or ("-" in token or "." in token) and any(c.isdigit() for c in token) and token[0].isalpha()
+
+
+def to_postfix(tokens: Iterator[str]) -> tuple[list[str], set[int]]:
+    """Shunting-yard over the longest well-formed start, in one pass: (postfix, places of exceptions in it).
+
+    Whenever the tokens so far are complete, the output's length and the at most
+    three waiting operators are noted; the last note is the result.
+    """
     out: list[str] = []
     stack: list[str] = []
-    operand = False  # whether the last token ended an operand
+    exceptions: set[int] = set()
+    best: tuple[int, list[str]] = (0, [])
+    operand, depth, last = False, 0, ""
     for t in tokens:
         if t in PRECEDENCE:
             if not operand:
-                raise ValueError(t)
+                break
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[t]:
                 out.append(stack.pop())
             stack.append(t)
             operand = False
         elif t == "(":
             if operand:
-                raise ValueError(t)
+                break
             stack.append(t)
+            depth += 1
         elif t == ")":
-            if not operand or "(" not in stack:
-                raise ValueError(t)
+            if not operand or not depth:
+                break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         else:
-            if operand:
-                raise ValueError(t)
+            if operand or not (last == "with" and "exception" in t or is_identifier(t)):
+                break
+            if last == "with":
+                exceptions.add(len(out))
             out.append(t)
             operand = True
-    if not operand or "(" in stack:
-        raise ValueError("unfinished")
-    return out + stack[::-1]
+        last = t
+        if operand and not depth:
+            best = len(out), stack[::-1]
+    return out[: best[0]] + best[1], exceptions
 
 
 def evaluate(postfix: list[str], allowed: frozenset[str] = ALLOWED) -> bool:
@@ -99,15 +122,10 @@ def evaluate(postfix: list[str], allowed: frozenset[str] = ALLOWED) -> bool:
 
 def parse_expression(text: bytes) -> tuple[list[str], bool | None]:
     """(licence identifiers, allowed) of the longest well-formed start; exceptions after ``with`` are no licences."""
-    tokens = [t.decode() for t in TOKEN.findall(text)]
-    for end in range(len(tokens), 0, -1):
-        try:
-            postfix = to_postfix(tokens[:end])
-        except ValueError:
-            continue
-        after_with = {tokens[i + 1] for i in range(end - 1) if tokens[i] == "with"}
-        return [t for t in postfix if t not in PRECEDENCE and t not in after_with], evaluate(postfix)
-    return [], None
+    postfix, exceptions = to_postfix(m[0].decode() for m in TOKEN.finditer(text))
+    if not postfix:
+        return [], None
+    return [t for i, t in enumerate(postfix) if t not in PRECEDENCE and i not in exceptions], evaluate(postfix)
 
 
 class LicenseScanner:
