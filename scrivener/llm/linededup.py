@@ -103,20 +103,33 @@ def _stream(min_docs: int):
         return t.filter(pa.array(common[run_of] & (ids != ids[starts][run_of])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None  # the last run of hashes, which the next batch may continue
+        out = ["id", "row", "n_lines", "at"]
+        carry: pa.Table | None = None  # the last run of hashes, still of too few documents
+        known: tuple[int, int, int] | None = None  # or its hash and largest id, once it is common
         for b in batches:
             t = pa.Table.from_batches([b])
             t = t if carry is None else pa.concat_tables([carry, t])
+            if t.num_rows and known:
+                h1, h2, ids = (t.column(c).to_numpy() for c in ("h1", "h2", "id"))
+                same = (h1 == known[0]) & (h2 == known[1])
+                n = len(same) if same.all() else int(same.argmin())
+                yield from t.slice(0, n).filter(pa.array(ids[:n] != known[2])).select(out).to_batches()
+                t = t.slice(n)
             if not t.num_rows:
                 continue
-            h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
+            carry = known = None
+            h1, h2, ids = (t.column(c).to_numpy() for c in ("h1", "h2", "id"))
             same = (h1 == h1[-1]) & (h2 == h2[-1])
             at = len(h1) - (len(h1) if same.all() else int(np.argmin(same[::-1])))
             if at:
-                yield from decide(t.slice(0, at)).select(["id", "row", "n_lines", "at"]).to_batches()
-            carry = t.slice(at)
-        if carry is not None:
-            yield from decide(carry).select(["id", "row", "n_lines", "at"]).to_batches()
+                yield from decide(t.slice(0, at)).select(out).to_batches()
+            last, mine = t.slice(at), ids[at:]
+            if len(np.unique(mine)) >= min_docs or last.column("ge").to_numpy().any():
+                yield from last.filter(pa.array(mine != mine[0])).select(out).to_batches()
+                known = int(h1[-1]), int(h2[-1]), int(mine[0])
+            else:
+                carry = last
+        # a run of too few documents loses nothing
 
     return run
 
