@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from scrivener.llm import secrets
 from scrivener.llm.urls import CAPITALS, SMALL
 
 _SPACE = r"[^\x20\x09-\x0D]+"
@@ -30,24 +29,38 @@ FROM m GROUP BY doc_id
 """
 
 
-def _matches(kind: str) -> str:
-    pattern, rank = secrets.KINDS[kind].replace("'", "''"), list(secrets.KINDS).index(kind)
-    group, least = (2, secrets.MIN_ASSIGNED) if kind == "assign" else (0, 0)
-    return f"""SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, {least} AS least, unnest(regexp_extract_all(t, '{pattern}')) AS whole, unnest(regexp_extract_all(t, '{pattern}', {group})) AS value,
+# Stated here by themselves, not taken from the operator: (kind, pattern, group of the value, least length)
+_KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("token", r"(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 0, 0),
+    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0),
+]
+_AROUND = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\s|\\[nr]"
+
+
+def _matches(rank: int) -> str:
+    kind, pattern, group, least = _KINDS[rank]
+    pattern = pattern.replace("'", "''")
+    value = f"unnest(regexp_extract_all(t, '{pattern}', {group}))"
+    if kind == "key":
+        value = f"coalesce(nullif(regexp_replace({value}, '{_AROUND}', '', 'g'), ''), {value})"
+    return f"""SELECT doc_id, source, lang, '{kind}' AS kind, {rank} AS rank, {least} AS least, unnest(regexp_extract_all(t, '{pattern}')) AS whole, {value} AS value,
       unnest(list_slice(regexp_split_to_array(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}')))) AS gap, unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i
     FROM d"""
 
 
 OP5 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-m AS ({' UNION ALL '.join(_matches(k) for k in secrets.KINDS)}),
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(_matches(k) for k in range(len(_KINDS)))}),
 p AS (SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM m),
 f AS (SELECT *, stop - length(whole) AS start FROM p WHERE length(value) >= least),
-o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f GROUP BY value),
-j AS (SELECT f.*, owners, concat(kind, ':', start, ':', stop) AS span FROM f JOIN o USING (value)),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(lang, chr(0))) AS repos FROM f GROUP BY value),
+j AS (SELECT f.*, owners >= 3 OR owners > 1 AND repos >= 6 AS copied, concat(kind, ':', start, ':', stop) AS span FROM f JOIN o USING (value)),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-    string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(secrets.BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans,
-    count(*) FILTER (WHERE owners < 3) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_copied FROM j GROUP BY doc_id)
+    string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans,
+    count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id

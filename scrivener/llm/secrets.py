@@ -5,9 +5,11 @@ Spans come from regular expressions: base kinds ``assign``, ``access`` and
 web tokens) and ``key`` (private keys from header to end line; the value is the
 body without blanks, or the header where no end line follows).  Each span's value is hashed, and
 every hash is counted over distinct owners and distinct repositories: a value
-that many repositories hold is a copied example, one that a single owner holds
-looks live.  Hashes are aggregated to distinct (hash, owner, repository) before
-they meet, so a value copied everywhere is one row a task.
+of ``copied_owners`` owners is a copied example, and so is one of several owners
+and ``copied_repos`` repositories; what an owner alone holds looks live, in
+however many of the owner's repositories.  Hashes are aggregated to distinct (hash, owner,
+repository) before they meet, and a value's spans meet its counts in ``SALTS`` parts, so a
+value copied everywhere is no hot key.  Values themselves are never written, only their hashes.
 
 Places are found without positions from the regex engine: the text is split at
 the matches, and running sums of the lengths of gaps and matches give starts and
@@ -34,17 +36,16 @@ ASSIGN = (
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 TOKEN = "(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+)"
-KEY = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+# header, body and end line; a body has single hyphens only (in its header lines), so no match runs into another key
+KEY = "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----)?"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "token": TOKEN, "key": KEY}
-# Body and end line; a body has single hyphens only (in its header lines), so no match runs into another key
-KEY_BODY = "(?:(?:[^-]*-(?!-)){0,64}[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"
-# What is searched; the SQL equivalent has KINDS, because its engine has no look-ahead
-SEARCHED = {**KINDS, "key": KEY + KEY_BODY}
 AROUND_BODY = "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\s|\\\\[nr]"
 BASE = ("assign", "access", "hex")
 MIN_ASSIGNED = 6
 
-_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
+SALTS = 16
+
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value_hash:bigint>>"
 
 
 CHUNK = 512
@@ -52,12 +53,12 @@ CHUNK = 512
 
 def pieces_of(text: Column, kind: str) -> Column:
     """array<struct<gap, whole, value>> of one kind's matches and the text before each; null without a match."""
-    pattern = F.lit(SEARCHED[kind])
+    pattern = F.lit(KINDS[kind])
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else whole
     if kind == "key":
         value = F.transform(whole, lambda w: F.coalesce(F.nullif(F.regexp_replace(w, F.lit(AROUND_BODY), F.lit("")), F.lit("")), w))
-    return F.when(F.rlike(text, pattern), F.arrays_zip(F.split(text, SEARCHED[kind], -1).alias("gap"), whole.alias("whole"), value.alias("value")))
+    return F.when(F.rlike(text, pattern), F.arrays_zip(F.split(text, KINDS[kind], -1).alias("gap"), whole.alias("whole"), value.alias("value")))
 
 
 def sums_before(lengths: Column) -> Column:
@@ -74,16 +75,18 @@ def sums_before(lengths: Column) -> Column:
 
 
 def spans_of(pieces: Column, before: Column, kind: str) -> Column:
-    """array<struct<start, rank, kind, end, value>> from ``pieces_of`` and the lengths before each piece."""
+    """array<struct<start, rank, kind, end, value_hash>> from ``pieces_of`` and the lengths before each piece."""
     rank = list(KINDS).index(kind)
 
+    least = MIN_ASSIGNED if kind == "assign" else 1
+
     def span(p: Column, at: Column) -> Column:
         start = at + F.length(p["gap"])
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(p["whole"])).alias("end"), p["value"].alias("value"))
+        hashed = F.when(F.length(p["value"]) >= least, F.xxhash64(p["value"]))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(p["whole"])).alias("end"), hashed.alias("value_hash"))
 
-    least = MIN_ASSIGNED if kind == "assign" else 1
     # the last gap has no match behind it
-    found = F.filter(F.zip_with(pieces, before, span), lambda s: s["value"].isNotNull() & (F.length(s["value"]) >= least))
+    found = F.filter(F.zip_with(pieces, before, span), lambda s: s["value_hash"].isNotNull())
     return F.coalesce(found.cast(_SPAN), F.array().cast(_SPAN))
 
 
@@ -104,22 +107,25 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def ownership(spans: DataFrame) -> DataFrame:
     """(value_hash, n_owners, n_repos) of every candidate value of ``find_spans``."""
-    values = spans.where(F.size("spans") > 0).select(F.explode(F.expr("transform(spans, s -> xxhash64(s.value))")).alias("value_hash"), "owner", "repo")
+    values = spans.where(F.size("spans") > 0).select(F.explode(F.col("spans.value_hash")).alias("value_hash"), "owner", "repo")
     by_repo = values.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, copied_repos: int = 6) -> DataFrame:
     """(doc_id, spans with n_owners, n_repos and live) of every row.
 
-    A span is ``live`` if fewer than ``copied_owners`` owners hold its value.
+    A span is ``live`` unless ``copied_owners`` owners hold its value, or two
+    owners or more in ``copied_repos`` repositories.
     """
     rows = find_spans(docs, id_col, text_col, owner_col, repo_cols)
-    hashed = rows.where(F.size("spans") > 0).select("rid", F.explode("spans").alias("s")).withColumn("value_hash", F.xxhash64("s.value"))
-    judged = hashed.join(ownership(rows), "value_hash").select("rid", F.struct("s.start", "s.rank", "s.kind", "s.end", "s.value", "n_owners", "n_repos", (F.col("n_owners") < copied_owners).alias("live")).alias("s"))
+    hashed = rows.where(F.size("spans") > 0).select("rid", F.explode("spans").alias("s")).select("rid", "s", F.col("s.value_hash").alias("value_hash"), F.pmod(F.col("rid"), F.lit(SALTS)).cast("int").alias("salt"))
+    counts = ownership(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_owners") > 1) & (F.col("n_repos") >= copied_repos)
+    judged = hashed.join(counts, ["value_hash", "salt"]).select("rid", F.struct("s.start", "s.rank", "s.kind", "s.end", "s.value_hash", "n_owners", "n_repos", (~copied).alias("live")).alias("s"))
     lists = judged.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("judged"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>")
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value_hash:bigint,n_owners:bigint,n_repos:bigint,live:boolean>>")
     return rows.select("rid", "doc_id").join(lists, "rid", "left").select("doc_id", F.coalesce("judged", none).alias("spans"))
 
 
