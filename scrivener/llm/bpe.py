@@ -71,12 +71,37 @@ def word_pattern(wide: bool) -> regex.Pattern:
     return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
 
 
+# The sections of the file that this module implements
+SECTIONS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check_sections(spec: dict) -> None:
+    """Raise ValueError for a file that would be read wrongly."""
+    wrong = [k for k, v in SECTIONS.items() if spec.get(k) != v] + [f"model.{k}" for k, v in MODEL.items() if spec["model"].get(k, v) != v]
+    wrong += [f"added token {a['content']}" for a in spec["added_tokens"] if any(a.get(k, v) != v for k, v in ADDED.items())]
+    if wrong:
+        raise ValueError(f"not a word-level BPE file of the known kind: {', '.join(wrong)}")
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file; build once a task."""
 
     def __init__(self, path: str, cache_size: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_sections(spec)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         vocab = model["vocab"]
