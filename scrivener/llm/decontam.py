@@ -194,9 +194,9 @@ def windows(starts: list[int], size: int, budget: int) -> list[tuple[int, int]]:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", error_rate: float = 0.08, min_words: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", error_rate: float = 0.10, min_words: int = 5, block_bytes: int = 8 << 20, item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance) of every document that holds an item within its budget."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + total // block_bytes
     source = texts(docs, id_col, text_col)
@@ -216,9 +216,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error_rate: float = 0.08, min_words: int = 5, item_col: str = "item_id", block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error_rate: float = 0.10, min_words: int = 5, item_col: str = "item_id", block_bytes: int = 8 << 20, item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; one pass a block, no shuffle."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + total // block_bytes
     at = docs.columns.index(text_col)
