@@ -52,9 +52,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a page is bad where the label of its id gives quality 0
-    labels = table(spark, sf_dir, "labels").selectExpr("doc_id page_id", "1 - quality bad")
-    return urls.filter_urls(table(spark, sf_dir, "pages"), labels)
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.page_labels(pages))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

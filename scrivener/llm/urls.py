@@ -1,17 +1,21 @@
 """URL filters: fixed rules first, then a path-template tree per host.
 
-Paths become segments (digits and long hexadecimal ids by shape); level by
-level, segments below one parent that vary too much become a wildcard, which
-gives templates.  Each template's labelled rate is compared with its parent
-branch by a two-proportion test: branches that do not differ are merged into the
-parent's figures.  A template whose smoothed labelled impurity reaches
-``max_bad`` is rejected.  All of it is aggregation over distinct
-(host, path shape) rows, pre-aggregated before each shuffle.
+Paths become segments (digits and long hexadecimal ids by shape).  Level by
+level, where more than ``max_children`` shapes lie below one parent, segments
+with at least a twentieth of the parent's pages stay and the others become a
+wildcard; where fewer lie, they stay as they are, so a path may have any depth.
+
+Every node of the tree is compared with its siblings by a two-proportion test on
+labelled pages: a branch that does not differ is merged into its parent, up
+through all levels to the host.  A template takes the figures of its deepest
+branch that differs, or its host's, smoothed by the corpus rate; where that reaches
+``max_bad`` it is rejected.  All of it is aggregation over distinct (host, path shape) rows,
+pre-aggregated before each shuffle; rows meet the figures of one host or shape in ``SALTS`` parts.
 
 Cases: a null url or one without '://' has an empty host and path and belongs to
 the empty template; null labels and labels of absent pages are ignored, a page
 with several labels is bad if one of them is; repeated rows repeat their
-verdict; paths deeper than ``depth`` segments keep the rest as one last segment.
+verdict; other columns of pages are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -56,69 +60,96 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return text, verdict
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Path segments with digits and long hexadecimal ids by shape, at most ``depth``."""
+def shape(path: Column) -> Column:
+    """Path segments with digits and long hexadecimal ids by shape."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     # runs of hex digits that hold a digit, of eight or more; then any digits
-    marked = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "(?=[a-f]*[0-9])[0-9a-f]{8,}", "<id>"), "[0-9]+", "<n>"))
-    rest = F.array_join(F.slice(marked, depth, F.greatest(F.size(marked) - depth + 1, F.lit(1))), "/")
-    return F.when(F.size(marked) <= depth, marked).otherwise(F.concat(F.slice(marked, 1, depth - 1), F.array(rest)))
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "(?=[a-f]*[0-9])[0-9a-f]{8,}", "<id>"), "[0-9]+", "<n>"))
 
 
-def template_tree(shapes: DataFrame, depth: int, max_children: int = 20) -> DataFrame:
-    """(host, shape, template) of distinct ``shapes`` (host, shape, n): variable segments as '*'.
+SALTS = 8
 
-    A segment position is variable if its parent template has more than
-    ``max_children`` different values there and no value recurs often (fewer
-    than three pages a value on average).
+
+def salted(df: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def template_tree(shapes: DataFrame, max_children: int = 20) -> DataFrame:
+    """``shapes`` (host, shape, n, ...) with their template: variable segments as '*'.
+
+    A parent of more than ``max_children`` different shapes keeps the segments
+    that hold at least one in ``max_children`` of its pages and makes '*' of the
+    others.  Smaller parents are done, so levels end where paths stop being many.
     """
-    tree = shapes.withColumn("template", F.array().cast("array<string>"))
-    deepest = shapes.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).first()[0]
-    for d in range(1, min(depth, deepest) + 1):
-        # each level reads the last one twice; a written table keeps the plan from doubling
-        tree = materialize(tree) if d > 1 else tree
+    names = shapes.columns
+    salt = F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int")
+    open_rows = shapes.withColumn("template", F.array().cast("array<string>")).withColumn("salt", salt)
+    done, d = None, 0
+    while True:
+        d += 1
+        # a written table keeps the plan from doubling with each level
+        open_rows = materialize(open_rows)
         here = F.element_at("shape", d)
-        value = F.when(F.size("shape") >= d, here)
-        children = tree.where(F.size("shape") >= d).groupBy("host", "template", here.alias("value")).agg(F.sum("n").alias("n"))
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
-        variable = parents.where((F.col("values") > max_children) & (F.col("n") < 3 * F.col("values"))).select("host", "template", F.lit(True).alias("variable"))
-        tree = tree.join(variable, ["host", "template"], "left").withColumn("template", F.when(F.size("shape") < d, F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("variable"), "*").otherwise(value))))).drop("variable")
-    return tree
+        parents = open_rows.groupBy("host", "template").agg(F.count("*").alias("shapes"), F.sum("n").alias("all"))
+        sized = open_rows.join(salted(parents), ["host", "template", "salt"])
+        rest = F.slice("shape", d, F.greatest(F.size("shape") - (d - 1), F.lit(0)))
+        few = sized.where((F.col("shapes") <= max_children) | (F.size("shape") < d)).withColumn("template", F.concat("template", rest)).select(*names, "template")
+        done = few if done is None else done.unionByName(few)
+        many = sized.where((F.col("shapes") > max_children) & (F.size("shape") >= d)).withColumn("value", here)
+        # the pages of a value against its parent's
+        kept = many.groupBy("host", "template", "value").agg(F.sum("n").alias("mine"), F.first("all").alias("all")).where(F.col("mine") * max_children >= F.col("all"))
+        marked = many.join(salted(kept.select("host", "template", "value", F.lit(True).alias("kept"))), ["host", "template", "value", "salt"], "left")
+        open_rows = marked.withColumn("template", F.concat("template", F.array(F.when(F.col("kept"), F.col("value")).otherwise("*")))).select(*names, "template", "salt")
+        if many.isEmpty():
+            return done
 
 
 def judge_templates(counts: DataFrame, prior_weight: float = 4.0, max_bad: float = 0.6, z: float = 1.96) -> DataFrame:
     """(host, template, bad_rate, reject) of labelled ``counts`` (host, template, labelled, bad)."""
-    parent = F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))
-    own = counts.withColumn("parent", parent)
-    branches = own.groupBy("host", "parent").agg(F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
-    hosts = branches.groupBy("host").agg(F.sum("p_labelled").alias("h_labelled"), F.sum("p_bad").alias("h_bad"))
     # one number of the whole corpus: the smoothed rate of bad pages
-    p0 = F.lit(hosts.agg(((F.coalesce(F.sum("h_bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("h_labelled"), F.lit(0)) + 2)).alias("p0")).first().p0)
-    judged = own.join(branches, ["host", "parent"])
+    p0 = F.lit(counts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p0")).first().p0)
+    root = F.xxhash64("host")
+    keys = F.aggregate("template", F.struct(root.alias("last"), F.array(root).alias("out")), lambda acc, s: F.struct(F.xxhash64(acc["last"], s).alias("last"), F.concat(acc["out"], F.array(F.xxhash64(acc["last"], s))).alias("out")))["out"]
+    leaves = counts.withColumn("keys", keys).withColumn("leaf", F.element_at("keys", -1))
+    paths = leaves.select("host", "leaf", "labelled", "bad", "keys", F.posexplode("keys").alias("k", "node")).withColumn("parent", F.get("keys", F.col("k") - 1)).drop("keys")
+    nodes = paths.groupBy("host", "node", "k", "parent").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    above = nodes.select("host", F.col("node").alias("parent"), F.col("labelled").alias("p_labelled"), F.col("bad").alias("p_bad"))
     rest = F.col("p_labelled") - F.col("labelled")
-    pooled = F.col("p_bad") / F.col("p_labelled")
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-    gap = F.abs(F.col("bad") / F.col("labelled") - (F.col("p_bad") - F.col("bad")) / rest)
-    # nothing labelled, no sibling, or no significant difference: the branch's figures
-    merged = F.when((F.col("labelled") == 0) | (F.col("p_labelled") == 0), True).when(rest == 0, False).otherwise(gap <= z * error)
-    bad, labelled = F.when(merged, F.col("p_bad")).otherwise(F.col("bad")), F.when(merged, F.col("p_labelled")).otherwise(F.col("labelled"))
-    rate = (bad + prior_weight * p0) / (labelled + prior_weight)
-    return judged.select("host", "template", rate.alias("bad_rate"), (rate >= max_bad).alias("reject"))
+    pooled = F.col("p_bad") / F.nullif("p_labelled", F.lit(0))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif("labelled", F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
+    gap = F.abs(F.col("bad") / F.nullif("labelled", F.lit(0)) - (F.col("p_bad") - F.col("bad")) / F.nullif(rest, F.lit(0)))
+    # the host itself always counts; a branch with no labels, or all of its parent's, is its parent
+    differs = F.when(F.col("parent").isNull(), True).when((F.col("labelled") == 0) | (rest == 0), False).otherwise(gap > z * error)
+    flagged = nodes.join(above, ["host", "parent"], "left").where(differs).select("host", "node", "k", "labelled", "bad")
+    of_leaf = paths.select("host", "leaf", "node").join(flagged, ["host", "node"]).groupBy("host", "leaf").agg(F.max_by(F.struct("labelled", "bad"), "k").alias("f"))
+    rate = (F.col("f.bad") + prior_weight * p0) / (F.col("f.labelled") + prior_weight)
+    return leaves.select("host", "template", "leaf").join(of_leaf, ["host", "leaf"]).select("host", "template", rate.alias("bad_rate"), (rate >= max_bad).alias("reject"))
+
+
+MARKS = "#*$%|"
+
+
+def page_labels(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", percent: int = 2) -> DataFrame:
+    """(page_id, bad) of pages with html: bad if marks are ``percent`` or more of a hundred characters of its text."""
+    html = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1>", " "), "(?s)<[^>]*>", " ")
+    text = pages.select(F.col(id_col).alias("page_id"), html.alias("text")).where("text is not null")
+    marks = F.length("text") - F.length(F.translate("text", MARKS, ""))
+    return text.select("page_id", (100 * marks >= percent * F.greatest(F.length("text"), F.lit(1))).cast("int").alias("bad"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", depth: int = 8, rules: tuple[Rule, ...] = RULES, max_children: int = 20, max_bad: float = 0.6) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, max_children: int = 20, max_bad: float = 0.6) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, bad_rate) of every row; ``labels``: (page_id, bad)."""
     url = F.col(url_col)
     host, path = split_url(url)
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    shaped = materialize(split.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), shape(F.col("path"), depth).alias("shape")))
+    shaped = materialize(split.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), shape(F.col("path")).alias("shape")))
     one = labels.select("page_id", F.col("bad").cast("int").alias("bad")).where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counts = shaped.join(one, "page_id", "left").groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    counts = materialize(counts)
-    tree = materialize(template_tree(counts, depth, max_children))
+    tree = materialize(template_tree(counts, max_children))
     verdicts = judge_templates(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), max_bad=max_bad)
     by_shape = tree.select("host", "shape", "template").join(verdicts, ["host", "template"]).select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_rate", "reject")
-    judged = shaped.join(by_shape, ["host", "shape"], "left")
+    judged = shaped.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted(by_shape), ["host", "shape", "salt"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("reject"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "bad_rate")
