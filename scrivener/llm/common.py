@@ -22,7 +22,10 @@ _DEFAULT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the folder shared by driver and executors."""
     base = spark.conf.get(_DEFAULT_CONF, None) or spark.sparkContext.getConf().get(_DEFAULT_CONF)
-    if not base:  # tests on one machine
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        # tests on one machine
         base = "file://" + tempfile.mkdtemp(prefix="scrivener-")
         spark.conf.set(_DEFAULT_CONF, base)
     return f"{base.rstrip('/')}/scrivener-{uuid.uuid4().hex}"
