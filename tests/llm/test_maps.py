@@ -1,6 +1,7 @@
 """op2, op3, op7 and op9 against brute force, and their awkward cases."""
 
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -52,6 +53,28 @@ def test_line_dedup_over_chunks(spark, make_docs, monkeypatch):
     assert "everyone" in texts[59] and "everyone" not in texts[58] and texts[100].startswith("only two")
 
 
+def test_a_common_line_is_streamed(monkeypatch):
+    """Whatever the batches, the same rows go; of a run known to be common nothing is held."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = []
+    for h in range(40):
+        ids = sorted((rng.randrange(6) for _ in range(rng.choice([1, 2, 3, 60]))), reverse=True)
+        rows += [{"h1": h // 3, "h2": h, "id": i, "row": k, "n_lines": 1, "ge": rng.random() < 0.02, "at": [k]} for k, i in enumerate(ids)]
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("n_lines", pa.int32()), ("ge", pa.bool_()), ("at", pa.list_(pa.int32()))])
+    want = []
+    for h in range(40):
+        mine = [r for r in rows if r["h2"] == h]
+        if len({r["id"] for r in mine}) >= 3 or any(r["ge"] for r in mine):
+            want += [(r["id"], r["row"]) for r in mine if r["id"] != mine[0]["id"]]
+    for size in (1, 2, 7, 50, 10_000):
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + size], schema) for k in range(0, len(rows), size)]
+        assert [(r["id"], r["row"]) for b in linededup._stream(3)(iter(batches)) for r in b.to_pylist()] == want
+
+
 def test_line_dedup_awkward(spark, awkward, make_docs):
     out = rows(linededup.digest_lines(awkward, linededup.line_bitmaps(awkward)))
     assert [r.doc_id for r in out] == AWKWARD_IDS
@@ -77,6 +100,17 @@ def test_bpe_equals_the_library(spark, sf_dir, awkward, make_docs):
     assert [r.doc_id for r in rows(bpe.digest_documents(awkward, path))] == AWKWARD_IDS
 
 
+def test_bpe_refuses_files_of_another_kind():
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_sections(spec)
+    for changed in ({"normalizer": None}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.check_sections(spec | changed)
+
+
 def test_bpe_long_words_merge_alike():
     w = bpe.WordBpe(queries.tokenizer_path())
     for word in (b"internationalization" * 9, b"ab" * 100, bytes(range(256)) * 2):
@@ -106,12 +140,44 @@ def test_license_scans(spark, sf_dir, awkward):
         (b"gpl-2.0 with classpath-exception-2.0 or mit", ["gpl-2.0", "mit"], True),
         (b"mit or (apache-2.0", ["mit"], True),
         (b"", [], None),
+        (b"mit or the best licence there is", ["mit"], True),
+        (b"the mit license", [], None),
+        (b"((mit)) and (bsd-3-clause or gpl-2.0) or )", ["mit", "bsd-3-clause", "gpl-2.0"], True),
+        (b"(((mit", [], None),
+        (b"gpl-2.0 with llvm-exception and mit with mit or zlib", ["gpl-2.0", "mit", "zlib"], False),
+        (b"mit mit", ["mit"], True),
+        (b"or mit", [], None),
+        (b"licenseref-own-terms */", ["licenseref-own-terms"], False),
     ],
 )
 def test_license_expressions(text, labels, allowed):
     assert licenses.parse_expression(text) == (labels, allowed)
 
 
+def test_license_expressions_of_any_length():
+    began = time.monotonic()
+    for n in (1, 50_000):
+        assert licenses.parse_expression(b"(" + b"mit or " * n) == ([], None)
+        labels, allowed = licenses.parse_expression(b"gpl-2.0 and " * n + b"mit or the")
+        assert labels == ["gpl-2.0"] * n + ["mit"] and allowed is False
+        assert licenses.parse_expression(b"(" * n + b"mit" + b")" * n) == (["mit"], True)
+    assert time.monotonic() - began < 10
+
+
+def test_license_scan_of_tags_and_notices():
+    scan = licenses.LicenseScanner().scan
+    tagged = scan(b"# SPDX-License-Identifier: Apache-2.0 OR (MIT AND the rest)\nx = 1\n// SPDX-License-Identifier:\tGPL-2.0-only WITH Classpath-exception-2.0 */")
+    assert (tagged["labels"], tagged["base_labels"], tagged["n_tags"], tagged["allowed"]) == ("apache-2.0,gpl-2.0-only", "", 2, False)
+    assert tagged["score"] == pytest.approx(0.9) and tagged["first_word"] is None
+    notice = scan(b"The MIT License.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this")
+    assert (notice["labels"], notice["base_labels"], notice["n_base"], notice["first_word"], notice["allowed"]) == ("mit", "mit", 1, 1, None)
+    assert notice["score"] == pytest.approx(1 - 0.3 * 0.5)
+    many = scan(b"CC BY NC and CC-BY 4.0; GNU Lesser General Public License. All rights reserved")
+    assert many["labels"] == "cc-by,cc-by-nc,lgpl,proprietary" and (many["n_base"], many["first_word"], many["last_word"]) == (2, 0, 4)
+    nothing = scan(b"SPDX License Identifier of nothing: see the file")
+    assert (nothing["labels"], nothing["n_tags"], nothing["score"]) == ("", 0, 0.0)
+
+
 def brute_repeats(words):
     grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     return len({j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)})
@@ -134,6 +200,14 @@ def test_quality_counts_and_verdict(spark, sf_dir):
     assert sum(right) >= 0.97 * len(right)
 
 
+def test_quality_on_labels_outside_the_fit(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    crf = quality.fit_crf(docs, labels.where("doc_id % 2 = 0"))
+    found = quality.quality_rules(docs, crf).join(labels.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    right = [r.kept == bool(r.quality) for r in found]
+    assert len(right) > 30 and len({r.quality for r in found}) == 2 and sum(right) >= 0.95 * len(right)
+
+
 def test_quality_awkward(spark, sf_dir, awkward, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     crf = quality.fit_crf(awkward, none)

@@ -78,8 +78,21 @@ def test_private_keys_are_counted_by_their_bodies(spark):
     cut = {i: [texts[i][s.start : s.end] for s in found] for i, found in out.items()}
     assert all(cut[i] == [texts[i]] and out[i][0].live for i in range(3))
     assert all(cut[10 + i] == [pem(copied, w)] and out[10 + i][0].n_owners == 3 and not out[10 + i][0].live for i, w in enumerate((64, 32, 91)))
-    assert cut[20] == [header, encrypted, pem(long, 64, "")] and out[20][2].value == long and all(s.live for s in out[20])
-    assert out[21][0].value == "w" * 64 and cut[22] == [header]
+    hashed = lambda v: spark.createDataFrame([(v,)], "v string").selectExpr("xxhash64(v) h").first().h
+    assert cut[20] == [header, encrypted, pem(long, 64, "")] and out[20][2].value_hash == hashed(long) and all(s.live for s in out[20])
+    assert out[21][0].value_hash == hashed("w" * 64) and cut[22] == [header]
+
+
+def test_repositories_count_and_values_are_not_written(spark):
+    key = lambda c: "AKIA" + c * 16
+    rows = [(i, f"x {key('A')}", f"l{i}", "a") for i in range(9)]  # one owner, nine repositories
+    rows += [(20 + i, f"x {key('B')}", f"l{i // 2}", "ab"[i % 2]) for i in range(6)]  # two owners, six repositories
+    rows += [(40 + i, f"x {key('C')}", "l", "ab"[i % 2]) for i in range(6)]  # two owners, two repositories
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = secrets.scan_secrets(docs)
+    out = {r.doc_id: r.spans[0] for r in found.collect()}
+    assert [(out[i].n_owners, out[i].n_repos, out[i].live) for i in (0, 20, 40)] == [(1, 9, True), (2, 6, False), (2, 2, True)]
+    assert "AKIA" not in str([r for r in secrets.find_spans(docs).collect()]) and "value:" not in found.schema.simpleString()
 
 
 def split(url):
@@ -122,6 +135,55 @@ def test_templates_reject_impure_branches(spark):
     assert out[199].bad_rate > 0.6  # not labelled itself
 
 
+def brute_templates(shapes, most):
+    """{shape: template} of one host's {shape: pages}, by recursion."""
+    out = {}
+
+    def grow(members, template, d):
+        total, rest = sum(shapes[s] for s in members), []
+        for s in members:
+            if len(members) <= most or len(s) <= d:
+                out[s] = template + s[d:]
+            else:
+                rest.append(s)
+        pages = {}
+        for s in rest:
+            pages[s[d]] = pages.get(s[d], 0) + shapes[s]
+        groups = {}
+        for s in rest:
+            groups.setdefault(s[d] if pages[s[d]] * most >= total else "*", []).append(s)
+        for value, mine in groups.items():
+            grow(mine, (*template, value), d + 1)
+
+    grow(list(shapes), (), 0)
+    return out
+
+
+def test_tree_equals_recursion(spark):
+    import random
+
+    rng = random.Random(4)
+    hosts = {}
+    for h in range(4):
+        shapes = {}
+        for _ in range(rng.choice([3, 60, 200])):
+            s = tuple(rng.choice(["a", "b", "c", *(f"x{rng.randrange(40)}" for _ in range(2))]) for _ in range(rng.randrange(1, 5)))
+            shapes[s] = rng.choice([1, 1, 2, 30])
+        hosts[f"h{h}"] = shapes
+    hosts["deep"] = {tuple(f"s{k}" for k in range(n)): 1 for n in (300, 301)}
+    rows = [(h, list(s), n) for h, shapes in hosts.items() for s, n in shapes.items()]
+    for most in (3, 20):
+        found = urls.template_tree(spark.createDataFrame(rows, "host string, shape array<string>, n long"), most).collect()
+        want = {(h, s): t for h, shapes in hosts.items() for s, t in brute_templates(shapes, most).items()}
+        assert {(r.host, tuple(r["shape"])): tuple(r.template) for r in found} == want and len(found) == len(rows)
+
+
+def test_labels_from_the_page_itself(spark):
+    rows = [(1, "<p>plain words and 20 % of them</p>" + "<b>more</b> words " * 20), (2, "<h1>De%%% re### ou***</h1>"), (3, None), (4, ""), (5, "<style>#a{*}</style><script>x='####'</script><p>fine</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert {r.page_id: r.bad for r in urls.page_labels(pages).collect()} == {1: 0, 2: 1, 4: 0, 5: 0}
+
+
 def test_similar_branches_share_their_figures(spark):
     counts = spark.createDataFrame([("h", ["a", "x"], 50, 5), ("h", ["a", "y"], 40, 4), ("h", ["a", "z"], 0, 0), ("h", ["b", "x"], 40, 39), ("h", ["b", "y"], 40, 1)], "host string, template array<string>, labelled long, bad long")
     out = {"/".join(r.template): r for r in urls.judge_templates(counts).collect()}

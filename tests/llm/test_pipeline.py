@@ -40,7 +40,7 @@ def test_finds_every_item_within_its_budget(spark, make_docs):
         k = rng.randrange(12)
         held = edited(rng, items[k][1], rng.randrange(0, 9))
         docs.append((i, passage(8) + (" " + held.upper() + ". " if i % 2 else " ") + passage(8)))
-    found = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), error_rate=0.08).collect()}
     want = {}
     for i, text in docs:
         hay = decontam.normal(text.encode())
@@ -50,7 +50,7 @@ def test_finds_every_item_within_its_budget(spark, make_docs):
             if d <= int(len(p) * 0.08):
                 want[i, k] = d
     assert found == want and len({d for d in want.values()}) > 1
-    few = decontam.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=100)
+    few = decontam.contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), error_rate=0.08, block_bytes=100)
     assert {(r.doc_id, r.item_id): r.distance for r in few.collect()} == want
 
 
