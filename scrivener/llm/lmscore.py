@@ -52,9 +52,10 @@ from scrivener.llm.common import materialize, shuffle_parts
 
 HEAD, BANDS = 1024, 32
 SYMBOLS = HEAD + BANDS  # of the least head
-HIDDEN, STEPS, LANES = 24, 32, 256
+HIDDEN, STEPS, LANES = 16, 32, 256
 END = b"\n"  # no word holds a line end
-CHUNK_BYTES, SEGMENT_BYTES = 16 << 20, 4 << 20
+CHUNK_BYTES, SEGMENT_BYTES = 32 << 20, 4 << 20
+AHEAD = 16  # steps whose shares of the gates are read at once in scoring
 WORKER_TOKENS = 2_000_000  # of a worker in a round
 NOTHING = -1e9
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -224,12 +225,14 @@ class Network:
         out *= gates[:HIDDEN]
         out += n
 
-    def step(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The state (features, lanes) behind one symbol a lane."""
-        k, out = len(symbols), np.empty_like(h)
-        x = np.take(self.p["x"], symbols, axis=1, out=self._empty("x1", 3 * HIDDEN, k), mode="clip")
+    def shares(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols' shares of the gates (features, symbols); good until the next call."""
+        return np.take(self.p["x"], symbols, axis=1, out=self._empty("x1", 3 * HIDDEN, len(symbols)), mode="clip")
+
+    def step(self, h: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+        """The state (features, lanes) behind one symbol a lane, from the symbols' shares."""
+        k = h.shape[1]
         self._forward(h, x, self._empty("zr1", 2 * HIDDEN, k), self._empty("n1", HIDDEN, k), self._empty("hn1", HIDDEN, k), out)
-        return out
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < self.head, self.group_of[np.minimum(symbols, self.head - 1)], self.groups + symbols - self.head)
@@ -444,12 +447,16 @@ def score(net: Network, docs: list[np.ndarray], lanes: int = 256, steps: int = 6
         live = int((load > a).sum())
         h = np.ascontiguousarray(h[:, :live])
         b = min(a + steps, length)
-        states = np.empty((HIDDEN, b - a, live), np.float32)
+        states = np.empty((b - a, HIDDEN, live), np.float32)
         for t in range(a, b):
+            if (t - a) % AHEAD == 0:
+                x = net.shares(before[:live, t : min(t + AHEAD, b)].T.ravel())
             if starts[t]:
-                h[:, fresh[:live, t]] = 0
-            h = net.step(h, before[:live, t])
-            states[:, t - a] = h
+                h = np.where(fresh[:live, t], np.float32(0), h)
+            at = (t - a) % AHEAD * live
+            net.step(h, x[:, at : at + live], states[t - a])
+            h = states[t - a]
+        h, states = h.copy(), states.transpose(1, 0, 2)
         who = owner[:live, a:b].T.ravel()
         real = np.flatnonzero(who >= 0)
         value = net.log_probs(np.take(states.reshape(HIDDEN, -1), real, axis=1), symbols[:live, a:b].T.ravel()[real])
@@ -666,7 +673,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     params = Network.new(head_counts + 0.5, masses, size=words).pack()
     workers = max(1, -(-int(total) // (rounds * WORKER_TOKENS)))
-    lanes = min(LANES, max(64, int(total) // (rounds * workers * STEPS * 24)))
+    lanes = min(LANES, max(32, int(total) // (rounds * workers * STEPS * 64)))
     deal = F.xxhash64("id", "symbols")  # of the document alone
     trains = table.where(~F.col("held_out")).select("symbols", deal.alias("deal"), F.pmod(deal, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(deal, 16), F.lit(workers)).alias("worker"))
     for k in range(rounds if total else 0):
