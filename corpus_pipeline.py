@@ -3,6 +3,11 @@
 ``STAGES`` lists (name, function) pairs; each function takes (spark, docs,
 sf_dir) and returns a DataFrame.  All but the last return the columns of
 documents; the last returns each remaining document's token ids as digests.
+
+Cases: null, empty and blank texts fail the quality rules and go there.  Rows
+without an id, and rows of one id, are documents of their own text in every
+stage but line dedup, which counts them as one document of several rows; of equal rows near-dedup keeps all or
+none.  An empty table gives an empty table; columns of any name pass through unchanged.
 """
 
 from __future__ import annotations
