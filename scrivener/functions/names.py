@@ -10,7 +10,7 @@ from scrivener.functions.text import num_tokens
 
 def valid_person_name(c: Column) -> Column:
     """No CJK ideograph, fewer than five tokens and twenty characters."""
-    return ~F.rlike(c, F.lit("[一-龥]")) & (num_tokens(c) < 5) & (F.length(c) < 20)
+    return ~F.rlike(c, F.lit(r"[一-鿿]")) & (num_tokens(c) < 5) & (F.length(c) < 20)
 
 
 def valid_length(c: Column, kind: str) -> Column:

@@ -19,6 +19,11 @@ def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 
 
+def stripped(c: Column) -> Column:
+    """Without Unicode white space and separator controls at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def clean_line(c: Column) -> Column:
     """Punctuation but ')' off both ends, then runs of white space to single blanks, trimmed."""
     return strip_chars(F.regexp_replace(strip_chars(c, PUNCTUATION_KEEP_BRACKET), r"[\t\n\x0b\f\r ]+", " "), BLANKS)

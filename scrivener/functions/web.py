@@ -12,6 +12,12 @@ from pyspark.sql.types import StringType
 # Keywords that mark committee and speaker pages
 COMMITTEE = "organi[a-z]+|committee[a-z]*|prog[a-z]*|chair|about|people"
 SPEAKERS = "author[s]*|speaker[a-z]*|tutorial|workshop"
+#: an element with a link: its name, the link, and its first own text
+LINK = (
+    r"(?is)<([a-z][a-z0-9]*)\s(?:[^>]*?\s)?href\s*=\s*[\"']?([^\"'\s>]*)[\"']?[^>]*>"
+    r"\s*(?:<(?:img|br|hr|wbr|input)\b[^>]*>\s*|<(?:b|i|u|em|strong|span|font|small)\b[^>]*>[^<]*</[^>]*>\s*)*([^<]*)"
+)
+NO_TEXT = ("link", "base", "area")
 #: separators of board pages by publisher
 BOARD_SPLIT = {"springer": "<br>|</p><p>|<p></p>|<p>|</p>", "acm": "div", "ieee": "</?div[^>]*>|<br */?>|</?p[^>]*>"}
 
@@ -47,11 +53,14 @@ def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
 
 
 def links_of(html: Column) -> Column:
-    """array<struct<url, text>> of the anchors of a page."""
-    anchor = r"(?is)<a\s[^>]*?href=[\"']?([^\"'\s>]*)[\"']?[^>]*>(.*?)</a>"
-    urls = F.regexp_extract_all(html, F.lit(anchor), F.lit(1))
-    texts = F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
-    return F.zip_with(urls, texts, lambda u, t: F.struct(u.alias("url"), F.trim(F.regexp_replace(t, "<[^>]*>", "")).alias("text")))
+    """array<struct<url, text>> of all elements of a page that have a link.
+
+    ``text`` is the element's first own text: behind images and whole inline
+    elements, empty where there is none and for elements that cannot hold text.
+    """
+    parts = [F.regexp_extract_all(html, F.lit(LINK), F.lit(k)) for k in (1, 2, 3)]
+    own = lambda z: F.when(F.lower(z["0"]).isin(*NO_TEXT), "").otherwise(z["2"])
+    return F.transform(F.arrays_zip(*(p.alias(str(k)) for k, p in enumerate(parts))), lambda z: F.struct(z["1"].alias("url"), F.trim(own(z)).alias("text")))
 
 
 def access_url(accessible: Column, url: Column, wayback: Column) -> Column:
@@ -87,7 +96,8 @@ def ieee_journal_numbers(html: Column) -> Column:
 
 def springer_journals(html: Column) -> Column:
     """array<struct<code, title>> from a product list."""
-    blocks = F.slice(F.split(html, "product-information", -1), 2, 100000)
+    pieces = F.split(html, "product-information", -1)
+    blocks = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def one(b: Column) -> Column:
         code = F.element_at(F.split(F.element_at(F.split(b, "com/", -1), 2), '"', -1), 1)

@@ -81,7 +81,8 @@ def ward(points: np.ndarray, threshold: float) -> np.ndarray:
     """Labels of agglomerative Ward clustering, merging the closest pair while closer than ``threshold``."""
     n = len(points)
     label, size = np.arange(n), np.ones(n)
-    gap = ((points[:, None] - points[None]) ** 2).sum(-1)
+    square = (points * points).sum(1)
+    gap = np.maximum(square[:, None] + square - 2 * points @ points.T, 0.0)
     np.fill_diagonal(gap, np.inf)
     while n > 1:
         k = int(gap.argmin())
@@ -105,15 +106,16 @@ def cluster_names(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors = tf_idf(names).persist()
     min_cosine = 1 - threshold * threshold / 2
     linked = components(names.select("id"), similar_pairs(vectors, min_cosine))
-    lone = names.select("id").join(vectors.select("id").distinct(), "id", "left_anti").withColumn("bare", F.lit(True))
-    placed = linked.join(lone, "id", "left").select("id", F.when(F.col("bare"), F.lit(-1)).otherwise(F.col("component")).alias("component"))
+    bare = names.select("id").join(vectors.select("id").distinct(), "id", "left_anti")
+    first = bare.agg(F.min("id")).first()[0]
+    together = bare.select("id", F.lit(first).cast("long").alias("cluster"))
     rows = vectors.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    inputs = placed.join(rows, "id", "left")
+    inputs = linked.join(rows, "id")
 
     def split(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        if len(part) == 1 or part["component"].iloc[0] == -1:
-            return pd.DataFrame({"id": part["id"], "cluster": part["id"].min()})
+        if len(part) == 1:
+            return pd.DataFrame({"id": part["id"], "cluster": part["id"]})
         words = {t: k for k, t in enumerate(sorted({t for ts in part["terms"] for t in ts}))}
         points = np.zeros((len(part), len(words)))
         for i, (ts, ws) in enumerate(zip(part["terms"], part["weights"])):
@@ -121,9 +123,10 @@ def cluster_names(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ids = part["id"].to_numpy()
         return pd.DataFrame({"id": ids, "cluster": ids[ward(points, threshold)]})
 
-    clusters = inputs.groupBy("component").applyInPandas(split, "id long, cluster long")
+    clusters = inputs.groupBy("component").applyInPandas(split, "id long, cluster long").unionByName(together)
     joined = names.join(clusters, "id")
-    return joined.select("id", "name", "cluster", F.min("name").over(Window.partitionBy("cluster")).alias("representative"))
+    least = joined.groupBy("cluster").agg(F.min("name").alias("representative"))
+    return joined.join(least, "cluster").select("id", "name", "cluster", "representative")
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:

@@ -13,14 +13,15 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[tuple[str, ...]], order
     """Last writer wins on any of the unique ``keys``; ``order`` is the write order inside ``rows``.
 
     ``table`` and ``rows`` have the same columns but ``order``; old rows come before all new ones.
-    A replaced row's key keeps one row; null keys never collide.
+    A row goes if a later one shares any of its keys, whether or not that one
+    goes too; null keys never collide; equal ``order`` values rank by their columns.
     """
     out = table.withColumn("__at", F.lit(-1).cast("long")).unionByName(rows.withColumn("__at", F.col(order).cast("long")).select(*table.columns, "__at"))
-    for key in keys:
-        newest = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__at")))
-        null = F.greatest(*(F.col(c).isNull() for c in key), F.lit(False))
-        out = out.withColumn("__n", newest).where((F.col("__n") == 1) | null).drop("__n")
-    return out.drop("__at")
+    stays = F.lit(True)
+    for k, key in enumerate(keys):
+        out = out.withColumn(f"__n{k}", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__at"), *table.columns)))
+        stays = stays & ((F.col(f"__n{k}") == 1) | F.greatest(*(F.col(c).isNull() for c in key), F.lit(False)))
+    return out.where(stays).select(*table.columns)
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: list[str], order: str) -> DataFrame:

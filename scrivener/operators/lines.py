@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrivener.functions.names import valid_person_name
-from scrivener.functions.text import clean_line, full_clean, num_tokens
+from scrivener.functions.text import clean_line, full_clean, num_tokens, stripped
 
 INDENT_LIMIT, LINE_LIMIT = 12, 10
 
@@ -154,14 +154,14 @@ def until_contents(pages: DataFrame, marker: str = "Table of Contents") -> DataF
     """Lines of (doc_id, page, text) before the first page that holds ``marker``; 'p' lines with running numbers."""
     w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = pages.withColumn("stop", F.max(F.contains("text", F.lit(marker)).cast("int")).over(w)).where("stop = 0")
-    lines = before.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    lines = before.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", stripped(F.col("line"))).where("line <> ''")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos")) - 1
     return lines.select("doc_id", number.alias("line_num"), F.col("line").alias("line_text"), F.lit("p").alias("tag"), F.lit(1).alias("indentation"))
 
 
-def encode_tags(lines: DataFrame) -> DataFrame:
+def encode_tags(lines: DataFrame, scope: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Per page, tags as ranks of their sorted distinct values."""
-    return lines.withColumn("tag_id", F.dense_rank().over(Window.partitionBy("page_id").orderBy("tag")) - 1)
+    return lines.withColumn("tag_id", F.dense_rank().over(Window.partitionBy(*scope).orderBy("tag")) - 1)
 
 
 def complex_relations(parts: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scrivener.functions.names import role_score
 from scrivener.operators.stable import fixed
@@ -27,8 +26,16 @@ def weighted_edges(roles: DataFrame, literal_scores: bool = True) -> DataFrame:
     """
     scored = roles.select("doc_type", "doc_id", "person_id", role_score(F.col("doc_type"), F.col("role_type"), literal_scores).alias("score"))
     pairs = scored.groupBy("doc_type", "doc_id", "person_id").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
-    venue, person = Window.partitionBy("doc_type", "doc_id"), Window.partitionBy("person_id")
-    return pairs.select("doc_type", "doc_id", "person_id", (F.col("score") / F.sum("score").over(venue)).alias("to_person"), (F.col("n") / F.sum("n").over(person)).alias("to_venue"))
+    # sums are made a task at a time, so that no window holds all edges of a popular node
+    venue = pairs.groupBy("doc_type", "doc_id").agg(F.sum("score").alias("all_scores"))
+    person = pairs.groupBy("person_id").agg(F.sum("n").alias("all_roles"))
+    joined = pairs.join(venue, ["doc_type", "doc_id"]).join(person, "person_id")
+    return joined.select("doc_type", "doc_id", "person_id", (F.col("score") / F.col("all_scores")).alias("to_person"), (F.col("n") / F.col("all_roles")).alias("to_venue"))
+
+
+def inbound(edges: DataFrame, persons: DataFrame) -> DataFrame:
+    """(doc_type, doc_id, total): what the persons (person_id, p) of a venue give to it."""
+    return edges.join(persons, "person_id").groupBy("doc_type", "doc_id").agg(F.sum(F.col("to_venue") * F.col("p")).alias("total"))
 
 
 def page_rank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, checkpoint_every: int = 6) -> DataFrame:
@@ -42,7 +49,7 @@ def page_rank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = D
     persons = by_person.select("person_id").distinct().withColumn("p", F.lit(1.0))
     venues = None
     for k in range(1, iterations + 1):
-        venues = by_person.join(persons, "person_id").groupBy("doc_type", "doc_id").agg((rest + damping * F.sum(F.col("to_venue") * F.col("p"))).alias("v"))
+        venues = inbound(by_person, persons).select("doc_type", "doc_id", (rest + damping * F.col("total")).alias("v"))
         if k == iterations:  # read by the result and by the last persons
             venues = venues.persist(StorageLevel.MEMORY_AND_DISK)
         persons = by_venue.join(venues, ["doc_type", "doc_id"]).groupBy("person_id").agg((rest + damping * F.sum(F.col("to_person") * F.col("v"))).alias("p"))

@@ -1,8 +1,8 @@
 """Token sequences: readers, decoders, rectification, evaluation and synthesis.
 
-Tokens stand in rows (sent, pos, word, tag); ``sent`` orders sentences.  With
-``scope`` columns the carried state (role, last person) ends with each scope;
-without, it runs over all rows in order, as the reference lets it.
+Tokens stand in rows (sent, pos, word, tag); ``sent`` orders sentences.  The
+carried state (role, last person) ends with each ``scope``, which has to be
+given: a document or a journal, so that no window holds all rows.
 """
 
 from __future__ import annotations
@@ -66,8 +66,6 @@ ROLE_WORDS = {
     "chief": "E-ROLE",
     "emeritus": "E-ROLE",
 }
-#: misspelt in the reference, kept and configurable
-ORG_WORDS = ("univerisity", "institute")
 INLINE_TAG = r"^<[^<>]+>$"
 
 
@@ -111,26 +109,24 @@ def to_conll(line: Column) -> Column:
     return F.transform(kept, lambda x: F.concat_ws(" ", x["word"], x["tag"]))
 
 
-def propagate_roles(tokens: DataFrame, scope: list[str] | None = None, initial: str = "editor") -> DataFrame:
+def propagate_roles(tokens: DataFrame, scope: list[str], initial: str = "editor") -> DataFrame:
     """Tokens that are no role words, with the role phrase last seen.
 
     Neighbouring role words of a line join to one phrase; the phrase holds over
     lines until the next, within ``scope``.
     """
-    scope = scope or []
     line = Window.partitionBy(*scope, "line").orderBy("pos")
     is_role = F.endswith("tag", F.lit("ROLE"))
     marked = tokens.withColumn("is_role", is_role).withColumn("starts", is_role & ~F.coalesce(F.lag(is_role).over(line), F.lit(False)))
     phrase = marked.withColumn("phrase_id", F.sum(F.col("starts").cast("int")).over(line))
     names = phrase.where("is_role").groupBy(*scope, "line", "phrase_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("role"), F.min("pos").alias("pos"))
     marks = phrase.where(~F.col("is_role")).select(*scope, "line", "pos", "word", "tag", "phrase_id", F.lit(None).cast("string").alias("role")).unionByName(names.select(*scope, "line", "pos", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("tag"), "phrase_id", "role"))
-    carried = F.coalesce(F.last("role", ignorenulls=True).over(Window.partitionBy(*(scope or [F.lit(0)])).orderBy("line", "pos")), F.lit(initial))
+    carried = F.coalesce(F.last("role", ignorenulls=True).over(Window.partitionBy(*scope).orderBy("line", "pos")), F.lit(initial))
     return marks.withColumn("role", carried).where("word is not null")
 
 
-def entities(tokens: DataFrame, kinds: tuple[str, ...] = ("PER", "ORG"), scope: list[str] | None = None) -> DataFrame:
+def entities(tokens: DataFrame, scope: list[str], kinds: tuple[str, ...] = ("PER", "ORG")) -> DataFrame:
     """Neighbouring words of one kind joined: (scope, line, pos, kind, text, role); B and S marks do not separate."""
-    scope = scope or []
     w = Window.partitionBy(*scope, "line").orderBy("pos")
     kind = F.element_at(F.split("tag", "-", -1), -1)
     marked = tokens.withColumn("kind", kind).withColumn("new", ~(F.lag("kind").over(w).eqNullSafe(F.col("kind")) & (F.lag("phrase_id").over(w) == F.col("phrase_id"))))
@@ -138,10 +134,9 @@ def entities(tokens: DataFrame, kinds: tuple[str, ...] = ("PER", "ORG"), scope:
     return numbered.groupBy(*scope, "line", "ent", "kind", "role").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text")).drop("ent")
 
 
-def pair_entities(found: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def pair_entities(found: DataFrame, scope: list[str]) -> DataFrame:
     """(role, name, affiliation): an organization right behind a person in the entity sequence."""
-    scope = scope or []
-    w = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("line", "pos")
+    w = Window.partitionBy(*scope).orderBy("line", "pos")
     marked = found.withColumn("p_kind", F.lag("kind").over(w)).withColumn("name", F.lag("text").over(w))
     return marked.where((F.col("kind") == "ORG") & (F.col("p_kind") == "PER")).select(*scope, "line", "pos", "role", "name", F.col("text").alias("affiliation"))
 
@@ -168,7 +163,7 @@ def decode_bio(tokens: DataFrame) -> DataFrame:
     w = Window.partitionBy("sent").orderBy("pos")
     numbered = tokens.withColumn("entity", F.sum(F.when(F.startswith("tag", F.lit("B-")), 1).otherwise(0)).over(w)).where("tag <> 'O' and entity > 0")
     parts = F.array_sort(F.collect_list(F.struct("pos", "word", "tag")))
-    return numbered.groupBy("sent", "entity").agg(parts.alias("p")).select("sent", "entity", F.substring(F.get("p", 0)["tag"], 3, 100).alias("kind"), F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("text"))
+    return numbered.groupBy("sent", "entity").agg(parts.alias("p")).select("sent", "entity", F.expr("substr(p[0].tag, 3)").alias("kind"), F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("text"))
 
 
 def bies_spans(tokens: DataFrame, tag_col: str = "tag") -> DataFrame:
@@ -183,13 +178,22 @@ def bies_spans(tokens: DataFrame, tag_col: str = "tag") -> DataFrame:
 
 
 def span_report(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(kind, gold, predicted, correct, precision, recall, f1) of exact spans."""
+    """(kind, gold, predicted, correct, precision, recall, f1) of exact spans.
+
+    Kinds first; 'micro avg' is of all spans, 'macro avg' the kinds' mean weighted by their gold spans.
+    """
     keys = ["sent", "kind", "first", "last"]
     both = gold.select(*keys, F.lit(1).alias("g")).join(predicted.select(*keys, F.lit(1).alias("p")), keys, "full")
     counts = both.groupBy("kind").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.sum(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1).otherwise(0)).alias("correct"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     p, r = ratio(F.col("correct"), F.col("predicted")), ratio(F.col("correct"), F.col("gold"))
-    return counts.select("*", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"))
+    scored = lambda df: df.select("*", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"))
+    kinds = scored(counts)
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold", "predicted", "correct")]
+    micro = scored(counts.agg(*totals).select(F.lit("micro avg").alias("kind"), "*"))
+    mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("gold")) / F.nullif(F.sum("gold"), F.lit(0)), F.lit(0.0)).alias(c)
+    macro = kinds.agg(*totals, *(mean(c) for c in ("precision", "recall", "f1"))).select(F.lit("macro avg").alias("kind"), "*")
+    return kinds.unionByName(micro).unionByName(macro)
 
 
 def bucket(key: Column, seed: int | None = None) -> Column:

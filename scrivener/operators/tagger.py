@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.text import num_tokens, percent_cap
+from scrivener.operators.lines import encode_tags
 
 LABELS = ("Affiliation", "Complex", "Person", "Role-Label", "Undefined")
 ACCEPT = 0.8
@@ -60,7 +61,7 @@ class RuleTagger:
 
 
 def predict_lines(lines: DataFrame, load: Callable[[], LineModel] = RuleLineModel, accept: float = ACCEPT, text_col: str = "line_text") -> DataFrame:
-    """``lines`` with the likeliest label and its probability; below ``accept`` it is 'Undefined'."""
+    """``lines`` with the likeliest label and its probability; below ``accept`` the line gets no label."""
 
     @F.pandas_udf("struct<label:string,probability:double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -69,7 +70,7 @@ def predict_lines(lines: DataFrame, load: Callable[[], LineModel] = RuleLineMode
             p = model.scores(texts.fillna("").tolist())
             best = p.argmax(1) if len(p) else np.empty(0, int)
             value = p[np.arange(len(p)), best]
-            yield pd.DataFrame({"label": [LABELS[k] if v > accept else "Undefined" for k, v in zip(best, value)], "probability": value})
+            yield pd.DataFrame({"label": [LABELS[k] if v > accept else None for k, v in zip(best, value)], "probability": value})
 
     out = lines.withColumn("__p", predict(F.col(text_col)))
     return out.select(*lines.columns, F.col("__p.label").alias("prediction"), F.col("__p.probability").alias("probability"))
@@ -99,9 +100,10 @@ def pre_tag(words: Column, tags: Column) -> Column:
     return F.zip_with(words, tags, lambda w, t: F.coalesce(role_tag(w), t))
 
 
-def line_features(lines: DataFrame, text_col: str = "line_text") -> DataFrame:
-    """The three dense features beside the text's terms: indentation, tokens, share of capitals."""
-    return lines.select("*", num_tokens(F.col(text_col)).cast("double").alias("f_tokens"), percent_cap(F.col(text_col)).alias("f_caps"), F.col("indentation").cast("double").alias("f_indent"))
+def line_features(lines: DataFrame, text_col: str = "line_text", scope: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The three dense features beside the text's terms: tokens, share of capitals, the tag's number within its page."""
+    found = encode_tags(lines, scope)
+    return found.select(*lines.columns, num_tokens(F.col(text_col)).cast("double").alias("f_tokens"), percent_cap(F.col(text_col)).alias("f_caps"), F.col("tag_id").cast("double").alias("f_tag"))
 
 
 def feature_window(tokens: Column, size: int) -> tuple[Column, Column]:
@@ -127,20 +129,13 @@ def characters(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.explode(F.split(text, "")).alias("token")).where("token <> ''").distinct()
 
 
-# Labels of the token model's head, numbered from 1; 0 is padding and never scored
-TOKEN_LABELS = (
-    "O", "B-MISC", "I-MISC", "B-PER", "I-PER", "E-PER", "S-PER", "B-ORG", "I-ORG", "E-ORG", "S-ORG", "B-LOC", "I-LOC", "E-LOC", "S-LOC",
-    "B-ROLE", "I-ROLE", "E-ROLE", "ROLE", "BI-ROLE", "[CLS]", "[SEP]",
-)
-
-
 def masked_loss(scores: Column, label: Column) -> Column:
     """Negative log-likelihood of a token's label from its array of scores; null for padding (0)."""
     total = F.log(F.aggregate(F.transform(scores, F.exp), F.lit(0.0), lambda a, x: a + x))
     return F.when(label > 0, total - F.get(scores, label))
 
 
-def train_line_svm(lines: DataFrame, label_col: str = "label", text_col: str = "line_text", features: int = 1 << 12):
+def train_line_svm(lines: DataFrame, label_col: str = "label", text_col: str = "line_text", features: int = 1 << 12, scope: tuple[str, ...] = ("page_id",)):
     """One linear SVM a label over hashed TF-IDF terms and the dense features; returns a fitted PipelineModel.
 
     The reference ships no weights; this is the trainable path, fitted by Spark
@@ -155,7 +150,7 @@ def train_line_svm(lines: DataFrame, label_col: str = "label", text_col: str = "
         RegexTokenizer(inputCol=text_col, outputCol="terms", pattern=r"\W+"),
         HashingTF(inputCol="terms", outputCol="counts", numFeatures=features),
         IDF(inputCol="counts", outputCol="tfidf"),
-        VectorAssembler(inputCols=["tfidf", "f_tokens", "f_caps", "f_indent"], outputCol="features"),
+        VectorAssembler(inputCols=["tfidf", "f_tokens", "f_caps", "f_tag"], outputCol="features"),
         OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="label_index", featuresCol="features"),
     ]
-    return Pipeline(stages=stages).fit(line_features(lines, text_col))
+    return Pipeline(stages=stages).fit(line_features(lines, text_col, scope))

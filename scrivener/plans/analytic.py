@@ -131,19 +131,10 @@ def o79_arithmetic(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.abs(F.col("l_discount") - F.col("l_tax")).alias("gap"), F.greatest("l_discount", "l_tax").alias("top"), F.floor(F.col("l_quantity") * 8 / 10).alias("part"))
 
 
-def _interleaved(spark, d, docs="true"):
-    t = F.split("text", " ", -1)
-    return table(spark, d, "documents").where(docs).select("doc_id", text.interleaved(t, 0).alias("words"), text.interleaved(t, 1).alias("tags"))
-
-
-@query("SELECT doc_id, list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1) AS words, list_filter(string_split(text, ' '), lambda x, i: i % 2 = 0) AS tags FROM documents WHERE n_chars < 1000")
+@query("SELECT doc_id, list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1) AS words, list_filter(string_split(text, ' '), lambda x, i: i % 2 = 0) AS tags FROM documents")
 def o09_o95_interleaved(spark, d):
-    return _interleaved(spark, d, "n_chars < 1000")
-
-
-@query()
-def o09_o95_interleaved_whole(spark, d):
-    return _interleaved(spark, d)
+    t = F.split("text", " ", -1)
+    return table(spark, d, "documents").select("doc_id", text.interleaved(t, 0).alias("words"), text.interleaved(t, 1).alias("tags"))
 
 
 # ---- ordered folds
@@ -214,7 +205,7 @@ def o103_person_runs(spark, d):
 
 @query("SELECT c_custkey, name FROM (SELECT c_custkey, unnest(['Ann Lee', 'Bo Chan', 'Cy Dorn' || (c_custkey % 9)]) AS name FROM customer)")
 def o104_persons_of_run(spark, d):
-    run = F.concat(F.lit("Ann Lee, Bo Chan Cy Dorn"), (F.col("c_custkey") % 9).cast("string"))
+    run = F.concat(F.lit("Ann Lee, Zed龰, Bo Chan Cy Dorn"), (F.col("c_custkey") % 9).cast("string"))
     return table(spark, d, "customer").select("c_custkey", F.explode(lines.persons_of_run(run)).alias("name"))
 
 
@@ -250,7 +241,7 @@ def o105_propagate_roles(spark, d):
 
 @query(f"WITH {_ENTITY_SQL}, l AS (SELECT *, lag(kind) OVER o AS pk, lag(text) OVER o AS name FROM ents WINDOW o AS (PARTITION BY conv ORDER BY line, pos)) SELECT conv, line, role, name, text AS affiliation FROM l WHERE kind = 'ORG' AND pk = 'PER'")
 def o106_pair_entities(spark, d):
-    return sequence.pair_entities(sequence.entities(_roled(spark, d), scope=["conv"]), ["conv"]).select("conv", "line", "role", "name", "affiliation")
+    return sequence.pair_entities(sequence.entities(_roled(spark, d), ["conv"]), ["conv"]).select("conv", "line", "role", "name", "affiliation")
 
 
 _RECT_SQL = f"""{TOKENS_SQL}, m AS (SELECT *, word IN ('the', 'of') AS seed, word IN ('the', 'of') OR regexp_matches(word, '^\\p{{L}}+$') AS inside FROM tokens),
@@ -279,12 +270,14 @@ def o108_decode_bio(spark, d):
     return sequence.decode_bio(inputs.tokens(spark, d).withColumn("tag", tag))
 
 
-@query("SELECT conv_id, turn, [w[1] || ' B-PER', w[1] || ' O'] AS lines FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations) WHERE w[1] <> '' AND NOT regexp_matches(w[1], '^<[^<>]+>$')")
+@query("""WITH x AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '' AND NOT regexp_matches(w, '^<[^<>]+>$')) AS w FROM conversations),
+  y AS (SELECT conv_id, turn, list_transform(w, lambda x, i: x || CASE WHEN i % 3 = 1 THEN ' B-PER' ELSE ' O' END) AS lines FROM x)
+SELECT conv_id, turn, CASE WHEN len(lines) % 3 = 1 THEN lines ELSE list_slice(lines, 1, len(lines) - 1) END AS lines FROM y""")
 def o109_inline_to_conll(spark, d):
-    w = F.get(F.split("text", " ", -1), 0)
-    line = F.concat(w, F.lit(" <B-PER> "), w, F.lit(" lost"))
-    keep = table(spark, d, "conversations").where((w != "") & ~F.rlike(w, F.lit(sequence.INLINE_TAG)))
-    return keep.select("conv_id", "turn", sequence.to_conll(line).alias("lines"))
+    words = F.filter(F.split("text", " ", -1), lambda w: (w != "") & ~F.rlike(w, F.lit(sequence.INLINE_TAG)))
+    # every third word is tagged
+    line = F.array_join(F.transform(words, lambda w, i: F.when(i % 3 == 0, F.concat(w, F.lit(" <B-PER>"))).otherwise(w)), " ")
+    return table(spark, d, "conversations").select("conv_id", "turn", sequence.to_conll(line).alias("lines"))
 
 
 @query("SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM documents")
@@ -306,7 +299,10 @@ def o110_bies_spans(spark, d):
 
 @query(f"""WITH {TOKENS_SQL}, {_SPANS.format(n='gold', tag='tag')}, {_SPANS.format(n='guess', tag=_GUESS)},
   g AS (SELECT kind, count(*) AS gold FROM gold GROUP BY 1), p AS (SELECT kind, count(*) AS predicted FROM guess GROUP BY 1), b AS (SELECT kind, count(*) AS correct FROM gold JOIN guess USING (sent, kind, first, last) GROUP BY 1)
-SELECT kind, gold, predicted, correct, round(correct / predicted, 9) AS precision, round(correct / gold, 9) AS recall, round(2 * (correct / predicted) * (correct / gold) / (correct / predicted + correct / gold), 9) AS f1 FROM g JOIN p USING (kind) JOIN b USING (kind)""")
+, k AS (SELECT * FROM g JOIN p USING (kind) JOIN b USING (kind) UNION ALL SELECT 'micro avg', (SELECT count(*) FROM gold), (SELECT count(*) FROM guess), (SELECT count(*) FROM gold JOIN guess USING (sent, kind, first, last))),
+  s AS (SELECT kind, gold, predicted, correct, correct / predicted AS p, correct / gold AS r, 2 * (correct / predicted) * (correct / gold) / (correct / predicted + correct / gold) AS f FROM k)
+SELECT kind, gold, predicted, correct, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1 FROM s
+UNION ALL SELECT 'macro avg', CAST(sum(gold) AS BIGINT), CAST(sum(predicted) AS BIGINT), CAST(sum(correct) AS BIGINT), round(sum(p * gold) / sum(gold), 9), round(sum(r * gold) / sum(gold), 9), round(sum(f * gold) / sum(gold), 9) FROM s WHERE kind <> 'micro avg'""")
 def o91_span_report(spark, d):
     t = inputs.tokens(spark, d)
     guess = t.withColumn("tag", F.when(F.col("pos") % 5 == 0, "O").otherwise(F.col("tag")))
@@ -376,9 +372,9 @@ def o161_o165_relations(spark, d):
     return lines.relations(keyed.withColumn("affiliation", F.col("line").cast("string")), ents).select("conf_id", "person", "org")
 
 
-@query(f"WITH {PAGE_LINES_SQL} SELECT id, trim(line_text, '{_P}') AS person FROM page_lines WHERE label = 'Person' AND NOT regexp_matches(trim(line_text, '{_P}'), '[一-龥]') AND len(string_split(trim(line_text, '{_P}'), ' ')) < 5 AND length(trim(line_text, '{_P}')) < 20")
+@query(f"WITH {PAGE_LINES_SQL} SELECT id, person FROM (SELECT id, trim(CASE WHEN id % 5 = 0 THEN line_text || chr(40880) ELSE line_text END, '{_P}') AS person FROM page_lines WHERE label = 'Person') WHERE NOT regexp_matches(person, '[\\x{{4e00}}-\\x{{9fff}}]') AND len(string_split(person, ' ')) < 5 AND length(person) < 20")
 def o163_o164_valid_persons(spark, d):
-    c = text.full_clean(F.col("line_text"))
+    c = text.full_clean(F.when(F.col("id") % 5 == 0, F.concat("line_text", F.lit("龰"))).otherwise(F.col("line_text")))
     return inputs.page_lines(spark, d).where("label = 'Person'").select("id", c.alias("person")).where(names.valid_person_name(F.col("person")))
 
 
@@ -396,10 +392,10 @@ def o140_page_rank(spark, d):
     return scores.select("kind", "id", F.round("pr_score", 6).alias("pr_score"))
 
 
-@query(f"WITH n AS (SELECT DISTINCT p_name FROM part), m AS (SELECT c_custkey, x.p_name AS a, y.p_name AS b FROM customer JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) AS r FROM n) x ON x.r = c_custkey % 40 + 1 JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) AS r FROM n) y ON y.r BETWEEN c_custkey % 40 AND c_custkey % 40 + 2) SELECT c_custkey AS person_id, b AS name, {_DISTANCE} AS distance FROM m WHERE {_DISTANCE} < 3")
+@query(f"WITH n AS (SELECT DISTINCT p_name FROM part), k AS (SELECT c_custkey, c_custkey % (SELECT count(*) FROM n) AS k FROM customer), m AS (SELECT c_custkey, x.p_name AS a, y.p_name AS b FROM k JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) AS r FROM n) x ON x.r = k + 1 JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) AS r FROM n) y ON y.r BETWEEN k AND k + 2) SELECT c_custkey AS person_id, b AS name, {_DISTANCE} AS distance FROM m WHERE {_DISTANCE} < 3")
 def o71_fuzzy_matches(spark, d):
     n = dml.numbered(table(spark, d, "part").select("p_name").distinct(), ["p_name"], "r")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 40).alias("k"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % n.agg(F.count("*")).scalar()).alias("k"))
     persons = c.join(n, F.col("r") == F.col("k") + 1).select("id", F.col("p_name").alias("name"))
     cand = c.select(F.col("id").alias("person_id"), F.explode(F.array(*(F.col("k") + i for i in range(3)))).alias("r")).join(n, "r").select("person_id", F.col("p_name").alias("name"))
     return match.fuzzy_matches(persons, cand).select("person_id", "name", F.col("distance").cast("long").alias("distance"))
@@ -505,7 +501,13 @@ def o22_o166_conference_pages(spark, d):
     return out.select("url", "title", "link", F.col("year").cast("long").alias("year"), F.get("categories", 0).alias("topic"))
 
 
-@query()
+_HINTS = r"""regexp_matches(line, '(?i)\b(?:univ|institute|college|laborator|school|dept)') AS a, regexp_matches(line, '(?i)^[^,(]*[,(].*(?:univ|institute)') AS c,
+  regexp_matches(line, '^[A-Z][\p{L}\p{N}_.''-]*(?: [A-Z][\p{L}\p{N}_.''-]*){1,2}$') AS p, regexp_matches(line, '(?i)\b(?:chair|committee|editor|board)') AS r"""
+
+
+@query(f"""WITH {JOURNAL_LINES_SQL}, h AS (SELECT doc_id, pos, {_HINTS} FROM journal_lines), k AS (SELECT *, CAST(a AS INT) + CAST(c AS INT) + CAST(p AS INT) + CAST(r AS INT) AS k FROM h)
+SELECT doc_id, pos, CASE WHEN k = 1 THEN CASE WHEN a THEN 'Affiliation' WHEN c THEN 'Complex' WHEN p THEN 'Person' ELSE 'Role-Label' END END AS prediction,
+  round(CASE WHEN k > 0 THEN exp(4) ELSE exp(1) END / (k * exp(4) + (4 - k) + exp(1)), 6) AS probability FROM k""")
 def o92_predict_lines(spark, d):
     found = inputs.journal_lines(spark, d).withColumnRenamed("line", "line_text")
     return tagger.predict_lines(found).select("doc_id", "pos", "prediction", F.round("probability", 6).alias("probability"))
@@ -517,26 +519,35 @@ def o92_o42_tag_tokens(spark, d):
     return tagger.tag_tokens(s).select("conv_id", "turn", "tags")
 
 
-def _pre_tag(spark, d, turns="true"):
-    words = F.split("text", " ", -1)
-    tags = F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[A-Z]")), "S-PER").otherwise("O"))
-    return table(spark, d, "conversations").where(turns).select("conv_id", "turn", tagger.inline_tagged(words, tagger.pre_tag(words, tags)).alias("line"))
+# role words behind the text of every turn, as the lexicon of the reference tags them
+_ROLE_ENDING = "Associate Editors in Chief of the Advisory Board"
+_ROLE_ENDING_TAGGED = "Associate <BI-ROLE> Editors <ROLE> in <I-ROLE> Chief <E-ROLE> of the Advisory <BI-ROLE> Board <E-ROLE>"
+_ROLE_TAGS_SQL = """CASE WHEN lower(w) IN ('editor', 'editors', 'co-editor', 'editorialboard') THEN w || ' <ROLE>'
+  WHEN lower(w) IN ('executive', 'deputy', 'honorable', 'coordinating', 'action', 'section', 'founding', 'managing', 'senior', 'editorial', 'book') THEN w || ' <B-ROLE>'
+  WHEN lower(w) IN ('advisory', 'review', 'associate') THEN w || ' <BI-ROLE>' WHEN lower(w) = 'in' THEN w || ' <I-ROLE>'
+  WHEN lower(w) IN ('board', 'committee', 'council', 'chief', 'emeritus') THEN w || ' <E-ROLE>' WHEN regexp_matches(w, '^[A-Z]') THEN w || ' <S-PER>' ELSE w END"""
 
 
-@query("SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN lower(w) = 'in' THEN w || ' <I-ROLE>' WHEN regexp_matches(w, '^[A-Z]') THEN w || ' <S-PER>' ELSE w END), ' ') AS line FROM conversations WHERE conv_id % 5 = 0 AND NOT regexp_matches(lower(' ' || text || ' '), ' (editor|board|section|book|senior|review|action|council|chief|advisory|committee) ')")
+@query(f"SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda w: {_ROLE_TAGS_SQL}), ' ') || ' {_ROLE_ENDING_TAGGED}' AS line FROM conversations")
 def o156_pre_tag(spark, d):
-    return _pre_tag(spark, d, "conv_id % 5 = 0 and not rlike(lower(concat(' ', text, ' ')), ' (editor|board|section|book|senior|review|action|council|chief|advisory|committee) ')")
+    words = F.split(F.concat("text", F.lit(f" {_ROLE_ENDING}")), " ", -1)
+    tags = F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[A-Z]")), "S-PER").otherwise("O"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tagger.inline_tagged(words, tagger.pre_tag(words, tags)).alias("line"))
 
 
-@query()
-def o156_pre_tag_whole(spark, d):
-    return _pre_tag(spark, d)
+_PAGE_OF_LINES = ("conf_id", "page_id")
+
+
+def _tagged_lines(spark, d):
+    """Page lines with one of three tags; not every page has all."""
+    tag = F.when(F.col("indent") % 3 == 0, "p").when(F.col("indent") % 3 == 1, "li").otherwise("b")
+    return inputs.page_lines(spark, d).withColumn("tag", tag)
 
 
-@query(f"WITH {PAGE_LINES_SQL} SELECT id, CAST(len(string_split(line_text, ' ')) AS DOUBLE) AS f_tokens, CAST(CASE WHEN line_text = '' THEN 0 ELSE 1 END AS DOUBLE) AS f_caps, CAST(indent AS DOUBLE) AS f_indent FROM page_lines")
+@query(f"""WITH {PAGE_LINES_SQL}, t AS (SELECT *, CASE indent % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'li' ELSE 'b' END AS tag FROM page_lines), d AS (SELECT DISTINCT conf_id, page_id, tag FROM t)
+SELECT id, CAST(len(string_split(line_text, ' ')) AS DOUBLE) AS f_tokens, CAST(CASE WHEN line_text = '' THEN 0 ELSE 1 END AS DOUBLE) AS f_caps, CAST((SELECT count(*) FROM d WHERE d.conf_id = t.conf_id AND d.page_id = t.page_id AND d.tag < t.tag) AS DOUBLE) AS f_tag FROM t""")
 def o98_line_features(spark, d):
-    found = inputs.page_lines(spark, d).withColumnRenamed("indent", "indentation")
-    return tagger.line_features(found).select("id", "f_tokens", "f_caps", "f_indent")
+    return tagger.line_features(_tagged_lines(spark, d), scope=_PAGE_OF_LINES).select("id", "f_tokens", "f_caps", "f_tag")
 
 
 @query("""WITH b AS (SELECT doc_id, list_concat(['[CLS]'], list_slice(string_split(text, ' '), 1, 14), ['[SEP]']) AS w FROM documents)
@@ -554,9 +565,9 @@ def o170_padded_ids(spark, d):
 
 @query()
 def o97_train_line_svm(spark, d):
-    found = inputs.page_lines(spark, d).withColumnRenamed("indent", "indentation").where("line_text <> ''")
-    model = tagger.train_line_svm(found)
-    scored = model.transform(tagger.line_features(found))
+    found = _tagged_lines(spark, d).where("line_text <> ''")
+    model = tagger.train_line_svm(found, scope=_PAGE_OF_LINES)
+    scored = model.transform(tagger.line_features(found, scope=_PAGE_OF_LINES))
     return scored.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("label_index")).cast("long")).alias("right"))
 
 

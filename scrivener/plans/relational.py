@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scrivener import schemas
 from scrivener.functions import names, text, web
@@ -46,11 +45,14 @@ def o06_lexicon(spark, d):
     return words.select(F.lit("surname").alias("type"), F.lower("word").alias("content")).distinct()
 
 
-_LINKS_SQL = """
+_LINK_SQL = r"""(?is)<([a-z][a-z0-9]*)\s(?:[^>]*?\s)?href\s*=\s*["'']?([^"''\s>]*)["'']?[^>]*>([^<]*)"""
+# links of the test pages hold no inner elements, so an element's own text is what stands before the next tag
+_LINKS_SQL = f"""
 links AS (
-  SELECT page_id, url AS home, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']?([^"''\\s>]*)["'']?[^>]*>(.*?)</a>', 1)) AS url,
-    trim(regexp_replace(unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']?([^"''\\s>]*)["'']?[^>]*>(.*?)</a>', 2)), '<[^>]*>', '', 'g')) AS text
-  FROM pages)""".replace("\\\\", "\\")
+  SELECT page_id, home, url, CASE WHEN lower(name) IN ('link', 'base', 'area') THEN '' ELSE trim(text) END AS text FROM (
+    SELECT page_id, url AS home, unnest(regexp_extract_all(html, '{_LINK_SQL}', 1)) AS name, unnest(regexp_extract_all(html, '{_LINK_SQL}', 2)) AS url, unnest(regexp_extract_all(html, '{_LINK_SQL}', 3)) AS text FROM pages))"""
+_ORIGIN = "regexp_extract(home, '^[a-z]+://[^/?#]*')"
+_ABSOLUTE = f"CASE WHEN contains(url, '://') THEN url WHEN starts_with(url, '/') THEN {_ORIGIN} || url ELSE {_ORIGIN} || regexp_extract(home, '^[a-z]+://[^/?#]*([^?#]*/)', 1) || url END"
 _KIND_SQL = f"CASE WHEN regexp_matches(lower(coalesce({{u}}, '')), '{web.COMMITTEE}') OR regexp_matches(lower(coalesce({{t}}, '')), '{web.COMMITTEE}') THEN 'org' WHEN regexp_matches(lower(coalesce({{u}}, '')), '{web.SPEAKERS}') OR regexp_matches(lower(coalesce({{t}}, '')), '{web.SPEAKERS}') THEN 'speakers' ELSE 'unk' END"
 _AUTHORITY = "regexp_extract(coalesce({}, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 
@@ -79,16 +81,15 @@ def o24_o167_o169_fetch_status(spark, d):
     return frontier.with_status(p).select("page_id", "url", "http_status", "status")
 
 
-@query("""WITH RECURSIVE w AS (SELECT c_custkey AS url, CAST(0 AS BIGINT) AS hop FROM customer WHERE c_custkey <= 3
-  UNION SELECT (c.url * 7 + k) % 1000 + 1, c.hop + 1 FROM w c, (VALUES (1), (2)) v(k) WHERE c.hop < 3)
-SELECT url, min(hop) AS hop FROM w WHERE url IN (SELECT c_custkey FROM customer) GROUP BY url""")
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS src, c_custkey * 7 % 1009 + k * c_nationkey AS dst FROM customer, (VALUES (1), (2)) v(k)),
+  w AS (SELECT c_custkey AS url, CAST(0 AS BIGINT) AS hop FROM customer WHERE c_custkey % 50 = 1
+  UNION SELECT l.dst, w.hop + 1 FROM w JOIN l ON l.src = w.url WHERE w.hop < 3 AND l.dst IN (SELECT c_custkey FROM customer))
+SELECT url, min(hop) AS hop FROM w GROUP BY url""")
 def o11_frontier_walk(spark, d):
-    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("url"))
-    steps = F.explode(F.array(*(((F.col("url") * 7 + k) % 1000 + 1) for k in (1, 2))))
-    # every link target of the fixture's arithmetic, also where no page stands
-    links = spark.range(1, 1001).select(F.col("id").alias("url")).select(F.col("url").alias("src"), steps.alias("dst"))
-    every = spark.range(1, 1001).select(F.col("id").alias("url"))
-    return frontier.walk(every, links, pages.where("url <= 3"), 3).join(pages, "url", "left_semi").select("url", F.col("hop").cast("long").alias("hop"))
+    c = table(spark, d, "customer")
+    pages, key = c.select(F.col("c_custkey").alias("url")), F.col("c_custkey")
+    links = c.select(key.alias("src"), F.explode(F.array(*(key * 7 % 1009 + k * F.col("c_nationkey") for k in (1, 2)))).alias("dst"))
+    return frontier.walk(pages, links, pages.where("url % 50 = 1"), 3).select("url", F.col("hop").cast("long").alias("hop"))
 
 
 @query(r"""SELECT page_id, list_transform(range(2, len(p) + 1), lambda i: struct_pack(code := string_split(string_split(p[i], 'com/')[2], '"')[1],
@@ -125,14 +126,17 @@ def o17_board_lines(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(web.board_lines(F.col("html"), "ieee")).alias("line"))
 
 
-@query("""WITH p AS (SELECT doc_id, CAST(page AS BIGINT) AS page, piece FROM (SELECT doc_id, unnest(string_split(text, '.')) AS piece, unnest(range(1, len(string_split(text, '.')) + 1)) AS page FROM documents)),
+@query("""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(160) || chr(10) || chr(9)) AS text FROM documents),
+  p AS (SELECT doc_id, CAST(page AS BIGINT) AS page, piece FROM (SELECT doc_id, unnest(string_split(text, '.')) AS piece, unnest(range(1, len(string_split(text, '.')) + 1)) AS page FROM d)),
   s AS (SELECT *, max(CASE WHEN contains(piece, 'Re') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS stop FROM p),
-  l AS (SELECT doc_id, page, pos, trim(line, ' ') AS line FROM (SELECT doc_id, page, unnest(string_split(piece, chr(10))) AS line, unnest(range(1, len(string_split(piece, chr(10))) + 1)) AS pos FROM s WHERE stop = 0))
+  l AS (SELECT doc_id, page, pos, trim(line, ' ' || chr(9) || chr(160)) AS line FROM (SELECT doc_id, page, unnest(string_split(piece, chr(10))) AS line, unnest(range(1, len(string_split(piece, chr(10))) + 1)) AS pos FROM s WHERE stop = 0))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1 AS BIGINT) AS line_num, line AS line_text, 'p' AS tag, CAST(1 AS BIGINT) AS indentation FROM l WHERE line <> ''""")
 def o18_o111_pdf_lines_until_contents(spark, d):
     from scrivener.operators.lines import until_contents
 
-    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\.", -1)).alias("page", "text"))
+    # lines that end with a fixed blank and begin with a tab
+    text = F.replace("text", F.lit("\n"), F.lit(" \n\t"))
+    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(text, r"\.", -1)).alias("page", "text"))
     out = until_contents(pages, "Re")
     return out.select("doc_id", F.col("line_num").cast("long").alias("line_num"), "line_text", "tag", F.col("indentation").cast("long").alias("indentation"))
 
@@ -155,9 +159,12 @@ def o20_o78_candidates_from_json(spark, d):
     return found.select("person_id", "type", "id", "name", F.col("rank").cast("long").alias("rank"), F.get("affiliations", 0).alias("affiliation"))
 
 
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'Not Available') AS k FROM events")
-def o21_json_with_default(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("Not Available")).alias("k"))
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://web/' || page_id ELSE 'Not Available' END AS url FROM pages")
+def o21_wayback_url(spark, d):
+    n, m = F.col("page_id").cast("string"), F.col("page_id") % 3
+    found = F.concat(F.lit('{"archived_snapshots":{"closest":{"url":"http://web/'), n, F.lit('","status":"200"}}}'))
+    payload = F.when(m == 0, found).when(m == 1, '{"archived_snapshots":{}}')
+    return table(spark, d, "pages").select("page_id", web.wayback_url(payload).alias("url"))
 
 
 @query("SELECT page_id, CASE WHEN contains(CASE WHEN page_id % 2 = 0 THEN 'application/pdf; x' ELSE 'text/html' END, 'application/pdf') THEN 'pdf' ELSE 'html' END AS content_type FROM pages")
@@ -176,10 +183,10 @@ def o25_access_url(spark, d):
     return table(spark, d, "pages").select("page_id", web.access_url(accessible, F.col("url"), wayback).alias("access_url"))
 
 
-_MORE_LINKS = '<a href="/committee">Us</a><a class="x" href="http://other.org/chair">Chair</a><a href="t.html">Tutorial</a>'
+_MORE_LINKS = '<link rel="about" href="/style.css"><link href="/about.css">text behind<area shape="x" href="/people"><div href="/board/x">Chair <b>y</b></div><a href="/committee">Us</a><a class="x" href="http://other.org/chair">Chair</a><a href="t.html">Tutorial</a>'
 
 
-@query(f"WITH {_LINKS_SQL.replace('FROM pages)', f"FROM (SELECT page_id, url, html || '{_MORE_LINKS}' AS html FROM pages))")} SELECT page_id, home, url, text, {_KIND_SQL.format(u='url', t='text')} AS kind FROM links WHERE ({_AUTHORITY.format('url')} = '' OR {_AUTHORITY.format('url')} = {_AUTHORITY.format('home')}) AND {_KIND_SQL.format(u='url', t='text')} <> 'unk'")
+@query(f"WITH {_LINKS_SQL.replace('FROM pages)', f"FROM (SELECT page_id, url, html || '{_MORE_LINKS}' AS html FROM pages))")} SELECT page_id, home, {_ABSOLUTE} AS url, text, {_KIND_SQL.format(u='url', t='text')} AS kind FROM links WHERE ({_AUTHORITY.format('url')} = '' OR {_AUTHORITY.format('url')} = {_AUTHORITY.format('home')}) AND {_KIND_SQL.format(u='url', t='text')} <> 'unk'")
 def o26_relevant_links(spark, d):
     return frontier.relevant_links(table(spark, d, "pages").withColumn("html", F.concat("html", F.lit(_MORE_LINKS))))
 
@@ -212,6 +219,14 @@ def o30_upsert_last_wins(spark, d):
     return dml.upsert(old, new, [("id",)], "o_orderkey")
 
 
+@query("""WITH u AS (SELECT o_orderkey AS id, 't' || o_custkey AS title, 'u' || (o_orderkey * 7 % 1000) AS url FROM orders)
+SELECT id, title, url FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.title = u.title AND v.id > u.id) AND NOT EXISTS (SELECT 1 FROM u v WHERE v.url = u.url AND v.id > u.id)""")
+def o30_upsert_two_keys(spark, d):
+    key, s = F.col("o_orderkey"), lambda c: c.cast("string")
+    rows = table(spark, d, "orders").select(key.alias("id"), F.concat(F.lit("t"), s(F.col("o_custkey"))).alias("title"), F.concat(F.lit("u"), s(key * 7 % 1000)).alias("url"), key.alias("at"))
+    return dml.upsert(rows.where("false").drop("at"), rows, [("title",), ("url",)], "at")
+
+
 @query("""SELECT c_custkey AS id, 'old' AS status FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY o_custkey""")
 def o31_insert_or_ignore(spark, d):
@@ -250,11 +265,11 @@ def o36_ordered_split(spark, d):
     return dml.ordered_split(lines, ["id"], 8, 2).select("id", dml.tsv_text(["label", "tag", "indent", "line_text"]).alias("line"), "split")
 
 
-@query("SELECT DISTINCT string_split(text, ' ')[1] AS token FROM documents")
+@query("SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents")
 def o38_vocabulary(spark, d):
     from scrivener.operators.tagger import vocabulary
 
-    return vocabulary(table(spark, d, "documents"), F.get(F.split("text", " ", -1), 0))
+    return vocabulary(table(spark, d, "documents"), F.explode(F.split("text", " ", -1)))
 
 
 @query("SELECT s_suppkey AS conf_id, topic FROM (SELECT DISTINCT s_suppkey, unnest(['t' || (s_nationkey % 5), 't' || (s_nationkey % 3), 't0']) AS topic FROM supplier)")
@@ -265,11 +280,13 @@ def o40_normalise_conferences(spark, d):
     return out["conference_topics"].join(out["topics"].withColumnRenamed("id", "topic_id"), "topic_id").select("conf_id", "topic")
 
 
-@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_acctbal <= 0")
-def o43_o162_append(spark, d):
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def o43_o162_merge(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     old = c.where("c_acctbal > 5000").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    return dml.append(old, c.where("c_acctbal <= 0").select("c_custkey", F.lit("new").alias("n_name")))
+    # nodes that are there already stay, new ones are added once
+    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("new").alias("n_name"), "o_orderkey")
+    return dml.insert_or_ignore(old, seen, ["c_custkey"], "o_orderkey")
 
 
 @query("SELECT p.page_id, p.url FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id AND l.quality = 1 WHERE l.doc_id IS NULL")
@@ -303,9 +320,11 @@ def o45_pages_to_process(spark, d):
     return pages_to_process(p).select("page_id")
 
 
-@query("SELECT doc_id, pos, line FROM (WITH " + JOURNAL_LINES_SQL + " SELECT * FROM journal_lines) WHERE NOT regexp_matches(line, '[一-龥]') AND len(string_split(line, ' ')) < 5 AND length(line) < 20")
+@query("SELECT doc_id, pos, line FROM (WITH " + JOURNAL_LINES_SQL + " SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN line || chr(40880) ELSE line END AS line FROM journal_lines) WHERE NOT regexp_matches(line, '[\\x{4e00}-\\x{9fff}]') AND len(string_split(line, ' ')) < 5 AND length(line) < 20")
 def o47_valid_person_name(spark, d):
-    return inputs.journal_lines(spark, d).where(names.valid_person_name(F.col("line"))).select("doc_id", "pos", "line")
+    # an ideograph near the block's end behind every third line
+    found = inputs.journal_lines(spark, d).select("doc_id", "pos", F.when(F.col("pos") % 3 == 0, F.concat("line", F.lit("龰"))).otherwise(F.col("line")).alias("line"))
+    return found.where(names.valid_person_name(F.col("line")))
 
 
 @query("SELECT p_partkey, len(string_split(p_name, ' ')) < 3 AS person, len(string_split(p_type, ' ')) > 1 AND len(string_split(p_type, ' ')) < 4 AS org FROM part")
@@ -313,14 +332,16 @@ def o48_valid_lengths(spark, d):
     return table(spark, d, "part").select("p_partkey", names.valid_length(F.col("p_name"), "person").alias("person"), names.valid_length(F.col("p_type"), "org").alias("org"))
 
 
-@query(f"WITH {PAGE_LINES_SQL} SELECT id, replace(label, ' ', '-') AS label FROM page_lines WHERE label IS NOT NULL AND line_text <> ''")
+@query(f"WITH {PAGE_LINES_SQL} SELECT id, replace(label, ' ', '-') AS label FROM page_lines WHERE label IS NOT NULL AND line_text <> '' AND id % 11 <> 0")
 def o49_labelled_lines(spark, d):
-    return inputs.page_lines(spark, d).where("label is not null and line_text <> ''").select("id", F.replace("label", F.lit(" "), F.lit("-")).alias("label"))
+    # every eleventh line is punctuation, which cleaning makes empty
+    line = text.clean_line(F.when(F.col("id") % 11 == 0, F.lit("--.")).otherwise(F.col("line_text")))
+    return inputs.page_lines(spark, d).where(F.col("label").isNotNull() & (line != "")).select("id", F.replace("label", F.lit(" "), F.lit("-")).alias("label"))
 
 
-@query(f"WITH {JOURNAL_LINES_SQL} SELECT doc_id, pos FROM journal_lines WHERE regexp_matches(line, '[a-zA-Z]') AND regexp_matches(string_split(line, ' ')[1], '^\\p{{L}}+$')")
+@query(f"WITH {JOURNAL_LINES_SQL} SELECT doc_id, pos, list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '^\\p{{L}}+$')) AS words FROM journal_lines WHERE regexp_matches(line, '[a-zA-Z]')")
 def o50_alphabetic(spark, d):
-    return inputs.journal_lines(spark, d).where(text.has_letter(F.col("line")) & text.is_alpha(F.get(F.split("line", " ", -1), 0))).select("doc_id", "pos")
+    return inputs.journal_lines(spark, d).where(text.has_letter(F.col("line"))).select("doc_id", "pos", F.filter(F.split("line", " ", -1), text.is_alpha).alias("words"))
 
 
 @query(f"WITH {ROLES_SQL} SELECT s_suppkey, c_name, role_type FROM supplier JOIN roles ON s_suppkey = doc_id JOIN customer ON c_custkey = person_id WHERE doc_type = 'conference'")
@@ -368,22 +389,13 @@ def o67_role_words(spark, d):
     return words.withColumn("tag", sequence.role_tag(F.col("word"))).where("tag is not null")
 
 
-def _lexicon_words(spark, d, docs="true"):
+@query("SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE lower(word) IN (SELECT lower(unnest(string_split(text, ' '))) FROM benchmark)")
+def o68_lexicon_words(spark, d):
     lexicon = table(spark, d, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("content")).select(F.lower("content").alias("content")).distinct()
-    words = table(spark, d, "documents").where(docs).select("doc_id", F.explode(F.split("text", " ", -1)).alias("word"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("word"))
     return words.join(lexicon, F.lower("word") == F.col("content"), "left_semi")
 
 
-@query("SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE n_chars < 300) WHERE lower(word) IN (SELECT lower(unnest(string_split(text, ' '))) FROM benchmark)")
-def o68_lexicon_words(spark, d):
-    return _lexicon_words(spark, d, "n_chars < 300")
-
-
-@query()
-def o68_lexicon_words_whole(spark, d):
-    return _lexicon_words(spark, d)
-
-
 @query("SELECT l_orderkey, l_linenumber, p_partkey AS journal_id FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25")
 def o69_title_lookup(spark, d):
     small = table(spark, d, "part").where("p_size < 25").select("p_partkey")
@@ -442,31 +454,30 @@ def o86_o87_edge_weights(spark, d):
 @query(f"WITH {ROLES_SQL}, {EDGES_SQL} SELECT doc_id, round(CAST(sum(to_venue * (person_id % 7 + 1)) AS DOUBLE), 6) AS total FROM edges GROUP BY doc_id")
 def o88_inbound_sum(spark, d):
     e = rank.weighted_edges(inputs.roles(spark, d))
-    return e.groupBy("doc_id").agg(F.round(F.sum(F.col("to_venue") * (F.col("person_id") % 7 + 1)), 6).alias("total"))
+    scores = e.select("person_id").distinct().withColumn("p", (F.col("person_id") % 7 + 1).cast("double"))
+    return rank.inbound(e, scores).select("doc_id", F.round("total", 6).alias("total"))
 
 
-def _organization_scores(spark, d, customers="true"):
-    c = table(spark, d, "customer").where(customers)
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, round(0.15 + 0.85 * coalesce(sum(c_acctbal / 1000), 0), 6) AS pr_score FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def o89_organization_scores(spark, d):
+    c = table(spark, d, "customer")
     persons = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("pr_score"))
     links = c.select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").cast("long").alias("org_id"))
     orgs = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    return rank.organization_scores(orgs, links, persons).select("id", F.round("pr_score", 9).alias("pr_score"))
-
+    return rank.organization_scores(orgs, links, persons).select("id", F.round("pr_score", 6).alias("pr_score"))
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, round(0.15 + 0.85 * coalesce(sum(c_acctbal / 1000), 0), 9) AS pr_score FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 50 = 0 GROUP BY n_nationkey")
-def o89_organization_scores(spark, d):
-    return _organization_scores(spark, d, "c_custkey % 50 = 0")
 
+_SPAN_OF_LINE = "(l_partkey * 100000 + l_suppkey) * 10 + l_linenumber"
 
-@query()
-def o89_organization_scores_whole(spark, d):
-    return _organization_scores(spark, d)
 
-
-@query("SELECT l_orderkey, arg_min(l_returnflag, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) FILTER (WHERE l_linestatus = 'O') AS first_open FROM lineitem GROUP BY l_orderkey")
+@query(f"""SELECT l_orderkey, arg_min(CAST(l_suppkey AS VARCHAR), {_SPAN_OF_LINE}) FILTER (WHERE l_returnflag = 'A') AS person, arg_min(CAST(l_suppkey AS VARCHAR), {_SPAN_OF_LINE}) FILTER (WHERE l_returnflag = 'N') AS org, arg_min(CAST(l_suppkey AS VARCHAR), {_SPAN_OF_LINE}) FILTER (WHERE l_returnflag = 'R') AS location
+FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag IN ('A', 'N')) > 0""")
 def o90_first_per_type(spark, d):
-    o = F.col("l_linestatus") == "O"
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by(F.when(o, F.col("l_returnflag")), F.when(o, (F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber"))).alias("first_open"))
+    from scrivener.operators.lines import complex_relations
+
+    kind = F.element_at(F.create_map(F.lit("A"), F.lit("PER"), F.lit("N"), F.lit("ORG"), F.lit("R"), F.lit("LOC")), F.col("l_returnflag"))
+    spans = table(spark, d, "lineitem").select(F.lit(1).alias("conf_id"), F.col("l_orderkey").alias("line_id"), F.lit(0).alias("part"), F.expr(_SPAN_OF_LINE).alias("span"), kind.alias("tag"), F.col("l_suppkey").cast("string").alias("text"))
+    return complex_relations(spans).select(F.col("line_id").alias("l_orderkey"), "person", "org", "location")
 
 
 @query("SELECT c_nationkey, list_sort(list(c_name)) AS members FROM customer GROUP BY c_nationkey")
@@ -484,10 +495,12 @@ def o120_ordered_scan(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
-def o121_top_per_group(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r")).where("r <= 3").drop("r")
+@query("SELECT o_custkey AS person_id, o_orderstatus AS type, CAST(o_orderkey AS VARCHAR) AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
+def o121_top_candidates(spark, d):
+    from scrivener.operators.match import top_candidates
+
+    found = table(spark, d, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderstatus").alias("type"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("rank"))
+    return top_candidates(found).select("person_id", "type", "id")
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, value) AS best_type FROM events GROUP BY user_id")
@@ -513,18 +526,9 @@ def o131_union_all(spark, d):
     return one("customer", "c_name").unionByName(one("supplier", "s_name")).unionByName(one("part", "p_name"))
 
 
-def _set_of_words(spark, d, docs="true"):
-    return table(spark, d, "documents").where(docs).select("doc_id", F.array_sort(F.array_distinct(F.split("text", " ", -1))).alias("words"))
-
-
-@query("SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS words FROM documents WHERE n_chars < 500")
+@query("SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS words FROM documents")
 def o132_set_of_words(spark, d):
-    return _set_of_words(spark, d, "n_chars < 500")
-
-
-@query()
-def o132_set_of_words_whole(spark, d):
-    return _set_of_words(spark, d)
+    return table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.split("text", " ", -1))).alias("words"))
 
 
 @query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(string_split(p_type, ' '), x))) = 0 AS inside FROM part")

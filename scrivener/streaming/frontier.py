@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from scrivener.functions.web import classify_link, links_of, same_domain
+from scrivener.functions.web import absolute_url, classify_link, links_of, same_domain
 
 
 def unsaved(links: DataFrame, saved: DataFrame, key: str = "url") -> DataFrame:
@@ -14,10 +14,11 @@ def unsaved(links: DataFrame, saved: DataFrame, key: str = "url") -> DataFrame:
 
 
 def relevant_links(pages: DataFrame) -> DataFrame:
-    """(page_id, home, url, text, kind) of links that stay on the site and name committees or speakers."""
+    """(page_id, home, url, text, kind) of links that stay on the site and name committees or speakers; ``url`` is absolute."""
     found = pages.select("page_id", F.col("url").alias("home"), F.explode(links_of(F.col("html"))).alias("a"))
     out = found.select("page_id", "home", F.col("a.url").alias("url"), F.col("a.text").alias("text"))
-    return out.withColumn("kind", classify_link(F.col("text"), F.col("url"))).where(same_domain(F.col("home"), F.col("url")) & (F.col("kind") != "unk"))
+    kept = out.withColumn("kind", classify_link(F.col("text"), F.col("url"))).where(same_domain(F.col("home"), F.col("url")) & (F.col("kind") != "unk"))
+    return kept.select("page_id", "home", absolute_url(F.col("home"), F.col("url")).alias("url"), "text", "kind")
 
 
 def link_actions(links: DataFrame, rules: dict[str, list[str]], url_col: str = "url") -> DataFrame:

@@ -68,10 +68,10 @@ def test_proceedings(spark):
 def test_roles_and_entities(spark):
     text_lines = [(1, "Editor-in-Chief <ROLE> John <B-PER> Smith <E-PER> NUS <S-ORG>"), (2, "Mary <S-PER>"), (3, "MIT <S-ORG> Associate <B-ROLE> Editors <E-ROLE> Bob <S-PER>")]
     df = spark.createDataFrame(text_lines, "line long, t string")
-    tokens = df.select("line", F.inline(sequence.inline_tokens(F.col("t"))))
-    roled = sequence.propagate_roles(tokens)
-    ents = sequence.entities(roled)
-    found = [(r.role, r["name"], r.affiliation) for r in sequence.pair_entities(ents).orderBy("line", "pos").collect()]
+    tokens = df.select(F.lit("j").alias("journal"), "line", F.inline(sequence.inline_tokens(F.col("t"))))
+    roled = sequence.propagate_roles(tokens, ["journal"])
+    ents = sequence.entities(roled, ["journal"])
+    found = [(r.role, r["name"], r.affiliation) for r in sequence.pair_entities(ents, ["journal"]).orderBy("line", "pos").collect()]
     assert found == [("Editor-in-Chief", "John Smith", "NUS"), ("Editor-in-Chief", "Mary", "MIT")]
     assert [(r.role, r.text) for r in ents.where("text = 'Bob'").collect()] == [("Associate Editors", "Bob")]
 
@@ -125,6 +125,15 @@ def test_ward_inside_components_equals_ward_of_all(spark, tmp_path):
     for v in vectors:
         points[v.id, terms[v.term]] = v.weight
     label = cluster.ward(points, 0.8)
+    # by the definition: merge the two clusters whose union adds the least to the squared distances to centres
+    groups = [[k] for k in range(len(pool))]
+    while True:
+        cost = {(i, j): 2 * len(a) * len(b) / (len(a) + len(b)) * ((points[a].mean(0) - points[b].mean(0)) ** 2).sum() for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j}
+        (i, j), least = min(cost.items(), key=lambda x: x[1])
+        if not np.sqrt(least) < 0.8:
+            break
+        groups[i] += groups.pop(j)
+    assert {frozenset(x) for x in groups} == {frozenset(np.flatnonzero(label == k)) for k in set(label)}
     want = {frozenset(np.flatnonzero(label == k)) for k in set(label)}
     got = {}
     for r in cluster.cluster_names(df).collect():
@@ -134,10 +143,31 @@ def test_ward_inside_components_equals_ward_of_all(spark, tmp_path):
     assert {frozenset(s) for s in got.values()} == want and any(len(s) > 1 for s in want)
 
 
+def test_links_of_all_elements(spark):
+    html = """<head><link rel=x href="/about.css">not mine<base href='/b/'></head><A class=k HREF = '/c'> Us </A><a href=/d><img src=i> Chair</a>
+      <div title="a" href="e/f"><b>bold</b> own <i>x</i></div><a href="g"></a><a name="h">no link</a><span data-href="/no">x</span>"""
+    found = [(x.url, x.text) for x in one(spark, web.links_of(F.col("h")), h=html)]
+    assert found == [("/about.css", ""), ("/b/", ""), ("/c", "Us"), ("/d", "Chair"), ("e/f", "own"), ("g", "")]
+    pages = spark.createDataFrame([(1, "http://h.org/a/b?q", '<a href="committee">x</a><a href="/y">chair</a><a href="http://o.org/chair">z</a><a href="mailto:x">about</a><a href="/venue">v</a>')], "page_id long, url string, html string")
+    assert {(r.url, r.kind) for r in frontier.relevant_links(pages).collect()} == {("http://h.org/a/committee", "org"), ("http://h.org/y", "org"), ("mailto:x", "org")}
+
+
+def test_svm_learns_its_labels(spark):
+    rows = [(k % 5, k, f"{'Prof' if k % 2 else 'University of'} Name{k % 7}", "p" if k % 2 else "b", "Person" if k % 2 else "Affiliation") for k in range(200)]
+    lines_ = spark.createDataFrame(rows, "page_id long, id long, line_text string, tag string, label string")
+    model = tagger.train_line_svm(lines_.where("id < 150"))
+    scored = model.transform(tagger.line_features(lines_.where("id >= 150")))
+    assert scored.where("prediction = label_index").count() == 50
+    tags = {(r.page_id, r.tag): r.f_tag for r in tagger.line_features(lines_).collect()}
+    assert set(tags.values()) == {0.0, 1.0} and tags[0, "b"] == 0.0
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, title string, url string")
     new = spark.createDataFrame([(3, "a", "z", 1), (4, "c", "y", 2)], "id long, title string, url string, at long")
     assert {r.id for r in dml.upsert(old, new, [("title",), ("url",)], "at").collect()} == {3, 4}
+    chained = spark.createDataFrame([(1, "a", "x", 1), (2, "b", "x", 2), (3, "b", "y", 3)], "id long, title string, url string, at long")
+    assert {r.id for r in dml.upsert(old.where("false"), chained, [("title",), ("url",)], "at").collect()} == {3}
     nulls = spark.createDataFrame([(None, 1), (None, 2), (5, 3)], "k long, at long")
     assert dml.insert_or_ignore(spark.createDataFrame([(5, 0)], "k long, at long"), nulls, ["k"], "at").count() == 3
     known = dml.get_or_create(spark.createDataFrame([("a", 2), ("b", 1), ("a", 3)], "n string, at long"), ["n"], "at")
@@ -166,7 +196,7 @@ def test_candidates_and_models(spark):
     payload = spark.createDataFrame([(1, "<result><hits><hit><info><author>A B</author><url>u1</url></info></hit></hits></result>")], "person_id long, payload string")
     assert [(r.type, r.id, r["name"]) for r in match.parse_dblp(payload).collect()] == [("dblp", "u1", "A B")]
     df = spark.createDataFrame([("the program committee",), ("Ann Lee",), (None,)], "line_text string")
-    assert [r.prediction for r in tagger.predict_lines(df).collect()] == ["Role-Label", "Person", "Undefined"]
+    assert [r.prediction for r in tagger.predict_lines(df).collect()] == ["Role-Label", "Person", None]
     persons = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (1, "z", 2), (1, "w", 3)], "person_id long, id string, rank int").withColumn("type", F.lit("orcid"))
     assert match.top_candidates(persons).count() == 3
 
