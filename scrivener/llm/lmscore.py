@@ -56,7 +56,9 @@ HIDDEN, STEPS, LANES = 16, 32, 256
 END = b"\n"  # no word holds a line end
 CHUNK_BYTES, SEGMENT_BYTES = 32 << 20, 4 << 20
 AHEAD = 16  # steps whose shares of the gates are read at once in scoring
-WORKER_TOKENS = 2_000_000  # of a worker in a round
+WORKER_TOKENS = 4_000_000  # of a worker in a round
+LONG = 2048  # tokens of a document that starts before others, so that it does not end alone
+SCORED_TOKENS = 3_000_000  # that are scored side by side
 NOTHING = -1e9
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -629,7 +631,7 @@ def _scored(params: bytes, size: int):
             for row in zip(*(b.column(c).to_pylist() for c in _ROW)):
                 held.append(row)
                 waiting += row[2]
-                if waiting >= 1_000_000:
+                if waiting >= SCORED_TOKENS:
                     yield work()
                     held, waiting = [], 0
         if held:
@@ -675,9 +677,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     workers = max(1, -(-int(total) // (rounds * WORKER_TOKENS)))
     lanes = min(LANES, max(32, int(total) // (rounds * workers * STEPS * 64)))
     deal = F.xxhash64("id", "symbols")  # of the document alone
-    trains = table.where(~F.col("held_out")).select("symbols", deal.alias("deal"), F.pmod(deal, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(deal, 16), F.lit(workers)).alias("worker"))
+    first = F.when(F.col("n_tokens") > LONG, -F.col("n_tokens")).otherwise(0)
+    trains = table.where(~F.col("held_out")).select("symbols", first.alias("first"), deal.alias("deal"), F.pmod(deal, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(deal, 16), F.lit(workers)).alias("worker"))
     for k in range(rounds if total else 0):
-        mine = trains.where(F.col("round") == k).repartition(workers, "worker").sortWithinPartitions("worker", "deal")
+        mine = trains.where(F.col("round") == k).repartition(workers, "worker").sortWithinPartitions("worker", "first", "deal")
         copies = mine.select("worker", "symbols").mapInArrow(_trained(params, words, k, lanes), _COPY)
         means = copies.repartition(SLOTS, "slot").sortWithinPartitions("slot", "worker").mapInArrow(_averaged(False), _COPY)
         found = means.repartition(1).sortWithinPartitions("slot").mapInArrow(_averaged(True), _COPY).collect()  # one row
