@@ -16,6 +16,7 @@ from scrivener.functions.names import role_score
 from scrivener.operators.stable import fixed
 
 DAMPING, ITERATIONS = 0.85, 30
+HOT_EDGES, HOT_NODES = 1_000_000, 4096
 
 
 def weighted_edges(roles: DataFrame, literal_scores: bool = True) -> DataFrame:
@@ -33,26 +34,55 @@ def weighted_edges(roles: DataFrame, literal_scores: bool = True) -> DataFrame:
     return joined.select("doc_type", "doc_id", "person_id", (F.col("score") / F.col("all_scores")).alias("to_person"), (F.col("n") / F.col("all_roles")).alias("to_venue"))
 
 
-def inbound(edges: DataFrame, persons: DataFrame) -> DataFrame:
-    """(doc_type, doc_id, total): what the persons (person_id, p) of a venue give to it."""
-    return edges.join(persons, "person_id").groupBy("doc_type", "doc_id").agg(F.sum(F.col("to_venue") * F.col("p")).alias("total"))
+def hot_nodes(edges: DataFrame, keys: list[str], least: int = HOT_EDGES) -> DataFrame | None:
+    """(keys, buckets) of the nodes with more than ``least`` edges and more than one in ``HOT_NODES`` of all: at most ``HOT_NODES`` rows; None without any."""
+    limit = max(least, -(-edges.count() // HOT_NODES))
+    found = edges.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    found = fixed(found.select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("buckets")))
+    return None if found.isEmpty() else found
 
 
-def page_rank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, checkpoint_every: int = 6) -> DataFrame:
-    """(kind, id, pr_score) of all nodes of ``edges``; the start is 1, the update is not divided by the number of nodes."""
+def _edge_bucket(edges: DataFrame, hot: DataFrame | None, keys: list[str], others: list[str]) -> DataFrame:
+    """Edges with the bucket of their node that their other end falls in; 0 for nodes that are not hot."""
+    if hot is None:
+        return edges.withColumn("bucket", F.lit(0))
+    bucket = F.pmod(F.xxhash64(*others), F.coalesce("buckets", F.lit(1))).cast("int")
+    return edges.join(F.broadcast(hot), keys, "left").withColumn("bucket", bucket).drop("buckets")
+
+
+def _node_buckets(values: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
+    """A row of every node for each of its buckets."""
+    if hot is None:
+        return values.withColumn("bucket", F.lit(0))
+    buckets = F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1)
+    return values.join(F.broadcast(hot), keys, "left").withColumn("bucket", F.explode(buckets)).drop("buckets")
+
+
+def inbound(edges: DataFrame, persons: DataFrame, dealt: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_type, doc_id, total): what the persons (person_id, p) of a venue give to it; ``dealt``: further columns to meet on."""
+    return edges.join(persons, ["person_id", *dealt]).groupBy("doc_type", "doc_id").agg(F.sum(F.col("to_venue") * F.col("p")).alias("total"))
+
+
+def page_rank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, checkpoint_every: int = 6, hot_edges: int = HOT_EDGES) -> DataFrame:
+    """(kind, id, pr_score) of all nodes of ``edges``; the start is 1, the update is not divided by the number of nodes.
+
+    The edges of a node with more than ``hot_edges`` of them are dealt to several tasks.
+    """
     # kept by each end, so that a half-step moves one partial sum a node and task, never the edges
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
-    by_person = edges.select("doc_type", "doc_id", "person_id", "to_venue").repartition(parts, "person_id").persist(StorageLevel.MEMORY_AND_DISK)
-    by_venue = edges.select("doc_type", "doc_id", "person_id", "to_person").repartition(parts, "doc_type", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    person, venue = ["person_id"], ["doc_type", "doc_id"]
+    hot_persons, hot_venues = hot_nodes(edges, person, hot_edges), hot_nodes(edges, venue, hot_edges)
+    by_person = _edge_bucket(edges.select(*venue, *person, "to_venue"), hot_persons, person, venue).repartition(parts, *person, "bucket").persist(StorageLevel.MEMORY_AND_DISK)
+    by_venue = _edge_bucket(edges.select(*venue, *person, "to_person"), hot_venues, venue, person).repartition(parts, *venue, "bucket").persist(StorageLevel.MEMORY_AND_DISK)
     rest = F.lit(1 - damping)
     persons = by_person.select("person_id").distinct().withColumn("p", F.lit(1.0))
     venues = None
     for k in range(1, iterations + 1):
-        venues = inbound(by_person, persons).select("doc_type", "doc_id", (rest + damping * F.col("total")).alias("v"))
+        venues = inbound(by_person, _node_buckets(persons, hot_persons, person), ("bucket",)).select("doc_type", "doc_id", (rest + damping * F.col("total")).alias("v"))
         if k == iterations:  # read by the result and by the last persons
             venues = venues.persist(StorageLevel.MEMORY_AND_DISK)
-        persons = by_venue.join(venues, ["doc_type", "doc_id"]).groupBy("person_id").agg((rest + damping * F.sum(F.col("to_person") * F.col("v"))).alias("p"))
+        persons = by_venue.join(_node_buckets(venues, hot_venues, venue), [*venue, "bucket"]).groupBy("person_id").agg((rest + damping * F.sum(F.col("to_person") * F.col("v"))).alias("p"))
         if k % checkpoint_every == 0 and k < iterations:
             persons = fixed(persons)
     return venues.select(F.col("doc_type").alias("kind"), F.col("doc_id").alias("id"), F.col("v").alias("pr_score")).unionByName(persons.select(F.lit("person").alias("kind"), F.col("person_id").alias("id"), F.col("p").alias("pr_score")))

@@ -482,7 +482,9 @@ def o90_first_per_type(spark, d):
 
 @query("SELECT c_nationkey, list_sort(list(c_name)) AS members FROM customer GROUP BY c_nationkey")
 def o93_members(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("members"))
+    from scrivener.operators.cluster import cluster_members
+
+    return cluster_members(table(spark, d, "customer").select(F.col("c_nationkey").alias("cluster"), F.col("c_name").alias("name"))).withColumnRenamed("cluster", "c_nationkey")
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
@@ -522,8 +524,10 @@ def o125_pick_by_key(spark, d):
 
 @query("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_name FROM part")
 def o131_union_all(spark, d):
+    from scrivener.operators.match import union_sources
+
     one = lambda t, c: table(spark, d, t).select(F.col(c).alias("name"))
-    return one("customer", "c_name").unionByName(one("supplier", "s_name")).unionByName(one("part", "p_name"))
+    return union_sources(one("customer", "c_name"), one("supplier", "s_name"), one("part", "p_name"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS words FROM documents")

@@ -7,8 +7,6 @@ without a body has the status 'Error'.
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -216,7 +214,3 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
 def read_columns(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
     """Column files without quoting, escaped by a backslash."""
     return spark.read.csv(path, sep=sep, schema=schema, quote="", escape="\\")
-
-
-def unescape(text: str) -> str:
-    return html.unescape(re.sub(r"\\(.)", r"\1", text))

@@ -112,6 +112,8 @@ def test_page_rank_by_hand_and_by_numpy(spark):
         v = 0.15 + 0.85 * back @ p
         p = 0.15 + 0.85 * share.T @ v
     assert all(x == pytest.approx(v[i] if k == "conference" else p[i]) for (k, i), x in found.items())
+    dealt = rank.page_rank(rank.weighted_edges(spark.createDataFrame(rows, roles.schema)), hot_edges=2).collect()  # nearly every node in several buckets
+    assert {(r.kind, r.id): r.pr_score for r in dealt} == pytest.approx(found)
 
 
 def test_ward_inside_components_equals_ward_of_all(spark, tmp_path):
@@ -206,3 +208,18 @@ def test_augmentation_is_seeded(spark):
     lex = spark.createDataFrame([(0, "Tan Ah Kow")], "n long, content string")
     out = sequence.augment(t, lex, "PER", 100, seed=3).orderBy("pos", "sub").collect()
     assert [(r.word, r.tag) for r in out][:4] == [("Tan", "B-PER"), ("Ah", "I-PER"), ("Kow", "E-PER"), ("works", "O")]
+
+
+def test_column_files(spark, tmp_path):
+    (tmp_path / "train.txt").write_text('Ann "B-PER\nof O\n')
+    rows = readers.read_columns(spark, str(tmp_path / "train.txt"), "text string, ner string").collect()
+    assert [(r.text, r.ner) for r in rows] == [("Ann", '"B-PER'), ("of", "O")]
+
+
+def test_pages_are_taken_once(spark, tmp_path):
+    pages = spark.createDataFrame([("u", "2026-01-01 00:00:00"), ("u", "2026-01-01 00:00:05"), ("v", "2026-01-01 00:00:01")], "url string, seen string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, seen string").parquet(str(tmp_path / "in")).withColumn("seen", F.to_timestamp("seen"))
+    out = frontier.first_seen(stream, "seen", "1 hour").writeStream.format("memory").queryName("first_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
+    out.awaitTermination(120)
+    assert sorted(r.url for r in spark.table("first_seen").collect()) == ["u", "v"]
