@@ -186,6 +186,12 @@ def doc_bucket(ids: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(mix(ids.astype(np.int64).view(_U)) ^ rows.astype(np.int64).view(_U)) % _U(buckets)).astype(np.int64)
 
 
+def bucket_count(total: int, size: int, parts: int) -> int:
+    """Buckets of at most about ``size`` bytes; beyond one a partition, full rounds of them, so that all partitions hold as many."""
+    least = 1 + total // size
+    return least if least <= parts else parts * -(-least // parts)
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Whether a row of sorted keys differs from the row before it."""
     out = np.ones(len(keys[0]), bool)
@@ -626,8 +632,7 @@ class _Plan:
         self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
         total = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.parts = shuffle_parts(docs.sparkSession)
-        # full rounds of the partitions, so that all hold as many
-        self.hash_buckets, self.doc_buckets = (self.parts * (1 + total // (size * self.parts)) for size in (HASH_BUCKET_BYTES, DOC_BUCKET_BYTES))
+        self.hash_buckets, self.doc_buckets = (bucket_count(total, size, self.parts) for size in (HASH_BUCKET_BYTES, DOC_BUCKET_BYTES))
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         return rows.repartitionById(self.parts, F.pmod("b", F.lit(self.parts)).cast("int")).sortWithinPartitions("kind", "b")
