@@ -7,6 +7,8 @@ given: a document or a journal, so that no window holds all rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,7 +68,7 @@ ROLE_WORDS = {
     "chief": "E-ROLE",
     "emeritus": "E-ROLE",
 }
-INLINE_TAG = r"^<[^<>]+>$"
+INLINE_TAG = r"^<[^<>]+>\z"
 
 
 def role_tag(word: Column) -> Column:
@@ -88,25 +90,31 @@ def conll_tokens(lines: DataFrame) -> DataFrame:
     return numbered.select("doc", F.col("sent"), pos.alias("pos"), F.element_at(fields, 1).alias("word"), F.element_at(fields, -1).alias("tag"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def inline_tokens(line: Column) -> Column:
     """array<struct<pos, word, tag>> of 'word <TAG> word ...'; untagged words have the tag O."""
-    tokens = F.filter(F.split(line, " +", -1), lambda t: t != "")
-    # look-ahead by index
     is_tag = lambda t: F.rlike(t, F.lit(INLINE_TAG))
-    pairs = F.transform(
-        tokens,
-        lambda t, i: F.struct(i.alias("pos"), t.alias("word"), F.when(is_tag(F.coalesce(F.get(tokens, i + 1), F.lit(""))), F.expr("''")).alias("mark"), F.get(tokens, i + 1).alias("next")),
-    )
-    words = F.filter(pairs, lambda p: ~is_tag(p["word"]))
-    return F.transform(words, lambda p, i: F.struct(i.alias("pos"), p["word"].alias("word"), F.when(p["mark"].isNotNull(), F.regexp_replace(p["next"], "[<>]", "")).otherwise("O").alias("tag")))
+
+    def paired(tokens: Column) -> Column:
+        # every token beside the next, null behind the last
+        pairs = F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda t, n: F.struct(t.alias("word"), F.when(is_tag(n), F.regexp_replace(n, "[<>]", "")).otherwise("O").alias("tag")))
+        return F.transform(F.filter(pairs, lambda p: ~is_tag(p["word"])), lambda p, i: F.struct(i.alias("pos"), p["word"].alias("word"), p["tag"].alias("tag")))
+
+    return _once(F.filter(F.split(line, " +", -1), lambda t: t != ""), paired)
 
 
 def to_conll(line: Column) -> Column:
     """'word TAG' lines of an inline-tagged sentence; a last word without a tag is lost, as in the reference."""
-    t = inline_tokens(line)
-    last = F.try_element_at(t, F.lit(-1))
-    kept = F.when(last["tag"] == "O", F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).otherwise(t)
-    return F.transform(kept, lambda x: F.concat_ws(" ", x["word"], x["tag"]))
+
+    def kept(t: Column) -> Column:
+        last = F.try_element_at(t, F.lit(-1))
+        return F.when(last["tag"] == "O", F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).otherwise(t)
+
+    return F.transform(_once(inline_tokens(line), kept), lambda x: F.concat_ws(" ", x["word"], x["tag"]))
 
 
 def propagate_roles(tokens: DataFrame, scope: list[str], initial: str = "editor") -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the driver's small tables do not have."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -27,3 +29,12 @@ def test_hints_at_other_letters(both):
     found, want = both("o92_predict_lines", "documents", "doc_id long, text string, lang string, source string, n_chars long", [(1, "\n".join(lines), "en", "web", 9), (2, None, "en", "web", 0), (3, "", "en", "web", 0)])
     assert found == want
     assert [r[2] for r in sorted(found)[:4]] == ["Role-Label", None, "Role-Label", "Role-Label"]
+
+
+def test_inline_tags_of_a_long_turn(both):
+    # what stands in brackets before a line end is a word, and a turn's cost grows with its length
+    texts = ["a <b>\n c <d> e", "<x> ", "", None, "a", "a  b <", "a b c d", "<e>  f", " ".join(f"w{i}" for i in range(6000))]
+    start = time.monotonic()
+    found, want = both("o109_inline_to_conll", "conversations", "conv_id long, turn long, role string, text string", [(1, i, "user", t) for i, t in enumerate(texts)])
+    assert found == want
+    assert time.monotonic() - start < 60
