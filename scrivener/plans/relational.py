@@ -507,7 +507,11 @@ def o121_top_candidates(spark, d):
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, value) AS best_type FROM events GROUP BY user_id")
 def o122_o123_first_and_argmax(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "value").alias("best_type"))
+    # as in SQL, rows without type count for neither; of equal ones the table's first wins (max_by takes any)
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    keys = {"first": ("event_id", F.struct("event_id", *place)), "best": ("value", F.struct(~F.isnan("value"), -F.col("value"), *place))}
+    ranked = table(spark, d, "events").select("user_id", "event_type", *(F.when(F.col("event_type").isNotNull() & F.col(c).isNotNull(), k).alias(n) for n, (c, k) in keys.items()))
+    return ranked.groupBy("user_id").agg(*(F.min_by("event_type", n).alias(f"{n}_type") for n in keys))
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS pr_score FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")

@@ -38,3 +38,14 @@ def test_inline_tags_of_a_long_turn(both):
     found, want = both("o109_inline_to_conll", "conversations", "conv_id long, turn long, role string, text string", [(1, i, "user", t) for i, t in enumerate(texts)])
     assert found == want
     assert time.monotonic() - start < 60
+
+
+def test_first_of_equal_events(both):
+    # ties of value and of id in any order of ids, no type, no value, both zeros, not-a-number
+    nan, seen = float("nan"), []
+    for user in range(40):
+        seen += [(9, user, f"a{user % 3}", 5.0), (3, user, f"b{user % 5}", 5.0), (3, user, "c", 5.0), (1, user, None, 7.0), (None, user, "d", 4.0), (30, user, "e", None)]
+    seen += [(2, 50, "x", 0.0), (1, 50, "y", -0.0), (4, 51, "x", -0.0), (5, 51, "y", 0.0), (6, 52, "x", nan), (5, 52, "y", nan), (7, 52, "z", float("inf")), (8, 53, None, 1.0), (9, None, "n", -1.0), (8, None, "m", -1.0)]
+    found, want = both("o122_o123_first_and_argmax", "events", "event_id long, user_id long, event_type string, value double", seen)
+    assert found == want
+    assert found[0] == (0, "b0", "a0")
